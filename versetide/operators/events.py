@@ -31,13 +31,16 @@ def clean_log(log: DataFrame, methods=ITEM_METHODS) -> DataFrame:
     return keep_item_events(named, methods)
 
 
+def _with_item(cleaned: DataFrame) -> DataFrame:
+    return cleaned.withColumn("itemId", item_of(F.col("method"), F.col("parameter")))
+
+
 def score_events(cleaned: DataFrame) -> DataFrame:
     """(userId, itemId, rating) of each event, all methods in one pass."""
-    item = item_of(F.col("method"), F.col("parameter"))
-    return cleaned.select(
+    return _with_item(cleaned).select(
         F.col("userId").try_cast("bigint").alias("userId"),
-        item.alias("itemId"),
-        rating_of(F.col("method"), F.col("parameter"), item).alias("rating"),
+        "itemId",
+        rating_of(F.col("method"), F.col("parameter"), F.col("itemId")).alias("rating"),
     )
 
 
@@ -52,10 +55,9 @@ def engagement_ratings(scored: DataFrame) -> DataFrame:
 
 def parse_report(cleaned: DataFrame) -> DataFrame:
     """Per method: events, and how many gave no item or no rating."""
-    item = item_of(F.col("method"), F.col("parameter"))
-    rating = rating_of(F.col("method"), F.col("parameter"), item)
-    return cleaned.groupBy("method").agg(
+    rating = rating_of(F.col("method"), F.col("parameter"), F.col("itemId"))
+    return _with_item(cleaned).groupBy("method").agg(
         F.count(F.lit(1)).alias("events"),
-        F.count_if(item.isNull()).alias("no_item"),
+        F.count_if(F.col("itemId").isNull()).alias("no_item"),
         F.count_if(rating.isNull()).alias("no_rating"),
     )

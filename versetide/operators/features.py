@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from versetide.functions.parsing import tag_list
+from versetide.session import settle
 
 AUTHOR_OFFSET = 200000  # fixed value: keeps author ids apart from poem ids
 MAX_VOCABULARY = 1 << 16
@@ -65,12 +66,16 @@ def join_users(df: DataFrame, users: DataFrame) -> DataFrame:
 def flag_favourite_author(
     df: DataFrame, favourites: DataFrame, author: str = "poemAuthorId", offset: int = AUTHOR_OFFSET
 ) -> DataFrame:
-    """Add ``collectAuthor``: 1 when the item's author is a favourite of the user."""
-    marks = favourites.select(
+    """Add ``collectAuthor``: 1 when the item's author is a favourite of the user.
+
+    The distinct favourites are written first, so that rows of a very active
+    user can be split in the join.
+    """
+    pairs = favourites.select(
         F.col("userId").try_cast("bigint").alias("userId"),
         (F.col("authorId") + offset).cast("bigint").alias("_author"),
-        F.lit(1).alias("collectAuthor"),
     ).distinct()
+    marks = settle(pairs, "favourites").withColumn("collectAuthor", F.lit(1))
     keyed = df.withColumn("_author", F.col(author).cast("bigint"))
     return (
         keyed.join(marks, ["userId", "_author"], "left")

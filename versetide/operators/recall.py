@@ -22,17 +22,20 @@ def last_actions(events: DataFrame, n: int = RECENT_ENTRIES) -> DataFrame:
     return top_k(events, ["userId"], [F.desc("ts"), F.desc("eventId")], n)
 
 
-def recent_activity(events: DataFrame, n: int = RECENT_ENTRIES) -> DataFrame:
-    """(userId, recent): entries of the last ``n`` actions, newest first."""
-    return to_lists(last_actions(events, n), "userId", "entry", name="recent")
+def recent_activity(events: DataFrame, items: DataFrame, n: int = RECENT_ENTRIES) -> DataFrame:
+    """(userId, recent): entries of the last ``n`` actions, newest first.
+
+    The cut comes before the join with the items.
+    """
+    return to_lists(activity_entries(last_actions(events, n), items), "userId", "entry", name="recent")
 
 
-def activity_entries(events: DataFrame, items: DataFrame) -> DataFrame:
-    """Events with ``entry``: ``<item>-dynasty-tag...`` or ``NoPoemID`` without item."""
+def activity_entries(actions: DataFrame, items: DataFrame) -> DataFrame:
+    """Actions with ``entry``: ``<item>-dynasty-tag...`` or ``NoPoemID`` without item."""
     terms = items.select(F.col("poemId").alias("_item"), F.array_join(item_terms(), "-").alias("_terms"))
     head = F.coalesce(F.col("itemId").cast("string"), F.lit("NoPoemID"))
     return (
-        events.join(terms, F.col("itemId") == F.col("_item"), "left")
+        actions.join(terms, F.col("itemId") == F.col("_item"), "left")
         .withColumn("entry", F.concat_ws("-", head, F.col("_terms")))
         .drop("_item", "_terms")
     )
@@ -85,7 +88,9 @@ def draw_tag_items(tags: DataFrame, index: DataFrame, k: int = ITEMS_PER_TAG, se
 
     The index is in hash order, so ``k`` neighbours from a start that depends on
     the user and the tag are a draw without replacement. Each draw asks for its
-    rows by (tag, pos): no user meets a whole tag.
+    rows by (tag, pos): no user meets a whole tag. Pass the index as a written
+    table; the default tags are asked for by many users, and the adaptive
+    planner splits such a key.
     """
     sizes = index.where(F.col("pos") == 0).select("tag", "n")
     start = digest_number(digest(seed, "userId", "tag")) % F.col("n")

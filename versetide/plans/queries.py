@@ -18,7 +18,6 @@ from versetide.operators.features import (
 )
 from versetide.operators.ranking import sample_rows
 from versetide.operators.recall import (
-    last_actions,
     parse_activity,
     recall,
     recent_activity,
@@ -33,7 +32,6 @@ from versetide.plans.serve import (
     daily_list,
     guess_you_like,
     most_similar,
-    rank_candidates,
     shown_lists,
 )
 from versetide.session import scratch_path, settle
@@ -45,7 +43,6 @@ from versetide.streaming.jobs import (
     read_event_stream,
     read_recent,
     recent_activity_stream,
-    stored_actions,
 )
 
 SEED = 42
@@ -62,8 +59,12 @@ def _log(t: Tables) -> DataFrame:
     return settle(user_log(t.access_log()), "user-log")
 
 
+def _shown(t: Tables) -> DataFrame:
+    return settle(t.impressions(), "impressions")
+
+
 def _samples(t: Tables) -> DataFrame:
-    return add_negatives(_log(t), t.impressions(), seed=SEED)
+    return add_negatives(_log(t), _shown(t), seed=SEED)
 
 
 def _similar(t: Tables) -> DataFrame:
@@ -96,7 +97,7 @@ def parse_failures(spark: SparkSession, folder: str) -> DataFrame:
 
 def impression_sample(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
-    store = t.impressions()
+    store = _shown(t)
     drawn = sample_rows(store, "impressionId", lists_wanted(_log(t)), SEED)
     return drawn.select("impressionId", "userId", F.explode("items").alias("itemId"))
 
@@ -135,14 +136,15 @@ def tag_list_sizes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def recent_entries(spark: SparkSession, folder: str) -> DataFrame:
-    parsed = parse_activity(recent_activity(Tables(spark, folder).actions()))
+    t = Tables(spark, folder)
+    parsed = parse_activity(recent_activity(t.actions(), t.items()))
     return parsed.select("userId", "pos", "itemId", F.array_join("tags", "-").alias("tags"))
 
 
 def recall_candidates(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
     index = settle(tag_index(t.items(), SEED), "tag-index")
-    return recall(_users(t), recent_activity(t.actions()), _similar(t), index, DEFAULTS, SEED)
+    return recall(_users(t), recent_activity(t.actions(), t.items()), _similar(t), index, DEFAULTS, SEED)
 
 
 def tfidf_weights(spark: SparkSession, folder: str) -> DataFrame:
@@ -188,7 +190,7 @@ def cf_topk(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cf_tuning(spark: SparkSession, folder: str) -> DataFrame:
-    return cf.tune_cf(Tables(spark, folder).purchases(), TUNE)
+    return cf.tune_cf(user_log(Tables(spark, folder).access_log()), TUNE)
 
 
 def _ranker_inputs(t: Tables):
@@ -208,7 +210,7 @@ def guess(spark: SparkSession, folder: str) -> DataFrame:
     index = settle(tag_index(t.items(), SEED), "tag-index")
     ranked = settle(
         guess_you_like(
-            _users(t), recent_activity(t.actions()), _similar(t), index, t.items(), t.users(),
+            _users(t), recent_activity(t.actions(), t.items()), _similar(t), index, t.items(), t.users(),
             t.favourites(), model, DEFAULTS, seed=SEED,
         ),
         "ranked",
@@ -231,7 +233,7 @@ def guess_by_star(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
     index = settle(tag_index(t.items(), SEED), "tag-index")
     ranked = guess_you_like(
-        _users(t), recent_activity(t.actions()), _similar(t), index, t.items(), t.users(),
+        _users(t), recent_activity(t.actions(), t.items()), _similar(t), index, t.items(), t.users(),
         t.favourites(), _ByStar, DEFAULTS, seed=SEED,
     )
     return to_payload(shown_lists(ranked), "rs").select("userId", "payload")
@@ -270,13 +272,13 @@ def csv_items(spark: SparkSession, folder: str) -> DataFrame:
 def stream_recent(spark: SparkSession, folder: str) -> DataFrame:
     """Activity as a stream of files, kept as the last actions of each user."""
     t = Tables(spark, folder)
-    source, store = scratch_path(spark, "entries"), scratch_path(spark, "recent")
+    source, store = scratch_path(spark, "actions"), scratch_path(spark, "recent")
     t.actions().write.parquet(source)
     stream = read_event_stream(
-        spark, source, "userId bigint, eventId bigint, ts timestamp, entry string", "parquet", files_per_batch=2
+        spark, source, "userId bigint, eventId bigint, ts timestamp, itemId int", "parquet", files_per_batch=2
     )
     recent_activity_stream(stream, store, scratch_path(spark, "recent-state"), once=True).awaitTermination()
-    parsed = parse_activity(read_recent(spark, store))
+    parsed = parse_activity(read_recent(spark, store, t.items()))
     return parsed.select("userId", "pos", "itemId", F.array_join("tags", "-").alias("tags"))
 
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versetide.operators.recall import activity_entries
-
 DEFAULTS = ("EraECONOMY", "small", "ring")  # stand-ins for the default tags
 
 
@@ -86,13 +84,12 @@ class Tables:
         )
 
     def actions(self) -> DataFrame:
-        """``events`` as activity: (userId, eventId, ts, entry); signups name no item."""
-        typed = self.table("events").select(
+        """``events`` as activity: (userId, eventId, ts, itemId); signups name no item."""
+        return self.table("events").select(
             F.col("user_id").alias("userId"), F.col("event_id").alias("eventId"),
             F.col("ts").cast("timestamp").alias("ts"),
             F.when(F.col("event_type") != "signup", F.get_json_object("props", "$.k").cast("int")).alias("itemId"),
         )
-        return activity_entries(typed, self.items()).select("userId", "eventId", "ts", "entry")
 
     def vectors(self) -> DataFrame:
         """``embeddings`` as item vectors."""

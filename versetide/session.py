@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _local_folder: str | None = None
 
@@ -39,11 +40,25 @@ def use_checkpoints(spark: SparkSession) -> None:
         context.setCheckpointDir(shared_folder(spark))
 
 
+BROADCAST_LIMIT = 256 << 20  # bytes
+
+
+def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """Mark ``df`` for broadcast when its counted rows fit the limit.
+
+    Beyond the limit it is returned as it is, for a shuffled join. Pass a
+    written table: counting one reads the file footers only.
+    """
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
     The lineage ends here, so a lost executor costs a re-read and not a re-run,
-    and the next plan sees true sizes when it picks join strategies.
+    and the next plan sees true sizes when it picks join strategies. A join with
+    a written table also shuffles it directly, which is what lets the adaptive
+    planner split a hot key on the other side.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)

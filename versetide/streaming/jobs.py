@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from versetide.operators.ranking import to_lists
-from versetide.operators.recall import RECENT_ENTRIES, last_actions
+from versetide.operators.recall import RECENT_ENTRIES, activity_entries, last_actions
 
 BATCH = "1 second"  # fixed value: length of a micro-batch
 FILES_PER_BATCH = 5  # fixed value: how many click files are rolled together
@@ -47,7 +46,7 @@ def roll_files(spark: SparkSession, path: str, out: str, rows_per_file: int) ->
 def recent_activity_stream(
     events: DataFrame, path: str, checkpoint: str, n: int = RECENT_ENTRIES, once: bool = False
 ) -> StreamingQuery:
-    """Keep each user's last ``n`` actions of (userId, eventId, ts, entry) up to date.
+    """Keep each user's last ``n`` actions of (userId, eventId, ts, ...) up to date.
 
     Every micro-batch writes its own top ``n`` per user as one part of the
     store, under the batch number: a batch that is run again replaces its part.
@@ -56,9 +55,7 @@ def recent_activity_stream(
     """
 
     def write_part(batch: DataFrame, number: int) -> None:
-        last_actions(batch.select("userId", "eventId", "ts", "entry"), n).drop("rank").write.mode(
-            "overwrite"
-        ).parquet(f"{path}/batch={number}")
+        last_actions(batch, n).drop("rank").write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     writer = events.writeStream.foreachBatch(write_part).option("checkpointLocation", checkpoint)
     return _trigger(writer, once).start()
@@ -66,27 +63,20 @@ def recent_activity_stream(
 
 def stored_actions(spark: SparkSession, path: str, n: int = RECENT_ENTRIES) -> DataFrame:
     """The last ``n`` actions of each user over all parts of the store, with ``rank``."""
-    schema = "userId bigint, eventId bigint, ts timestamp, entry string, batch bigint"
-    return last_actions(spark.read.schema(schema).parquet(path).drop("batch"), n)
+    return last_actions(spark.read.parquet(path).drop("batch"), n)
 
 
-def read_recent(spark: SparkSession, path: str, n: int = RECENT_ENTRIES) -> DataFrame:
-    """(userId, recent): newest first, merged from the store."""
-    return to_lists(stored_actions(spark, path, n), "userId", "entry", name="recent")
+def read_recent(spark: SparkSession, path: str, items: DataFrame | None = None, n: int = RECENT_ENTRIES) -> DataFrame:
+    """(userId, recent): newest first, merged from the store.
+
+    Entries come with the events, or else from the item attributes.
+    """
+    actions = stored_actions(spark, path, n)
+    if items is not None:
+        actions = activity_entries(actions, items)
+    return to_lists(actions, "userId", "entry", name="recent")
 
 
 def merge_recent(spark: SparkSession, path: str, out: str, n: int = RECENT_ENTRIES) -> None:
     """Write the store anew as one part, so that reads stay short."""
     stored_actions(spark, path, n).drop("rank").write.parquet(f"{out}/batch=-1")
-
-
-def batch_entries(stream: DataFrame) -> DataFrame:
-    """Click records as (userId, eventId, ts, entry) with ``<item>-tag`` entries.
-
-    Expects userId, eventId, ts, itemId and ``tags``, a ``-`` separated text.
-    """
-    head = F.coalesce(F.col("itemId").cast("string"), F.lit("NoPoemID"))
-    return stream.select(
-        F.col("userId").try_cast("bigint").alias("userId"), F.col("eventId").cast("bigint").alias("eventId"),
-        F.col("ts").cast("timestamp").alias("ts"), F.concat_ws("-", head, F.col("tags")).alias("entry"),
-    )
