@@ -122,7 +122,10 @@ def recall(
     n_items: int = ITEMS_PER_TAG,
     n_similar: int = SIMILAR_USED,
 ) -> DataFrame:
-    """(userId, itemId): distinct candidates of every user from both recalls."""
+    """(userId, itemId): distinct candidates of every user from both recalls.
+
+    ``recent`` and ``index`` are read more than once: pass written tables.
+    """
     parsed = parse_activity(recent)
     wanted = users.select("userId")
     tags = with_default_tags(users, user_tags(users, parsed, n_tags, seed), defaults)

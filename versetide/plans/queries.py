@@ -68,7 +68,15 @@ def _samples(t: Tables) -> DataFrame:
 
 
 def _similar(t: Tables) -> DataFrame:
-    return text.similar_items(t.vectors(), LIST)
+    return settle(text.similar_items(t.vectors(), LIST), "similar")
+
+
+def _recent(t: Tables) -> DataFrame:
+    return settle(recent_activity(t.actions(), t.items()), "recent")
+
+
+def _index(t: Tables) -> DataFrame:
+    return settle(tag_index(t.items(), SEED), "tag-index")
 
 
 def _users(t: Tables) -> DataFrame:
@@ -143,14 +151,12 @@ def recent_entries(spark: SparkSession, folder: str) -> DataFrame:
 
 def recall_candidates(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
-    index = settle(tag_index(t.items(), SEED), "tag-index")
-    return recall(_users(t), recent_activity(t.actions(), t.items()), _similar(t), index, DEFAULTS, SEED)
+    return recall(_users(t), _recent(t), _similar(t), _index(t), DEFAULTS, SEED)
 
 
 def tfidf_weights(spark: SparkSession, folder: str) -> DataFrame:
-    docs = Tables(spark, folder).documents()
-    cut = docs.select("docId", text.tokens(F.col("text")).alias("tokens"))
-    return text.tf_idf(cut, docs.count()).select("docId", "term", "tf", "df", _round("weight"))
+    cut = text.token_table(Tables(spark, folder).documents())
+    return text.tf_idf(cut, cut.count()).select("docId", "term", "tf", "df", _round("weight"))
 
 
 def similar_exact(spark: SparkSession, folder: str) -> DataFrame:
@@ -207,10 +213,9 @@ def guess(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
     rows, vocab, sexes = _ranker_inputs(t)
     model = ranker.fit_ranker(rows, "trees+fm", vocab, sexes)
-    index = settle(tag_index(t.items(), SEED), "tag-index")
     ranked = settle(
         guess_you_like(
-            _users(t), recent_activity(t.actions(), t.items()), _similar(t), index, t.items(), t.users(),
+            _users(t), _recent(t), _similar(t), _index(t), t.items(), t.users(),
             t.favourites(), model, DEFAULTS, seed=SEED,
         ),
         "ranked",
@@ -231,9 +236,8 @@ class _ByStar:
 def guess_by_star(spark: SparkSession, folder: str) -> DataFrame:
     """The same service with a ranker of two terms: star, and a favourite author first."""
     t = Tables(spark, folder)
-    index = settle(tag_index(t.items(), SEED), "tag-index")
     ranked = guess_you_like(
-        _users(t), recent_activity(t.actions(), t.items()), _similar(t), index, t.items(), t.users(),
+        _users(t), _recent(t), _similar(t), _index(t), t.items(), t.users(),
         t.favourites(), _ByStar, DEFAULTS, seed=SEED,
     )
     return to_payload(shown_lists(ranked), "rs").select("userId", "payload")
