@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from versetide.functions.parsing import digest, digest_number
 from versetide.operators.products import top_products
 from versetide.operators.ranking import dense_positions
-from versetide.session import scratch_path, settle, use_checkpoints
+from versetide.session import scratch_path, settle, spread, use_checkpoints
 
 # Fixed values of the rating scale and of the tuning grid.
 SCALE = (-2.0, 5.0)
@@ -173,7 +173,7 @@ def fit_cf(ratings: DataFrame, rank: int = 20, max_iter: int = 10, reg: float =
     """
     spark = ratings.sparkSession
     use_checkpoints(spark)
-    ratings = settle(known_ratings(ratings), "ratings")
+    ratings = spread(known_ratings(ratings), "ratings")
     biases = fit_biases(ratings)
     left = biases.add(ratings).withColumn("left", F.col("rating") - F.col("base"))
     plain = _fits_int(ratings, "userId", "itemId")

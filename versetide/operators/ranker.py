@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from versetide.functions.parsing import digest, digest_number
 from versetide.operators.features import item_terms
-from versetide.session import settle, use_checkpoints
+from versetide.session import settle, spread, use_checkpoints
 
 KINDS = ("lr", "fm", "trees+lr", "trees+fm")
 N_TREES = 50  # fixed value of the encoder
@@ -113,7 +113,9 @@ class Ranker:
 def _final(kind: str, seed: int) -> Pipeline:
     scaler = MaxAbsScaler(inputCol="features", outputCol="scaled")
     if kind.endswith("fm"):
-        last = FMClassifier(featuresCol="scaled", labelCol="label", factorSize=8, maxIter=50, stepSize=0.05, seed=seed)
+        # on leaves every tree sets a slot, so a row moves many weights and steps are smaller
+        steps, size = (25, 0.01) if kind.startswith("trees") else (50, 0.05)
+        last = FMClassifier(featuresCol="scaled", labelCol="label", factorSize=8, maxIter=steps, stepSize=size, seed=seed)
     else:
         last = LogisticRegression(featuresCol="scaled", labelCol="label", maxIter=50, regParam=0.01)
     return Pipeline(stages=[scaler, last])
@@ -126,10 +128,10 @@ def fit_ranker(
     """Fit one kind of ranker on rows of ``ranker_rows`` with a ``label``."""
     if kind not in KINDS:
         raise ValueError(f"kind must be one of {KINDS}")
-    df = rows if "features" in rows.columns else settle(assemble(rows, vocab, sexes).select("features", "label"), "assembled")
+    df = rows if "features" in rows.columns else spread(assemble(rows, vocab, sexes).select("features", "label"), "assembled")
     if kind.startswith("trees"):
         trees = trees or fit_leaf_encoder(df, n_trees, depth, seed)
-        df = settle(encode_leaves(trees, df, depth).select("features", "label"), "leaves")
+        df = spread(encode_leaves(trees, df, depth).select("features", "label"), "leaves")
     else:
         trees = None
     return Ranker(kind, vocab, sexes, _final(kind, seed).fit(df), trees, depth)
@@ -146,7 +148,7 @@ def compare_rankers(
 ) -> DataFrame:
     """(kind, auc, logloss) of each kind on the held-out pairs."""
     spark = rows.sparkSession
-    parts = settle(
+    parts = spread(
         assemble(split_rows(rows), vocab, sexes).select("features", F.col("label").cast("double").alias("label"), "held"),
         "split",
     )

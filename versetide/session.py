@@ -64,3 +64,16 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, name: str) -> DataFrame:
+    """Settle rows that an iterative fit will read many times.
+
+    A table too small to give every core a partition is written once more in
+    as many parts as there are cores; a large one is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    table = settle(df, name)
+    if table.rdd.getNumPartitions() >= cores:
+        return table
+    return settle(table.repartition(cores), name)
