@@ -59,3 +59,16 @@ def test_offline_job_keeps_actions_apart_from_samples(spark):
     zero = result.samples.join(result.actions, ["userId", "itemId"], "left_anti").where(F.col("itemId").isNotNull())
     assert {(r["rating"], r["label"]) for r in zero.select("rating", "label").distinct().collect()} == {(0, 0)}
     assert "collectAuthor" in result.training.columns and result.training.count() > 0
+
+
+def test_factorisation_trains_on_actions_alone(spark, tmp_path):
+    from versetide.operators import cf
+
+    t = Tables(spark, FOLDER)
+    model = cf.fit_cf(user_log(t.access_log()), rank=3, max_iter=3)
+    best = cf.recommend_all(model, 5)
+    cf.save_cf_lists(best, str(tmp_path / "lists"))
+    stored = spark.read.parquet(str(tmp_path / "lists"))
+    assert stored.groupBy("userId").count().where("count <> 5").count() == 0
+    acting = cf.known_ratings(user_log(t.access_log())).select("userId").distinct().count()
+    assert stored.select("userId").distinct().count() == acting

@@ -9,6 +9,7 @@ from versetide.functions.parsing import digest
 from versetide.operators.features import ranker_rows
 from versetide.operators.ranking import to_lists, top_k
 from versetide.operators.recall import DEFAULT_TAGS, SIMILAR_USED, recall
+from versetide.session import spread
 
 SHOWN = 10  # fixed value: length of the answer
 
@@ -25,8 +26,9 @@ def guess_you_like(
     """(userId, itemId, score, rank): recall, features, ranking.
 
     ``ranker.transform`` adds ``score``. A candidate without attributes drops out.
+    The candidates are written before the costly scoring, in parts for every core.
     """
-    candidates = recall(users, recent, similar, index, defaults, seed)
+    candidates = spread(recall(users, recent, similar, index, defaults, seed), "candidates")
     return rank_candidates(ranker.transform(ranker_rows(candidates, items, user_info, favourites)), k)
 
 

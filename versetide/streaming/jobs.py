@@ -78,5 +78,9 @@ def read_recent(spark: SparkSession, path: str, items: DataFrame | None = None,
 
 
 def merge_recent(spark: SparkSession, path: str, out: str, n: int = RECENT_ENTRIES) -> None:
-    """Write the store anew as one part, so that reads stay short."""
+    """Write the store anew as one part, so that reads stay short.
+
+    Run it while the stream rests. The store and the checkpoint of its stream
+    belong together: a new checkpoint starts the batch numbers again.
+    """
     stored_actions(spark, path, n).drop("rank").write.parquet(f"{out}/batch=-1")
