@@ -20,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,12 +32,14 @@ WIDTH = 4
 #: Least similarity, in hundredths.
 LEAST = 85
 #: Ratio of the bounds of a size class.
-STEP = 1.5
+STEP = 1.3
+#: Elements of a block that is listed; a single common shingle makes no list.
+BLOCK = 2
 #: Members of a hub that one task compares with as many others.
 CHUNK = 500
 #: Sorted key rows for each partition.
 LIST_ROWS = 2_000_000
-#: Seeds that a set tries until few of its blocks are empty.
+#: Seeds that a set tries until few of its blocks are too small to list.
 SEEDS = 16
 
 
@@ -73,9 +76,9 @@ class Plan:
         return [c for c in dict.fromkeys((own, other)) if c > 0]
 
     def blocks(self, c: int) -> tuple[int, int]:
-        """Number of blocks, and how many of a set's may be empty."""
+        """Number of blocks, and how many of a set's may be too small to list."""
         apart = most_apart(2 * (int(self.uppers[c]) - 1), self.least)
-        spare = max(1, apart // 8)
+        spare = max(1, apart // 7)
         return apart + 1 + spare, spare
 
 
@@ -108,10 +111,12 @@ def set_keys(x: np.ndarray, plan: Plan) -> np.ndarray:
             np.cumsum(A.mix(x[order]), out=total[1:])
             first = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
             last = np.r_[first[1:], n]
+            listed = last - first >= BLOCK
+            first, last = first[listed], last[listed]
             name = A.mix(block[first] + np.uint64(((c << 8) + seed) << 40))
             keys.append(A.mix(total[last] - total[first] + name))
             if count - len(first) <= spare:
-                break  # enough blocks are filled: any partner shares a filled one
+                break  # enough blocks are listed: any partner shares a listed one
         else:
             keys.append(np.array([(c << 8) + 255], np.uint64))
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
@@ -162,15 +167,16 @@ def _signer(key: str, text: str, least: int):
     return sign
 
 
-def _setter(key: str, text: str):
+def _setter(text: str):
     def sets(batches):
         for batch in batches:
             for part, grams, bounds in shingle_sets(batch, text):
                 sizes = np.diff(bounds)
-                names = [_set_name(grams[bounds[i] : bounds[i + 1]]) if n else None for i, n in enumerate(sizes)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.int64()), A.lists(A.signed(grams), sizes, pa.int64())], ["set", "items"]
+                names = pa.array([_set_name(grams[bounds[i] : bounds[i + 1]]) if n else None for i, n in enumerate(sizes)], pa.int64())
+                out = pa.RecordBatch.from_arrays(
+                    [names, part.column("hubs"), A.lists(A.signed(grams), sizes, pa.int64())], ["set", "hubs", "items"]
                 )
+                yield out.filter(pc.fill_null(pc.equal(names, part.column("wanted")), False))
 
     return sets
 
@@ -281,9 +287,12 @@ def jaccard_components(documents: DataFrame, key: str = "doc_id", text: str = "t
         ),
         "signed",
     )
+    # one row stands for all equal sets; `rows` counts how often that very row is there
     classes = settle(
-        signed.where("n > 1").groupBy("set").agg(F.min("_key").alias("_key")), "classes"
-    )  # one row stands for all equal sets
+        signed.where("n > 1").groupBy("set", "_key").agg(F.count("*").alias("rows"))
+        .groupBy("set").agg(F.min(F.struct("_key", "rows")).alias("low")).select("set", "low.*"),
+        "classes",
+    )
     mark = classes.select(F.col("set").alias("_set"), F.col("_key").alias("_first"))
     chosen = signed.join(
         broadcast_if_small(mark, 16),
@@ -306,19 +315,29 @@ def jaccard_components(documents: DataFrame, key: str = "doc_id", text: str = "t
         .where("hub <> member").distinct(),
         "hub-members",
     )
-    wanted = stars.select(F.explode(F.array("hub", "member")).alias("set")).distinct()
-    wanted = settle(wanted.join(classes, "set"), "wanted")
-    sets = settle(
-        source.join(broadcast_if_small(wanted.select(F.col("_key").alias("_wanted")), 16),
-                    F.col(key).eqNullSafe(F.col("_wanted")), "left_semi")
-        .mapInArrow(_setter(key, text), "`set` long, items array<long>")
-        .join(broadcast_if_small(wanted.select("set"), 16), "set", "left_semi")
-        .dropDuplicates(["set"]),
-        "sets",
+    # each set goes to the hubs it is compared with, a hub's own set to itself
+    pairs = stars.select(F.col("member").alias("set"), "hub").unionByName(
+        stars.select(F.col("hub").alias("set"), "hub").distinct()
+    )
+    wanted = settle(
+        pairs.groupBy("set").agg(F.collect_set("hub").alias("hubs")).join(classes, "set")
+        .select(F.col("set").alias("wanted"), F.col("_key").alias("_wanted_key"), "hubs", "rows"),
+        "wanted",
     )
+
+    def sent(rows: DataFrame) -> DataFrame:
+        return (
+            source.join(broadcast_if_small(rows, 64), F.col(key).eqNullSafe(F.col("_wanted_key")))
+            .select(text, "wanted", "hubs").mapInArrow(_setter(text), "`set` long, hubs array<long>, items array<long>")
+        )
+
+    sets = sent(wanted.where("rows = 1"))
+    if wanted.where("rows > 1").take(1):
+        sets = sets.unionByName(sent(wanted.where("rows > 1")).dropDuplicates(["set"]))
+    sets = sets.withColumn("hub", F.explode("hubs")).drop("hubs")
     differ = settle(
-        stars.join(sets.select(F.col("set").alias("member"), "items"), "member")
-        .join(sets.select(F.col("set").alias("hub"), F.col("items").alias("hub_items")), "hub")
+        sets.where("set <> hub").select("hub", F.col("set").alias("member"), "items")
+        .join(sets.where("set = hub").select("hub", F.col("items").alias("hub_items")), "hub")
         .mapInArrow(_differ, "hub long, member long, n long, hub_n long, apart array<long>"),
         "apart",
     )
