@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from versetide.llm import decontaminate, jaccard_join, quality, secrets, sharding, url_rules
+from versetide.llm import bpe, decontaminate, jaccard_join, quality, secrets, sharding, url_rules
 
 QUERIES = {
     "op2_shard": sharding.op2_shard,
     "op4_quality": quality.op4_quality,
     "op5_decontaminate": decontaminate.op5_decontaminate,
     "op7_secrets": secrets.op7_secrets,
+    "op8_bpe": bpe.op8_bpe,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_url_filter": url_rules.op10_url_filter,
 }
