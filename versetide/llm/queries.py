@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from versetide.llm import bpe, decontaminate, jaccard_join, quality, secrets, sharding, url_rules
+from versetide.llm import bpe, decontaminate, jaccard_join, language, licenses, quality, secrets, sharding, url_rules
 
 QUERIES = {
     "op2_shard": sharding.op2_shard,
+    "op3_language": language.op3_language,
+    "language_of_pages": language.language_of_pages,
     "op4_quality": quality.op4_quality,
     "op5_decontaminate": decontaminate.op5_decontaminate,
+    "op6_licences": licenses.op6_licences,
     "op7_secrets": secrets.op7_secrets,
     "op8_bpe": bpe.op8_bpe,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
