@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from versetide.llm import bpe, decontaminate, jaccard_join, language, licenses, quality, secrets, sharding, url_rules
+from versetide.llm import bpe, decontaminate, jaccard_join, language, licenses, quality, secrets, sharding, suffix_dedup, url_rules
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_shard": sharding.op2_shard,
     "op3_language": language.op3_language,
     "language_of_pages": language.language_of_pages,
