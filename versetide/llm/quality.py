@@ -1,6 +1,6 @@
 """Quality rules: n-gram likelihood ratio between a trusted part and the whole corpus.
 
-Word bigrams are hashed into a fixed number of slots. Counts per slot over all
+Bigrams of tokens (words, and runs of punctuation) are hashed into a fixed number of slots. Counts per slot over all
 documents and over the trusted ones give two multinomials; a document's score is
 the mean log ratio of its bigrams. Ratios are kept as whole micro-nats, so sums
 are exact and every document is judged alike on any cluster.
@@ -20,10 +20,12 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEATED = 50  # hundredths of the words
 
+#: A word, or a run of other visible characters, so that marks glued to words count by themselves.
+TOKEN = r"[\p{L}\p{N}_]+|[^\x09-\x0D\x20\p{L}\p{N}_]+"
 #: Slots of the hash, four hexadecimal digits of md5.
 SLOTS = 1 << 16
 #: Least mean log ratio of a kept document, in micro-nats per bigram.
-THRESHOLD = -400_000
+THRESHOLD = -130_000
 
 
 def words_of(text: Column) -> Column:
@@ -46,24 +48,26 @@ def _positions(words: Column, width: int) -> Column:
 
 
 def repeated_words(words: str) -> tuple[Column, Column, Column]:
-    """Three steps: ordered 3-word windows, those that occur twice, words they cover.
+    """Three steps: 3-word windows, those that occur twice, words they cover.
 
-    A window is held as its 64-bit hash; equal ones lie side by side in the
-    sorted array, so a long text costs a sort and no pairs.
+    A window is held as its 64-bit hash. Only a text in which one comes back is
+    sorted: equal windows then lie side by side, so a long text costs a sort and
+    no pairs.
     """
     w = F.col(words)
-    ordered = F.sort_array(F.transform(
-        _positions(w, 3),
-        lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")),
-    ))
-    windows = F.col("windows")
-    twice = F.filter(windows, lambda x, k: F.coalesce(
-        (F.get(windows, k - 1)["h"] == x["h"]) | (F.get(windows, k + 1)["h"] == x["h"]), F.lit(False)
+    hashed = F.transform(_positions(w, 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
+    ordered = F.when(
+        F.size(F.array_distinct("windows")) < F.size("windows"),
+        F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i")))),
+    )
+    rows = F.col("ordered")
+    twice = F.filter(rows, lambda x, k: F.coalesce(
+        (F.get(rows, k - 1)["h"] == x["h"]) | (F.get(rows, k + 1)["h"] == x["h"]), F.lit(False)
     ))
     covered = F.size(F.array_distinct(F.flatten(F.transform(
-        F.col("twice"), lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)
+        twice, lambda x: F.array(x["i"], x["i"] + 1, x["i"] + 2)
     ))))
-    return ordered, twice, covered
+    return hashed, ordered, F.when(rows.isNull(), 0).otherwise(covered)
 
 
 def text_features(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -72,27 +76,29 @@ def text_features(documents: DataFrame, text: str = "text") -> DataFrame:
     A null text has no words. Columns of ``documents`` with the names of the
     counts are replaced.
     """
-    ordered, twice, covered = repeated_words("words")
+    windows, ordered, covered = repeated_words("words")
     lines = F.filter(F.split(F.col("_text"), "\n"), lambda x: F.length(F.translate(x, SPACE_CHARS, "")) > 0)
     return (
         documents.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).drop(text)
-        .withColumns({"words": words_of(F.col("_text")), "lines": lines})
+        .withColumns({
+            "words": words_of(F.col("_text")), "lines": lines, "tokens": F.regexp_extract_all("_text", F.lit(TOKEN), F.lit(0)),
+        })
         .withColumns({
             "n_words": F.size("words").cast("long"),
             "word_chars": F.length(F.translate("_text", SPACE_CHARS, "")).cast("long"),
             "n_symbols": symbol_count(F.col("_text")).cast("long"),
             "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
-            "windows": ordered,
+            "windows": windows,
         })
-        .withColumn("twice", twice)
+        .withColumn("ordered", ordered)
         .withColumns({
             "n_repeat_words": covered.cast("long"),
             "slots": F.transform(
-                _positions(F.col("words"), 2),
-                lambda i: slot_of(F.concat_ws(" ", F.get("words", i), F.get("words", i + 1))),
+                _positions(F.col("tokens"), 2),
+                lambda i: slot_of(F.concat_ws(" ", F.get("tokens", i), F.get("tokens", i + 1))),
             ),
         })
-        .drop("_text", "words", "lines", "windows", "twice")
+        .drop("_text", "words", "tokens", "lines", "windows", "ordered")
     )
 
 
@@ -159,13 +165,16 @@ split AS (
          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM texts
 ),
 places AS (SELECT doc_id, w, unnest(range(1, len(w))) AS i FROM split),
+token_places AS (
+  SELECT doc_id, k, unnest(range(1, len(k))) AS i FROM (SELECT doc_id, regexp_extract_all(t, '{TOKEN}') AS k FROM texts)
+),
 windows AS (
   SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, w[i], w[i + 1], w[i + 2]) AS n FROM places WHERE i + 2 <= len(w)
 ),
 covered AS (
   SELECT doc_id, count(DISTINCT i + o.d) AS n FROM windows, (VALUES (0), (1), (2)) AS o(d) WHERE n > 1 GROUP BY doc_id
 ),
-slots AS (SELECT doc_id, ('0x' || md5(w[i] || ' ' || w[i + 1])[1:4])::INT AS slot FROM places),
+slots AS (SELECT doc_id, ('0x' || md5(k[i] || ' ' || k[i + 1])[1:4])::INT AS slot FROM token_places),
 counts AS (
   SELECT slot, count(*) AS raw, count(*) FILTER (doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) AS good
   FROM slots GROUP BY slot
