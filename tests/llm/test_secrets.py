@@ -1,0 +1,84 @@
+import hashlib
+import random
+import re
+
+from versetide.llm import secrets as S
+
+
+def base(text):
+    """The base rules, read literally: match, then drop."""
+    out = []
+    word = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
+    for m in word.finditer(text):
+        if len(m[2]) >= 12:
+            out.append((m.start(), 0, m.end()))
+    out += [(m.start(), 1, m.end()) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 18]
+    out += [(m.start(), 2, m.end()) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 16]
+    return sorted(out)
+
+
+def test_base_spans_equal_the_literal_rules():
+    rng = random.Random(2)
+    pieces = ["password", "PassWD", "secret", "token", "api_key", "APIKEY", '"', "'", " ", "  ", ":", "=", "abc", "0123456789abcdef",
+              "deadbeef", "AKIA", "ABCDEFGHIJKLMN", "12345", "é", "\n", "-", "x", "tokentoken", "AKIAAKIA"]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 25)))
+        assert S.base_spans(text) == base(text), text
+
+
+def spans(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, base string")
+    return [(r["_id"], [(S.KINDS[x["kind"]], x["start"], x["stop"]) for x in r.base], [(S.KINDS[x["kind"]], x["start"], x["stop"]) for x in r.linked])
+            for r in S.scan(docs).collect()]
+
+
+NAME, OPAQUE, URL = "ZQ7XK2P9LM4RT6WV", "aB3dE5gH7jK9mN1pQ3sT5vW7", "https://api.example.org/v1"
+
+
+def test_weak_parts_need_a_complement(spark):
+    far = "lorem " * 60
+    rows = [
+        (1, f"id {NAME} only", ""), (2, f"{NAME} {OPAQUE}", ""), (3, f"{NAME} {far} {OPAQUE}", ""), (4, f"{URL} {OPAQUE}", ""),
+        (5, f"{URL} {NAME}", ""), (6, f"{NAME} token = {'ab1' * 6}", ""), (7, f"AKIA{NAME} {OPAQUE}", ""), (8, URL, ""),
+        (9, f"é{far}{URL}{' ' * 199}{OPAQUE}", ""), (10, f"{URL}{' ' * 201}{OPAQUE}", ""),
+    ]
+    got = {k: [x[0] for x in linked] for k, _, linked in spans(spark, rows)}
+    assert got == {1: [], 2: ["name", "opaque"], 3: [], 4: ["endpoint", "opaque"], 5: [], 6: ["name"], 7: ["opaque"], 8: [],
+                   9: ["endpoint", "opaque"], 10: []}
+
+
+def test_linking_equals_all_pairs(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(60):
+        parts = [rng.choice([NAME, OPAQUE, URL, "10.1.2.3:80", "token=abcdefabcdefabcd", "word " * rng.randrange(1, 60)]) for _ in range(12)]
+        rows.append((i, " ".join(parts), ""))
+    role = {"assign": "s", "access": "i", "hex": "s", "name": "i", "opaque": "s", "endpoint": "e"}
+    whole = {("i", "s"), ("s", "i"), ("s", "e"), ("e", "s")}
+    for key, found, linked in spans(spark, rows):
+        text = rows[key][1]
+        b = S.base_spans(text)
+        weak = S.weak_spans(text, b)
+        expected = [w for w in weak if any(
+            (role[S.KINDS[w[1]]], role[S.KINDS[o[1]]]) in whole and o[0] <= w[2] + S.REACH and w[0] <= o[2] + S.REACH for o in b + weak)]
+        assert [(S.KINDS[k], s, e) for s, k, e in expected] == linked
+
+
+def test_nulls_repeated_rows_and_empty_table(spark):
+    text = f"{NAME} {OPAQUE}"
+    got = spans(spark, [(1, None, ""), (1, "", ""), (2, text, ""), (2, text, ""), (None, text, ""), (2, "other", "")])
+    assert sorted(len(x[2]) for x in got) == [0, 0, 0, 2, 2, 2]
+    assert spans(spark, []) == []
+
+
+def test_redaction_and_query(spark, tmp_path):
+    rows = [(1, f"é {NAME} {OPAQUE} tail", "en", "s", 1), (2, 'a token = "abcdef123456"; password: x', "en", "s", 1), (3, None, "en", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in S.redact(docs).collect()}
+    assert got == {1: "é [secret] [secret] tail", 2: 'a [secret]"; password: x', 3: None}
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    r = {x.doc_id: x for x in S.op7_secrets(spark, str(tmp_path)).collect()}
+    assert r[2].spans == "assign:2:23" and r[2].n_assign == 1
+    assert r[2].base_sha256 == hashlib.sha256(b"assign:2:23").hexdigest()
+    assert r[3].base_sha256 == hashlib.sha256(b"").hexdigest() and r[3].spans == ""
+    assert r[1].spans == f"name:2:18,opaque:19:{19 + len(OPAQUE)}"

@@ -129,6 +129,8 @@ def overlaps(items: Items, rows: np.ndarray, hashes: np.ndarray) -> dict[int, li
     for k, origin, row in items.diagonals(rows, hashes):
         words = items.words[k]
         begin, end = max(origin, first[row]), min(origin + len(words), first[row + 1])
+        if len(words) < len(MASKS[0]) and first[row + 1] - first[row] != len(words):
+            continue  # a few words stand for an item only where they are the whole text
         equal = hashes[begin:end] == words[begin - origin : end - origin]
         start, length, same = best_overlap(equal)
         if length >= min(MIN_WORDS, len(words)):
@@ -165,7 +167,8 @@ def with_leaks(
 
     An overlap has at least MIN_WORDS words (or the item's length if that is
     less) of which LEAST hundredths are equal, word by word; ``first_word`` is
-    its place in the document. Null and empty texts and items have none; items
+    its place in the document. An item of fewer words than a seed needs is found
+    where it is the whole text. Null and empty texts and items have none; items
     without a number are reported as -1. A column named ``leaks`` is replaced, and all rows and other
     columns stay. A block of the benchmark is sent to the tasks, at most
     BLOCK_WORDS words; each further block is one more pass over the documents.

@@ -117,6 +117,8 @@ def log_ratios(features: DataFrame, trusted: DataFrame, key: str) -> DataFrame:
     ).groupBy("slot").agg(F.sum("is_trusted").alias("good"), F.count("*").alias("raw"))
     counts = settle(counts, "slot-counts")
     total = counts.agg(F.sum("good").alias("good"), F.sum("raw").alias("raw")).first()
+    if not total["good"]:
+        return counts.select("slot", F.lit(0).cast("long").alias("ratio"))  # nothing to compare with
     good, raw = (total["good"] or 0) + SLOTS, (total["raw"] or 0) + SLOTS
     share = F.log((F.col("good") + 1) / F.lit(float(good))) - F.log((F.col("raw") + 1) / F.lit(float(raw)))
     return counts.select("slot", F.round(share * 1e6).cast("long").alias("ratio"))
@@ -131,7 +133,7 @@ def judge_quality(
     true when the mean ratio reaches ``threshold``. ``score`` is the sum of the
     micro-nats over ``n_grams`` bigrams. ``trusted`` holds the keys of the target
     documents; repeated or unknown keys there change nothing, and without any the
-    ratios are near zero and all that pass the base rules stay. Repeated rows are
+    ratios are zero and all that pass the base rules stay. Repeated rows are
     judged each.
 
     The ratios are a table of ``SLOTS`` rows whatever the corpus, small enough to
