@@ -90,3 +90,11 @@ def test_repeated_rows_equal_keys_and_clashing_columns(spark):
 
 def test_empty_table(spark):
     assert S.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_common_ranks_spread_over_parts(spark, monkeypatch):
+    monkeypatch.setattr(S, "HOT", 10**6)
+    monkeypatch.setattr(S, "SPREAD", 3)
+    rows = corpus(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert result(docs) == brute(rows)

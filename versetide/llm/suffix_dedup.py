@@ -13,8 +13,9 @@ repeat is lost. Rows (rank, longer rank, document) are sorted by Spark:
    each way is ranked window by window by all LENGTH bytes, past which nothing
    has to be told apart.
 
-Every sort is dealt by range of rank and document, so a string that a third of
-all documents hold is spread over tasks.
+Rows are dealt by rank. Ranks that a sample shows to be common (HOT of them at
+most) are dealt by document as well, so a string that a third of all documents
+hold is spread over tasks; what is first in each part is then compared apart.
 """
 
 from __future__ import annotations
@@ -31,6 +32,10 @@ LENGTH = 50
 PREFIX = 24
 #: Sorted rows for each partition.
 SORT_ROWS = 3_000_000
+#: A rank with more than one in HOT of the rows of a sample is spread over SPREAD parts.
+#: The sample is of documents, by hash of the key: SAMPLE of them, about. It decides where rows go
+#: and nothing else.
+HOT, SPREAD, SAMPLE = 2000, 64, 10_000
 #: Bytes of a text that are ranked at once; a longer text is taken in overlapping pieces.
 PIECE = 1 << 22
 
@@ -60,18 +65,27 @@ def stretches(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, prefix
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none, none, none, none.astype(np.uint64), none.astype(np.uint64), total
-    ends = np.arange(prefix, len(data) + 1)
-    name = A.spans_hash(total, ends - prefix, ends)
-    chosen = _window_min((name & ~_LOW) | np.arange(len(name), dtype=np.uint64), length - prefix + 1) & _LOW
-    chosen = chosen.astype(np.int64)
-    row = np.searchsorted(bounds, np.arange(len(chosen)), "right") - 1
-    window = np.flatnonzero(np.arange(len(chosen)) + length <= bounds[row + 1])
-    chosen, row = chosen[window], row[window]
-    new = np.ones(len(window), bool)
-    new[1:] = (chosen[1:] != chosen[:-1]) | (row[1:] != row[:-1])
-    at = np.flatnonzero(new)
-    first, last = window[at], window[np.r_[at[1:], len(window)] - 1] if len(at) else none
-    return first, last, row[at], name[chosen[at]], A.spans_hash(total, first, last + length), total
+    name = (total[prefix:] - total[:-prefix]) * A.powers(len(data) + 1)[1][: len(data) - prefix + 1]
+    order = (name ^ (name >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    order &= ~_LOW
+    order |= np.arange(len(name), dtype=np.uint64)
+    chosen = (_window_min(order, length - prefix + 1) & _LOW).view(np.int64)
+    new = np.ones(len(chosen), bool)
+    new[1:] = chosen[1:] != chosen[:-1]
+    # windows that leave their row are none; those around them begin a run of their own
+    edge = bounds[1:-1]
+    new[edge[edge < len(chosen)]] = True
+    within = np.ones(len(chosen), bool)
+    for back in range(1, length):
+        at = edge - back
+        within[at[(at >= 0) & (at < len(chosen))]] = False
+    at = np.flatnonzero(new & within)
+    # a run ends before the next one begins, or before the windows that leave the row
+    stop = np.flatnonzero(new | ~within)
+    following = np.searchsorted(stop, at, "right")
+    last = np.r_[stop, len(chosen)][following] - 1
+    row = np.searchsorted(bounds, at, "right") - 1
+    return at, last, row, A.mix(name[chosen[at]]), A.spans_hash(total, at, last + length), total
 
 
 def _pieces(part: pa.RecordBatch, text: str, length: int):
@@ -112,35 +126,28 @@ def _rerank(batches):
 
     REPEAT: a row that is not the first document of its longer rank. APART: the
     first row of a longer rank whose rank goes on in another way as well. EDGE:
-    rows of the partition's first rank, and the first row of its last longer
-    rank, as the neighbouring partitions have to be known for those.
+    the first row of a longer rank of which other parts have rows, too.
     """
-    head = held = None
+    held = None
     for batch in batches:
         if not batch.num_rows:
             continue
         rank, longer, doc = (batch.column(k).to_numpy() for k in range(3))
-        if held is None:
-            head = rank[0]
-        else:
-            rank, longer, doc = (np.r_[h, x] for h, x in zip(held, (rank, longer, doc)))
+        hot = batch.column(3).to_numpy(zero_copy_only=False)
+        if held is not None:
+            rank, longer, doc, hot = (np.r_[h, x] for h, x in zip(held, (rank, longer, doc, hot)))
         begins = np.ones(len(rank), bool)
         begins[1:] = (rank[1:] != rank[:-1]) | (longer[1:] != longer[:-1])
         start = np.flatnonzero(begins)
-        group = np.cumsum(begins) - 1
-        repeat = doc > doc[start][group]
+        first = np.repeat(doc[start], np.diff(np.r_[start, len(doc)]))
         same = rank[start][1:] == rank[start][:-1]
         apart = np.zeros(len(rank), bool)
         apart[start] = np.r_[False, same] | np.r_[same, False]
-        edge = rank == head
-        if held is not None:
-            edge[0] = False  # was given out before
-        kind = np.where(edge, EDGE, np.where(repeat, REPEAT, APART))
-        keep = np.flatnonzero(edge | ((rank != head) & (repeat | apart)))
+        edge = begins & hot
+        kind = np.where(doc > first, REPEAT, np.where(edge, EDGE, APART))
+        keep = np.flatnonzero((doc > first) | apart | edge)
         yield _rows(kind[keep], rank[keep], longer[keep], doc[keep])
-        held = rank[start[-1]], longer[start[-1]], doc[start[-1]]
-    if held is not None:
-        yield _rows(*(np.array([x]) for x in (EDGE, *held)))
+        held = tuple(x[start[-1]] for x in (rank, longer, doc, hot))
 
 
 def _rows(kind, rank, longer, doc) -> pa.RecordBatch:
@@ -150,11 +157,22 @@ def _rows(kind, rank, longer, doc) -> pa.RecordBatch:
     )
 
 
-def reranked(rows: DataFrame, expected: int) -> tuple[DataFrame, DataFrame]:
+def common(rows: DataFrame) -> DataFrame:
+    """``rank, hot`` of the ranks that hold more than one in HOT of the rows: HOT of them at most."""
+    counts = settle(rows.groupBy("rank").agg(F.count("*").alias("n")).where("n > 4"), "rank-counts")
+    total = rows.count()
+    return settle(counts.where(F.col("n") * HOT > total).select("rank", F.lit(True).alias("hot")), "common")
+
+
+def reranked(rows: DataFrame, expected: int, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sort ``rank, longer, doc`` and return ``doc, longer`` of the repeats and of those that are apart."""
     count = max(rows.sparkSession.sparkContext.defaultParallelism, -(-expected // SORT_ROWS))
+    dealt = rows.join(F.broadcast(hot), "rank", "left").select(  # HOT rows at most
+        "rank", "longer", "doc", F.coalesce("hot", F.lit(False)).alias("hot")
+    )
+    part = F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(SPREAD)))
     done = settle(
-        rows.repartitionByRange(count, "rank", "longer", "doc").sortWithinPartitions("rank", "longer", "doc")
+        dealt.repartition(count, "rank", part).sortWithinPartitions("rank", "longer", "doc")
         .mapInArrow(_rerank, "kind int, rank long, longer long, doc long"),
         "reranked",
     )
@@ -257,14 +275,24 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
     )
     size = source.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     spread_by = (LENGTH - PREFIX + 2) // 2  # bytes for each chosen position
-    rows = source.select("_doc", "_text").mapInArrow(_ranker("_text"), "rank long, longer long, doc long")
-    repeats, apart = reranked(rows, size // spread_by)
+
+    def ranks(of: DataFrame) -> DataFrame:
+        return of.select("_doc", "_text").mapInArrow(_ranker("_text"), "rank long, longer long, doc long")
+
+    one_in = max(1, source.count() // SAMPLE)
+    hot = common(ranks(source.where(F.pmod(F.xxhash64("_doc"), F.lit(one_in)) == 0)))
+    repeats, apart = reranked(ranks(source), size // spread_by, hot)
     ways = settle(apart.groupBy("doc").agg(F.collect_set("longer").alias("apart"), F.count("*").alias("n")), "apart")
-    windows = (
-        source.select("_doc", "_text").join(ways, F.col("_doc") == F.col("doc")).select("_doc", "_text", "apart")
-        .mapInArrow(_window_ranker("_text"), "rank long, doc long").select("rank", F.col("rank").alias("longer"), "doc")
-    )
-    again, _ = reranked(windows, (ways.agg(F.sum("n")).first()[0] or 0) * spread_by)
+
+    def windows(of: DataFrame) -> DataFrame:
+        return (
+            source.select("_doc", "_text").join(of, F.col("_doc") == F.col("doc")).select("_doc", "_text", "apart")
+            .mapInArrow(_window_ranker("_text"), "rank long, doc long").select("rank", F.col("rank").alias("longer"), "doc")
+        )
+
+    one_in = max(1, ways.count() // SAMPLE)
+    hot = common(windows(ways.where(F.pmod(F.xxhash64("doc"), F.lit(one_in)) == 0)))
+    again, _ = reranked(windows(ways), (ways.agg(F.sum("n")).first()[0] or 0) * spread_by, hot)
     found = repeats.select("doc", "longer", F.lit(True).alias("whole")).unionByName(
         again.select("doc", "longer", F.lit(False).alias("whole"))
     )
