@@ -5,22 +5,24 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as contract
 from versetide.operators.events import clean_log
+from versetide.plans.oracle import ORACLE
 from versetide.plans.offline import offline_job, user_log
+from versetide.plans.queries import QUERIES
 from versetide.plans.roles import Tables
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
-ARROW = {"similar_exact", "similar_text", "most_similar", "recall_candidates", "guess_you_like", "guess_by_star", "cf_topk"}
-MODELS = {"similar_text", "cf_topk", "cf_tuning", "ranker_compare", "guess_you_like"}
+ARROW = {"factors_top", "recall_with_cf", "guess_strangers", "similar_exact", "similar_text", "most_similar", "recall_candidates", "guess_you_like", "guess_by_star", "cf_topk"}
+MODELS = {"similar_text", "cf_topk", "ranker_compare", "guess_you_like"}
 
 
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - MODELS))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - MODELS))
 def test_queries_run_without_crosses_or_row_udfs(spark, name):
-    df = contract.queries()[name](spark, FOLDER)
+    df = QUERIES[name](spark, FOLDER)
     text = plan(df)
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
     assert "BatchEvalPython" not in text
@@ -30,7 +32,7 @@ def test_queries_run_without_crosses_or_row_udfs(spark, name):
 
 
 def test_every_query_but_the_models_has_sql():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == MODELS
+    assert set(QUERIES) - set(ORACLE) == MODELS
     assert set(contract.oracle_sql()) <= set(contract.queries())
 
 

@@ -12,13 +12,12 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from versetide.functions.parsing import digest, digest_number
 from versetide.operators.products import top_products
 from versetide.operators.ranking import dense_positions
-from versetide.session import scratch_path, settle, spread, use_checkpoints
+from versetide.session import settle, spread, use_checkpoints
 
 # Fixed values of the rating scale and of the tuning grid.
 SCALE = (-2.0, 5.0)
@@ -231,6 +230,23 @@ def with_folds(ratings: DataFrame, folds: int = FOLDS, seed: int = 7) -> DataFra
     return ratings.withColumn("fold", (digest_number(digest(seed, "userId", "itemId")) % folds).cast("int"))
 
 
+def fold_errors(ratings: DataFrame, folds: int = FOLDS, seed: int = 7, scale=SCALE) -> DataFrame:
+    """(fold, n, rmse, mae) of the bias model, each fold predicted from the others.
+
+    One row for each fold; a fold without ratings has none.
+    """
+    rows = settle(with_folds(known_ratings(ratings), folds, seed), "folds")
+    out = None
+    for fold in range(folds):
+        test = rows.where(F.col("fold") == fold)
+        miss = F.col("rating") - clip(F.col("base"), scale)
+        one = fit_biases(rows.where(F.col("fold") != fold)).add(test).groupBy("fold").agg(
+            F.count(F.lit(1)).alias("n"), F.sqrt(F.avg(miss * miss)).alias("rmse"), F.avg(F.abs(miss)).alias("mae")
+        )
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def tune_cf(ratings: DataFrame, grid: dict[str, list] | None = None, folds: int = FOLDS, seed: int = 7,
             parallelism: int = 4) -> DataFrame:
     """(rank, max_iter, reg, rmse, mae, best): mean errors over the folds of each setting.
@@ -271,15 +287,12 @@ def tune_cf(ratings: DataFrame, grid: dict[str, list] | None = None, folds: int
     scored = []
     for setting in settings:
         pairs = [p for p in errors[setting] if p[0] is not None]
+        if not pairs:
+            continue  # no fold of this setting had a rating to predict
         scored.append((*setting, sum(p[0] for p in pairs) / len(pairs), sum(p[1] for p in pairs) / len(pairs)))
-    least = min(s[3] for s in scored)
-    first_best = next(i for i, s in enumerate(scored) if s[3] == least)
+    least = min((s[3] for s in scored), default=None)
+    first_best = next((i for i, s in enumerate(scored) if s[3] == least), None)
     return spark.createDataFrame(
         [(r, m, float(g), rmse, mae, i == first_best) for i, (r, m, g, rmse, mae) in enumerate(scored)],
         "rank int, max_iter int, reg double, rmse double, mae double, best boolean",
     )
-
-
-def model_path(spark: SparkSession) -> str:
-    """A fresh place for a model in the shared folder."""
-    return scratch_path(spark, "cf-model")

@@ -57,10 +57,18 @@ def join_items(samples: DataFrame, items: DataFrame) -> DataFrame:
     return samples.join(features, samples["itemId"] == features["poemId"]).dropna("any")
 
 
-def join_users(df: DataFrame, users: DataFrame) -> DataFrame:
-    """Add ``userSex``; a user without a row in ``users`` is left out."""
+def lookup(table: DataFrame, key: str) -> DataFrame:
+    """``table`` with one row for each ``key``: of several the smallest, column by column."""
+    rest = [c for c in table.columns if c != key]
+    return table.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*rest)).alias("_row")).select(
+        key, *(F.col("_row").getField(c).alias(c) for c in rest)
+    )
+
+
+def join_users(df: DataFrame, users: DataFrame, how: str = "inner") -> DataFrame:
+    """Add ``userSex``; of a user who is not in ``users`` the row goes, or with ``left`` the sex is null."""
     typed = users.select(F.col("userId").try_cast("bigint").alias("userId"), "userSex")
-    return df.join(typed, "userId")
+    return df.join(lookup(typed, "userId"), "userId", how)
 
 
 def flag_favourite_author(
@@ -104,16 +112,26 @@ def training_set(
 
 
 def ranker_rows(
-    pairs: DataFrame, items: DataFrame, users: DataFrame, favourites: DataFrame
+    pairs: DataFrame, items: DataFrame, users: DataFrame, favourites: DataFrame, serving: bool = False
 ) -> DataFrame:
-    """Feature columns of (userId, itemId, ...) rows, for training and scoring alike.
+    """Feature columns of (userId, itemId, ...) rows, for training and scoring.
 
-    ``items`` is the attribute table. An item without attributes and a user
-    without a row in ``users`` drop out.
+    ``items`` is the attribute table, and its rows and those of ``users`` are made
+    unique on their keys. For training, an item without author or star and a
+    user without a row in ``users`` drop out. For serving every pair stays: an
+    unknown author is nobody's favourite, an unknown star is 0, and an unknown
+    sex is none of the known ones.
     """
     attributes = items.select(
         F.col("poemId").cast("bigint").alias("_item"), "poemAuthorId",
         F.col("poemStar").cast("double").alias("poemStar"), "poemDynasty", "poemTagNames",
-    ).dropna("any", subset=["poemAuthorId", "poemStar"])
-    joined = pairs.join(attributes, F.col("itemId").cast("bigint") == F.col("_item")).drop("_item")
-    return flag_favourite_author(join_users(joined, users), favourites)
+    )
+    if serving:
+        attributes = lookup(attributes, "_item")
+    else:
+        attributes = lookup(attributes.dropna("any", subset=["poemAuthorId", "poemStar"]), "_item")
+    how = "left" if serving else "inner"
+    joined = pairs.join(attributes, F.col("itemId").cast("bigint") == F.col("_item"), how).drop("_item")
+    if serving:
+        joined = joined.fillna(0.0, subset=["poemStar"])
+    return flag_favourite_author(join_users(joined, users, how), favourites)

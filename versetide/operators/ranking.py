@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from versetide.functions.parsing import digest
 
+GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 BUCKET_DIGITS = 3  # a hash order is cut into 16**3 buckets
 
 
@@ -15,8 +16,12 @@ def top_k(df: DataFrame, part: list[str], order: list[Column], k: int, rank: str
     """First ``k`` rows of each part.
 
     The ``rank <= k`` filter is pushed below the shuffle as a group limit, so a
-    part of any size sends at most ``k`` rows per input partition.
+    part of any size sends at most ``k`` rows per input partition; the session's
+    threshold for that is raised to ``k`` where it is lower.
     """
+    conf = df.sparkSession.conf
+    if int(conf.get(GROUP_LIMIT, "1000")) < k:
+        conf.set(GROUP_LIMIT, k)
     window = W.partitionBy(*part).orderBy(*order)
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= k)
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from versetide.functions.parsing import digest, digest_number, entry_item, entry_tags
-from versetide.operators.features import item_terms
+from versetide.operators.features import item_terms, lookup
 from versetide.operators.ranking import dense_positions, sample_per_group, to_lists, top_k
 
 # Fixed values of the service.
@@ -32,7 +32,7 @@ def recent_activity(events: DataFrame, items: DataFrame, n: int = RECENT_ENTRIES
 
 def activity_entries(actions: DataFrame, items: DataFrame) -> DataFrame:
     """Actions with ``entry``: ``<item>-dynasty-tag...`` or ``NoPoemID`` without item."""
-    terms = items.select(F.col("poemId").alias("_item"), F.array_join(item_terms(), "-").alias("_terms"))
+    terms = lookup(items.select(F.col("poemId").alias("_item"), F.array_join(item_terms(), "-").alias("_terms")), "_item")
     head = F.coalesce(F.col("itemId").cast("string"), F.lit("NoPoemID"))
     return (
         actions.join(terms, F.col("itemId") == F.col("_item"), "left")
@@ -107,7 +107,7 @@ def draw_tag_items(tags: DataFrame, index: DataFrame, k: int = ITEMS_PER_TAG, se
 def similar_to_recent(parsed: DataFrame, similar: DataFrame, k: int = SIMILAR_USED) -> DataFrame:
     """(userId, itemId): the first ``k`` similar items of each recent item."""
     seen = parsed.where(F.col("itemId").isNotNull()).select("userId", F.col("itemId").alias("poemId")).distinct()
-    lists = similar.select("poemId", F.slice("top100", 1, k).alias("_near"))
+    lists = lookup(similar.select("poemId", F.slice("top100", 1, k).alias("_near")), "poemId")
     return seen.join(lists, "poemId").select("userId", F.explode("_near").alias("itemId"))
 
 
@@ -121,10 +121,13 @@ def recall(
     n_tags: int = TAGS_DRAWN,
     n_items: int = ITEMS_PER_TAG,
     n_similar: int = SIMILAR_USED,
+    fixed: DataFrame | None = None,
 ) -> DataFrame:
-    """(userId, itemId): distinct candidates of every user from both recalls.
+    """(userId, itemId): distinct candidates of every user from all recalls.
 
-    ``recent`` and ``index`` are read more than once: pass written tables.
+    ``fixed`` is a stored list per user, (userId, itemId) rows such as those of
+    ``save_cf_lists``; it is a third source. ``recent`` and ``index`` are read
+    more than once: pass written tables.
     """
     parsed = parse_activity(recent)
     wanted = users.select("userId")
@@ -132,4 +135,7 @@ def recall(
     by_text = similar_to_recent(parsed.join(wanted, "userId", "left_semi"), similar, n_similar)
     by_tag = draw_tag_items(tags, index, n_items, seed)
     as_long = [F.col("userId").cast("bigint").alias("userId"), F.col("itemId").cast("bigint").alias("itemId")]
-    return by_text.select(*as_long).unionByName(by_tag.select(*as_long)).dropDuplicates(["userId", "itemId"])
+    found = by_text.select(*as_long).unionByName(by_tag.select(*as_long))
+    if fixed is not None:
+        found = found.unionByName(fixed.select(*as_long).join(wanted, "userId", "left_semi"))
+    return found.dropDuplicates(["userId", "itemId"])

@@ -251,6 +251,54 @@ FROM customer LEFT JOIN lists ON "userId" = c_custkey""",
 )
 SELECT "userId", '{"rs":[' || string_agg("itemId", ',' ORDER BY rank) || ']}' AS payload
 FROM ranked GROUP BY "userId" """,
+    "guess_strangers": "WITH " + RECALL + "," + FAVOURITES + """, ranked AS (
+  SELECT c."userId", c."itemId", ROW_NUMBER() OVER (PARTITION BY c."userId"
+    ORDER BY "poemStar" + CASE WHEN author IS NULL OR "poemStar" % 2 <> 0 THEN 0 ELSE 100 END DESC, c."itemId") AS rank
+  FROM candidates c JOIN items ON c."itemId" = "poemId"
+    LEFT JOIN favourites f ON f."userId" = c."userId" AND author = "poemAuthorId"
+  QUALIFY rank <= 10
+)
+SELECT "userId", '{"rs":[' || string_agg("itemId", ',' ORDER BY rank) || ']}' AS payload
+FROM ranked GROUP BY "userId" """,
+    "recall_with_cf": "WITH " + RECALL + "," + BASE_TOP + """
+SELECT "userId", "itemId" FROM candidates
+UNION SELECT "userId", "itemId" FROM base_top WHERE rank <= 10 AND "userId" IN (SELECT c_custkey FROM customer)""",
+    "fold_errors": "WITH " + PURCHASES + """, rated AS (
+  SELECT *, CAST('0x' || substr(md5('7:' || "userId" || ':' || "itemId"), 1, 8) AS BIGINT) % 5 AS fold FROM ratings
+), folds AS (SELECT UNNEST(range(5)) AS k),
+train AS (SELECT k, r.* FROM rated r JOIN folds ON fold <> k),
+means AS (SELECT k, AVG(rating) AS m FROM train GROUP BY k),
+ib AS (SELECT k, "itemId", round(SUM(rating - m) / (10.0 + COUNT(*)), 10) AS ib FROM train JOIN means USING (k) GROUP BY k, "itemId"),
+ub AS (
+  SELECT k, "userId", round(SUM(rating - m - ib) / (15.0 + COUNT(*)), 10) AS ub
+  FROM train JOIN means USING (k) JOIN ib USING (k, "itemId") GROUP BY k, "userId"
+), misses AS (
+  SELECT fold, rating - GREATEST(-2.0, LEAST(5.0, m + COALESCE(ub, 0) + COALESCE(ib, 0))) AS e
+  FROM rated r JOIN means ON r.fold = means.k
+    LEFT JOIN ib ON ib.k = r.fold AND ib."itemId" = r."itemId" LEFT JOIN ub ON ub.k = r.fold AND ub."userId" = r."userId"
+)
+SELECT CAST(fold AS INTEGER) AS fold, COUNT(*) AS n, round(sqrt(AVG(e * e)), 6) AS rmse, round(AVG(abs(e)), 6) AS mae
+FROM misses GROUP BY fold""",
+    "factors_top": """
+WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v, len(embedding) // 2 AS h FROM embeddings),
+pairs AS (
+  SELECT a.id AS "userId", b.id AS "itemId", a.id % 5 / 10 AS ub,
+    round(list_dot_product(a.v[1:a.h], b.v[b.h + 1:2 * b.h]) + b.id % 7 / 10, 6) AS s FROM v a, v b
+), ranked AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY "userId" ORDER BY s DESC, "itemId") AS rank FROM pairs QUALIFY rank <= 20
+)
+SELECT "userId", "itemId", CAST(rank AS INTEGER) AS rank, CAST(round(GREATEST(-2.0, LEAST(5.0, 1.5 + ub + s)) * 1000000) AS BIGINT) AS micros FROM ranked""",
+    "doc_vectors_given": r"""
+WITH words AS (
+  SELECT doc_id, UNNEST(regexp_extract_all(lower(text), '\p{Han}|[^\P{L}\p{Han}]+')) AS term FROM documents
+), tf AS (SELECT doc_id, term, COUNT(*) AS tf FROM words GROUP BY ALL),
+terms AS (
+  SELECT term, ln(((SELECT COUNT(*) FROM documents) + 1.0) / (COUNT(*) + 1)) AS idf, UNNEST(range(8)) AS place FROM tf GROUP BY term
+), valued AS (
+  SELECT term, idf, place, CAST('0x' || substr(md5(term), CAST(2 * place + 1 AS BIGINT), 2) AS INTEGER) / 255 - 0.5 AS v FROM terms WHERE idf > 0
+)
+SELECT doc_id AS "docId", CAST(place AS INTEGER) AS place, round(round(SUM(tf * idf * v) / SUM(tf * idf), 8), 6) AS value
+FROM tf JOIN valued USING (term) GROUP BY doc_id, place""",
     "headers_parsed": HEADERS,
     "stream_headers": HEADERS,
     "envelopes_parsed": f"""

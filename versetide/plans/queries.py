@@ -48,7 +48,7 @@ from versetide.streaming.jobs import (
 SEED = 42
 DAY = "2024-02-01"
 LIST = 100
-TUNE = {"rank": [4, 8], "max_iter": [5], "reg": [0.1, 0.6]}
+FIXED = 10
 
 
 def _round(column: str, digits: int = 4):
@@ -79,6 +79,10 @@ def _index(t: Tables) -> DataFrame:
     return settle(tag_index(t.items(), SEED), "tag-index")
 
 
+def _ratings(t: Tables) -> DataFrame:
+    return settle(cf.known_ratings(t.purchases()), "ratings")
+
+
 def _users(t: Tables) -> DataFrame:
     return t.users().select("userId")
 
@@ -170,7 +174,7 @@ def similar_exact(spark: SparkSession, folder: str) -> DataFrame:
 
 def similar_text(spark: SparkSession, folder: str) -> DataFrame:
     docs = Tables(spark, folder).documents()
-    return text.similar_items(text.text_vectors(docs, size=32), LIST).select(
+    return text.similar_items(text.text_vectors(docs), LIST).select(
         "poemId", F.posexplode("top100").alias("place", "similarId")
     )
 
@@ -180,13 +184,13 @@ def most_similar_items(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def cf_baseline(spark: SparkSession, folder: str) -> DataFrame:
-    rows = cf.known_ratings(Tables(spark, folder).purchases())
+    rows = _ratings(Tables(spark, folder))
     biased = cf.fit_biases(rows).add(rows)
     return biased.select("userId", "itemId", F.round(cf.clip(F.col("base")), 4).alias("prediction"))
 
 
 def cf_baseline_top(spark: SparkSession, folder: str) -> DataFrame:
-    biases = cf.fit_biases(cf.known_ratings(Tables(spark, folder).purchases()))
+    biases = cf.fit_biases(_ratings(Tables(spark, folder)))
     return cf.baseline_top(biases, LIST).select("userId", "itemId", "rank", _round("score"))
 
 
@@ -195,8 +199,37 @@ def cf_topk(spark: SparkSession, folder: str) -> DataFrame:
     return cf.recommend_all(model, LIST)
 
 
-def cf_tuning(spark: SparkSession, folder: str) -> DataFrame:
-    return cf.tune_cf(user_log(Tables(spark, folder).access_log()), TUNE)
+def fold_errors(spark: SparkSession, folder: str) -> DataFrame:
+    errors = cf.fold_errors(Tables(spark, folder).purchases())
+    return errors.select("fold", "n", _round("rmse", 6), _round("mae", 6))
+
+
+def factors_top(spark: SparkSession, folder: str) -> DataFrame:
+    """Lists from given factors: the halves of ``vectors`` are those of users and of items."""
+    both = settle(Tables(spark, folder).vectors().select("id", F.col("vec").cast("array<double>").alias("vec")), "factors")
+    half = (F.size("vec") / 2).cast("int")
+    users = both.select(F.col("id").alias("userId"), (F.col("id") % 5 / 10).alias("userBias"), F.slice("vec", F.lit(1), half).alias("p"))
+    items = both.select(F.col("id").alias("itemId"), (F.col("id") % 7 / 10).alias("itemBias"), F.slice("vec", half + 1, half).alias("q"))
+    best = cf.recommend_all(cf.CFModel(1.5, users, items), 20)
+    return best.select("userId", "itemId", "rank", F.round(F.col("score") * 1_000_000).cast("bigint").alias("micros"))
+
+
+def doc_vectors_given(spark: SparkSession, folder: str) -> DataFrame:
+    """Document vectors from word vectors that are made from a hash of the word."""
+    cut = text.token_table(Tables(spark, folder).documents())
+    parts = [F.conv(F.substring(F.md5("term"), 2 * i + 1, 2), 16, 10) / 255 - 0.5 for i in range(8)]
+    terms = cut.select(F.explode(F.array_distinct("tokens")).alias("term")).distinct()
+    vectors = text.doc_vectors(cut, terms.select("term", F.array(*parts).alias("vector")), cut.count())
+    return vectors.select("docId", F.posexplode("vec").alias("place", "value")).select("docId", "place", _round("value", 6))
+
+
+def recall_with_cf(spark: SparkSession, folder: str) -> DataFrame:
+    """Recall with the bias model's stored lists as the fixed set."""
+    t = Tables(spark, folder)
+    path = scratch_path(spark, "cf-lists")
+    cf.save_cf_lists(cf.baseline_top(cf.fit_biases(_ratings(t)), LIST), path)
+    stored = spark.read.parquet(path).where(F.col("rank") <= FIXED)
+    return recall(_users(t), _recent(t), _similar(t), _index(t), DEFAULTS, SEED, fixed=stored)
 
 
 def _ranker_inputs(t: Tables):
@@ -243,9 +276,20 @@ def guess_by_star(spark: SparkSession, folder: str) -> DataFrame:
     return to_payload(shown_lists(ranked), "rs").select("userId", "payload")
 
 
+def guess_strangers(spark: SparkSession, folder: str) -> DataFrame:
+    """The same service where user info and authors are missing for some, and items stand twice."""
+    t = Tables(spark, folder)
+    items = t.items().withColumn("poemAuthorId", F.when(F.col("poemStar") % 2 == 0, F.col("poemAuthorId")))
+    ranked = guess_you_like(
+        _users(t), _recent(t), _similar(t), _index(t), items.unionByName(items), t.users().where("userSex <> 'BUILDING'"),
+        t.favourites(), _ByStar, DEFAULTS, seed=SEED,
+    )
+    return to_payload(shown_lists(ranked), "rs").select("userId", "payload")
+
+
 def daily_lists(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
-    biases = cf.fit_biases(cf.known_ratings(t.purchases()))
+    biases = cf.fit_biases(_ratings(t))
     daily = shown_lists(daily_list(cf.baseline_top(biases, LIST), DAY))
     return to_payload(daily_for(_users(t), daily), "rijian").select("userId", "payload")
 
@@ -317,7 +361,11 @@ QUERIES = {
     "cf_baseline": cf_baseline,
     "cf_baseline_top": cf_baseline_top,
     "cf_topk": cf_topk,
-    "cf_tuning": cf_tuning,
+    "fold_errors": fold_errors,
+    "factors_top": factors_top,
+    "doc_vectors_given": doc_vectors_given,
+    "recall_with_cf": recall_with_cf,
+    "guess_strangers": guess_strangers,
     "ranker_compare": ranker_compare,
     "guess_you_like": guess,
     "guess_by_star": guess_by_star,

@@ -25,11 +25,12 @@ def guess_you_like(
 ) -> DataFrame:
     """(userId, itemId, score, rank): recall, features, ranking.
 
-    ``ranker.transform`` adds ``score``. A candidate without attributes drops out.
+    ``ranker.transform`` adds ``score``. Every user and every candidate stays,
+    whatever is known about them.
     The candidates are written before the costly scoring, in parts for every core.
     """
     candidates = spread(recall(users, recent, similar, index, defaults, seed), "candidates")
-    return rank_candidates(ranker.transform(ranker_rows(candidates, items, user_info, favourites)), k)
+    return rank_candidates(ranker.transform(ranker_rows(candidates, items, user_info, favourites, serving=True)), k)
 
 
 def shown_lists(ranked: DataFrame) -> DataFrame:
