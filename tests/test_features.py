@@ -8,6 +8,8 @@ from versetide.operators.features import (
     join_users,
     multi_hot,
     one_hot_table,
+    sparse_training_set,
+    term_table,
     training_set,
 )
 
@@ -70,3 +72,26 @@ def test_training_set(spark, items, log):
     assert sorted(map(tuple, df.collect())) == sorted([
         (3, 1, 3.0, 0, 1, 1, 1, 0, "f", 1), (-2, 0, 5.0, 1, 0, 0, 0, 0, "m", 0), (2, 1, 1.0, 0, 1, 0, 0, 1, "m", 0)])
     assert dict(df.dtypes)["moon"] == "bigint"
+
+
+def test_sparse_training_set_takes_any_term(spark, log):
+    names = ["Red", "red", "rating", "a`b", "userId", "x.y", "Song"]
+    items = spark.createDataFrame(
+        [(1, 200007, 3.0, "Tang", ",".join(names)), (3, 200009, 5.0, "Song", None), (4, 200007, 1.0, None, None)], ITEMS)
+    users = spark.createDataFrame([(1, "f"), (2, "m"), (9, "m")], "userId long, userSex string")
+    favourites = spark.createDataFrame([(1, 7)], "userId long, authorId long")
+    terms = term_table(items)
+    ids = {r["term"]: r["termId"] for r in terms.collect()}
+    assert sorted(ids) == sorted([*names, "Tang"]) and sorted(ids.values()) == list(range(8))
+    got = {(r["userId"], r["itemId"]): r for r in sparse_training_set(log, items, users, favourites, terms).collect()}
+    assert set(got) == {(1, 1), (2, 3), (9, 4)} and got[9, 4]["indicators"] == []
+    assert got[1, 1]["indicators"] == sorted(ids[n] for n in [*names, "Tang"]) and got[2, 3]["indicators"] == [ids["Song"]]
+    assert (got[1, 1]["collectAuthor"], got[2, 3]["userSex"]) == (1, "m")
+
+
+def test_a_hundred_thousand_terms(spark):
+    items = spark.range(1000).select(
+        F.col("id").cast("int").alias("poemId"), F.lit(1).alias("poemAuthorId"), F.lit(1.0).alias("poemStar"), F.lit("d").alias("poemDynasty"),
+        F.array_join(F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.concat(F.lit("t"), F.col("id") * 100 + i)), ",").alias("poemTagNames"))
+    ids = term_table(items)
+    assert ids.count() == 100_001 and ids.agg(F.max("termId")).first()[0] == 100_000

@@ -6,7 +6,8 @@ from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from versetide.functions.parsing import tag_list
+from versetide.functions.parsing import digest, tag_list
+from versetide.operators.ranking import dense_positions
 from versetide.session import settle
 
 AUTHOR_OFFSET = 200000  # fixed value: keeps author ids apart from poem ids
@@ -45,6 +46,36 @@ def one_hot_table(items: DataFrame, vocab: list[str]) -> DataFrame:
     return items.select(*keep, *[F.array_contains(terms, v).cast("int").alias(v) for v in vocab])
 
 
+def term_table(items: DataFrame) -> DataFrame:
+    """(term, termId) of all dynasties and tags, with ids from 0, for any number of terms."""
+    terms = items.select(F.explode(item_terms()).alias("term")).distinct()
+    ids = dense_positions(terms.withColumn("_digest", digest("term", "term")), [], "_digest", "term")
+    return settle(ids.select("term", F.col("pos").cast("int").alias("termId")), "terms")
+
+
+def item_indicators(items: DataFrame, terms: DataFrame) -> DataFrame:
+    """(poemId, indicators): ids of an item's terms in order, the places of its ones."""
+    rows = items.select(F.col("poemId").try_cast("int").alias("poemId"), F.explode(item_terms()).alias("term"))
+    return rows.join(terms, "term").groupBy("poemId").agg(F.sort_array(F.collect_set("termId")).alias("indicators"))
+
+
+def sparse_training_set(
+    log: DataFrame, items: DataFrame, users: DataFrame, favourites: DataFrame, terms: DataFrame
+) -> DataFrame:
+    """Training rows with the indicators of an item as term ids, whatever its terms are called.
+
+    ``items`` is the attribute table and ``terms`` its ``term_table``. Rows are
+    those of ``training_set``; an item without terms has an empty list.
+    """
+    joined = join_items(log, items.drop("poemTagNames"))
+    marked = joined.join(item_indicators(items, terms), "poemId", "left").withColumn(
+        "indicators", F.coalesce("indicators", F.array().cast("array<int>"))
+    )
+    return flag_favourite_author(join_users(marked, users), favourites).select(
+        "userId", "itemId", "rating", "label", "poemStar", "indicators", "userSex", "collectAuthor"
+    )
+
+
 def join_items(samples: DataFrame, items: DataFrame) -> DataFrame:
     """Samples with the features of their item; rows with any null are dropped.
 

@@ -208,6 +208,16 @@ SELECT s."userId", s."itemId", rating, label, "poemStar", {INDICATORS}, c_mktseg
   CASE WHEN author IS NULL THEN 0 ELSE 1 END AS "collectAuthor"
 FROM samples s JOIN items ON s."itemId" = "poemId" JOIN customer ON s."userId" = c_custkey
   LEFT JOIN favourites f ON f."userId" = s."userId" AND author = "poemAuthorId"
+WHERE rating IS NOT NULL""",
+    "training_sparse": "WITH " + SAMPLES + "," + ITEMS + "," + FAVOURITES + """, term_ids AS (
+  SELECT term, ROW_NUMBER() OVER (ORDER BY md5('term:' || term), term) - 1 AS id FROM (SELECT DISTINCT term FROM item_terms)
+), indicators AS (
+  SELECT "poemId" AS poem, string_agg(id, ' ' ORDER BY id) AS ids FROM item_terms JOIN term_ids USING (term) GROUP BY "poemId"
+)
+SELECT s."userId", s."itemId", rating, label, "poemStar", ids AS indicators, c_mktsegment AS "userSex",
+  CASE WHEN author IS NULL THEN 0 ELSE 1 END AS "collectAuthor"
+FROM samples s JOIN items ON s."itemId" = "poemId" JOIN customer ON s."userId" = c_custkey JOIN indicators ON poem = "poemId"
+  LEFT JOIN favourites f ON f."userId" = s."userId" AND author = "poemAuthorId"
 WHERE rating IS NOT NULL""",
     "multi_hot": "WITH " + ITEMS + ' SELECT "poemId", term, CAST(1 AS DOUBLE) AS value FROM item_terms',
     "tag_index": "WITH " + TAG_INDEX + ' SELECT tag, pos, "itemId", n FROM tag_index',

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,9 +10,11 @@ from versetide.operators.events import clean_log, engagement_ratings, parse_repo
 from versetide.operators.features import (
     feature_vocab,
     join_items,
-    multi_hot,
+    item_indicators,
     one_hot_table,
     ranker_rows,
+    sparse_training_set,
+    term_table,
     training_set,
 )
 from versetide.operators.ranking import sample_rows
@@ -130,12 +131,18 @@ def training_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def multi_hot_rows(spark: SparkSession, folder: str) -> DataFrame:
-    """Set indicators as (poemId, term, value) rows."""
+    """Set indicators as (poemId, term, value) rows, by way of the term ids."""
     items = Tables(spark, folder).items()
-    vocab = feature_vocab(items)
-    names = F.array(*[F.lit(v) for v in vocab])
-    hot = multi_hot(items, vocab).select("poemId", F.posexplode(vector_to_array("indicators")).alias("i", "value"))
-    return hot.where("value > 0").select("poemId", F.element_at(names, F.col("i") + 1).alias("term"), "value")
+    terms = term_table(items)
+    ids = item_indicators(items, terms).select("poemId", F.explode("indicators").alias("termId"))
+    return ids.join(terms, "termId").select("poemId", "term", F.lit(1.0).alias("value"))
+
+
+def training_sparse(spark: SparkSession, folder: str) -> DataFrame:
+    """Training rows with term ids, shown as one text."""
+    t = Tables(spark, folder)
+    rows = sparse_training_set(_samples(t), t.items(), t.users(), t.favourites(), term_table(t.items()))
+    return rows.withColumn("indicators", F.array_join(F.transform("indicators", lambda i: i.cast("string")), " "))
 
 
 def tag_index_rows(spark: SparkSession, folder: str) -> DataFrame:
@@ -349,6 +356,7 @@ QUERIES = {
     "negatives_added": negatives_added,
     "items_joined": items_joined,
     "training_set": training_rows,
+    "training_sparse": training_sparse,
     "multi_hot": multi_hot_rows,
     "tag_index": tag_index_rows,
     "tag_lists": tag_list_sizes,
