@@ -15,7 +15,6 @@ from versetide.session import broadcast_if_small, settle
 
 #: White space between words, symbols that are counted, base rules.
 SPACE = r"[\x20\x09-\x0D]+"
-SPACE_CHARS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEATED = 50  # hundredths of the words
@@ -33,7 +32,7 @@ def words_of(text: Column) -> Column:
 
 
 def symbol_count(text: Column) -> Column:
-    return F.length(text) - F.length(F.translate(text, SYMBOLS, ""))
+    return F.regexp_count(text, F.lit(f"[{SYMBOLS}]"))
 
 
 def slot_of(gram: Column) -> Column:
@@ -77,7 +76,7 @@ def text_features(documents: DataFrame, text: str = "text") -> DataFrame:
     counts are replaced.
     """
     windows, ordered, covered = repeated_words("words")
-    lines = F.filter(F.split(F.col("_text"), "\n"), lambda x: F.length(F.translate(x, SPACE_CHARS, "")) > 0)
+    lines = F.filter(F.split(F.col("_text"), "\n"), lambda x: x.rlike(f"[^{SPACE[1:-2]}]"))
     return (
         documents.withColumn("_text", F.coalesce(F.col(text), F.lit(""))).drop(text)
         .withColumns({
@@ -85,7 +84,7 @@ def text_features(documents: DataFrame, text: str = "text") -> DataFrame:
         })
         .withColumns({
             "n_words": F.size("words").cast("long"),
-            "word_chars": F.length(F.translate("_text", SPACE_CHARS, "")).cast("long"),
+            "word_chars": F.length(F.array_join("words", "")).cast("long"),
             "n_symbols": symbol_count(F.col("_text")).cast("long"),
             "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
             "windows": windows,
