@@ -102,3 +102,24 @@ def test_a_batch_that_runs_again_replaces_its_part(spark, actions, tmp_path):
         stream = read_event_stream(spark, source, actions.schema, "parquet")
         recent_activity_stream(stream, store, str(tmp_path / run), once=True).awaitTermination()
     assert spark.read.parquet(store).groupBy("eventId").count().where(F.col("count") > 1).count() == 0
+
+
+def test_a_read_meets_one_version_after_many_batches(spark, tmp_path):
+    import os
+
+    source, store = str(tmp_path / "in"), str(tmp_path / "store")
+    start = datetime(2024, 1, 1)
+    schema = "userId long, eventId long, ts timestamp, entry string"
+    for k in range(12):
+        rows = [(u, k * 10 + u, start + timedelta(seconds=k), f"{k}-t") for u in range(5)]
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(source)
+    stream = read_event_stream(spark, source, schema, "parquet", files_per_batch=1)
+    recent_activity_stream(stream, store, str(tmp_path / "ck"), n=4, once=True).awaitTermination()
+    stored = stored_actions(spark, store, 4)
+    assert len({os.path.dirname(f) for f in stored.inputFiles()}) == 5  # one version of each bucket
+    assert sorted(os.listdir(store + "-manifest")) == sorted(x for x in os.listdir(store + "-manifest") if x.endswith(("json", "crc")))
+    assert len([x for x in os.listdir(store) if x.startswith("version=")]) <= 3
+    want = {}
+    for r in last_actions(spark.read.parquet(source), 4).orderBy("userId", "rank").collect():
+        want.setdefault(r["userId"], []).append(r["entry"])
+    assert lists(read_recent(spark, store, n=4)) == want
