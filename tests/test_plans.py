@@ -12,7 +12,7 @@ from versetide.plans.roles import Tables
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
-ARROW = {"factors_top", "recall_with_cf", "guess_strangers", "similar_exact", "similar_text", "most_similar", "recall_candidates", "guess_you_like", "guess_by_star", "cf_topk"}
+ARROW = {"factors_top", "impression_loop", "recall_with_cf", "guess_strangers", "similar_exact", "similar_text", "most_similar", "recall_candidates", "guess_you_like", "guess_by_star", "cf_topk"}
 MODELS = {"similar_text", "cf_topk", "ranker_compare", "guess_you_like"}
 
 

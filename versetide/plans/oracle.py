@@ -270,6 +270,22 @@ FROM ranked GROUP BY "userId" """,
 )
 SELECT "userId", '{"rs":[' || string_agg("itemId", ',' ORDER BY rank) || ']}' AS payload
 FROM ranked GROUP BY "userId" """,
+    "impression_loop": "WITH " + USER_LOG + "," + RECALL + "," + FAVOURITES + f""", ranked AS (
+  SELECT c."userId", c."itemId", ROW_NUMBER() OVER (PARTITION BY c."userId"
+    ORDER BY "poemStar" + CASE WHEN author IS NULL THEN 0 ELSE 100 END DESC, c."itemId") AS rank
+  FROM candidates c JOIN items ON c."itemId" = "poemId"
+    LEFT JOIN favourites f ON f."userId" = c."userId" AND author = "poemAuthorId"
+  QUALIFY rank <= 10
+), wanted AS (
+  SELECT GREATEST(0, CAST(FLOOR((COUNT(*) FILTER (WHERE label = 1) - COUNT(*) FILTER (WHERE label = 0)) / 10.0) AS BIGINT)) AS n
+  FROM user_log
+), drawn AS (
+  SELECT "userId" FROM (SELECT DISTINCT "userId", '{DAY}:r1:' || "userId" AS id FROM ranked)
+  QUALIFY ROW_NUMBER() OVER (ORDER BY md5('{SEED}:' || id), id) <= (SELECT n FROM wanted)
+)
+SELECT "userId", "itemId", CAST(SUM(rating) AS BIGINT) AS rating, CASE WHEN SUM(rating) > 0 THEN 1 ELSE 0 END AS label
+FROM (SELECT "userId", "itemId", rating FROM user_log UNION ALL SELECT "userId", "itemId", 0 FROM ranked JOIN drawn USING ("userId"))
+GROUP BY "userId", "itemId" """,
     "recall_with_cf": "WITH " + RECALL + "," + BASE_TOP + """
 SELECT "userId", "itemId" FROM candidates
 UNION SELECT "userId", "itemId" FROM base_top WHERE rank <= 10 AND "userId" IN (SELECT c_custkey FROM customer)""",

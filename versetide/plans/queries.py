@@ -37,7 +37,7 @@ from versetide.plans.serve import (
 )
 from versetide.session import scratch_path, settle
 from versetide.sources.batch import read_csv, read_log_lines
-from versetide.sources.sinks import append_impressions, to_payload
+from versetide.sources.sinks import append_impressions, read_impressions, to_payload
 from versetide.streaming.headers import parse_envelope, parse_headers
 from versetide.streaming.jobs import (
     append_events,
@@ -283,6 +283,18 @@ def guess_by_star(spark: SparkSession, folder: str) -> DataFrame:
     return to_payload(shown_lists(ranked), "rs").select("userId", "payload")
 
 
+def impression_loop(spark: SparkSession, folder: str) -> DataFrame:
+    """The lists of ``guess_by_star`` are logged as shown and come back as negatives."""
+    t = Tables(spark, folder)
+    ranked = guess_you_like(
+        _users(t), _recent(t), _similar(t), _index(t), t.items(), t.users(),
+        t.favourites(), _ByStar, DEFAULTS, seed=SEED,
+    )
+    store = scratch_path(spark, "impressions")
+    append_impressions(shown_lists(ranked), store, DAY, "r1")
+    return add_negatives(_log(t), read_impressions(spark, store), seed=SEED)
+
+
 def guess_strangers(spark: SparkSession, folder: str) -> DataFrame:
     """The same service where user info and authors are missing for some, and items stand twice."""
     t = Tables(spark, folder)
@@ -374,6 +386,7 @@ QUERIES = {
     "doc_vectors_given": doc_vectors_given,
     "recall_with_cf": recall_with_cf,
     "guess_strangers": guess_strangers,
+    "impression_loop": impression_loop,
     "ranker_compare": ranker_compare,
     "guess_you_like": guess,
     "guess_by_star": guess_by_star,
