@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versetide.llm import arrays as A
-from versetide.session import settle
+from versetide.session import broadcast_if_small, settle
 
 LENGTH = 50
 PREFIX = 24
@@ -132,8 +132,9 @@ def _rerank(batches):
     for batch in batches:
         if not batch.num_rows:
             continue
-        rank, longer, doc = (batch.column(k).to_numpy() for k in range(3))
-        hot = batch.column(3).to_numpy(zero_copy_only=False)
+        rank, doc = (batch.column(k).to_numpy() for k in ("rank", "doc"))
+        longer = batch.column("longer").to_numpy() if "longer" in batch.schema.names else rank
+        hot = batch.column("hot").to_numpy(zero_copy_only=False)
         if held is not None:
             rank, longer, doc, hot = (np.r_[h, x] for h, x in zip(held, (rank, longer, doc, hot)))
         begins = np.ones(len(rank), bool)
@@ -165,14 +166,18 @@ def common(rows: DataFrame) -> DataFrame:
 
 
 def reranked(rows: DataFrame, expected: int, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sort ``rank, longer, doc`` and return ``doc, longer`` of the repeats and of those that are apart."""
+    """Sort ``rank, longer, doc`` and return ``doc, longer`` of the repeats and of those that are apart.
+
+    Without a longer rank the rank is all there is to compare.
+    """
+    names = [c for c in ("rank", "longer", "doc") if c in rows.columns]
     count = max(rows.sparkSession.sparkContext.defaultParallelism, -(-expected // SORT_ROWS))
     dealt = rows.join(F.broadcast(hot), "rank", "left").select(  # HOT rows at most
-        "rank", "longer", "doc", F.coalesce("hot", F.lit(False)).alias("hot")
+        *names, F.coalesce("hot", F.lit(False)).alias("hot")
     )
     part = F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(SPREAD)))
     done = settle(
-        dealt.repartition(count, "rank", part).sortWithinPartitions("rank", "longer", "doc")
+        dealt.repartition(count, "rank", part).sortWithinPartitions(*names)
         .mapInArrow(_rerank, "kind int, rank long, longer long, doc long"),
         "reranked",
     )
@@ -236,12 +241,16 @@ def _remover(text: str):
                     gone = _among(A.signed(whole), row, part.column("stretches"))
                     np.add.at(step, start + first[gone], 1)
                     np.add.at(step, start + last[gone] + LENGTH, -1)
-                    some = np.flatnonzero(~gone & _has(part.column("windows"))[row])
+                    some = np.flatnonzero(_has(part.column("windows"))[row])
+                    some = some[_among(A.signed(whole[some]), row[some], part.column("apart"))]
                     window, run = _windows_of(first[some], last[some])
                     name = A.signed(A.spans_hash(total, window, window + LENGTH))
                     hit = window[_among(name, row[some][run], part.column("windows"))]
                     np.add.at(step, start + hit, 1)
                     np.add.at(step, start + hit + LENGTH, -1)
+                copied = part.column("copy").to_numpy(zero_copy_only=False) & (np.diff(bounds) >= LENGTH)
+                np.add.at(step, bounds[:-1][copied], 1)
+                np.add.at(step, bounds[1:][copied], -1)
                 gone = np.cumsum(step[:-1]) > 0
                 kept, spans = [], []
                 for i in range(len(part)):
@@ -270,9 +279,19 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
     rows each have the same result. Other columns are ignored. Strings are told
     apart by hashes: 128 bits for a stretch, 64 for a window.
     """
-    source = documents.select(
-        F.col(key).alias("_key"), F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("_doc"), F.col(text).alias("_text")
+    every = documents.select(
+        F.col(key).alias("_key"), F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("_doc"), F.col(text).alias("_text"),
+        F.xxhash64(F.lit(1), text).alias("_h1"), F.xxhash64(F.lit(2), text).alias("_h2"),
+    )
+    # a text that a smaller key has as well goes as a whole, and ranks nothing
+    names = ["_h1", "_h2"]
+    prints = settle(every.select("_doc", *names), "prints")
+    firsts = prints.groupBy(*names).agg(F.min("_doc").alias("first"), F.max("_doc").alias("last")).where("first < last")
+    copies = settle(
+        prints.join(firsts, names).where("_doc > first").select("_doc", *names).distinct().withColumn("copy", F.lit(True)), "copies"
     )
+    every = every.join(broadcast_if_small(copies, 64), ["_doc", *names], "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
+    source = every.where("NOT copy")
     size = source.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     spread_by = (LENGTH - PREFIX + 2) // 2  # bytes for each chosen position
 
@@ -287,7 +306,7 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
     def windows(of: DataFrame) -> DataFrame:
         return (
             source.select("_doc", "_text").join(of, F.col("_doc") == F.col("doc")).select("_doc", "_text", "apart")
-            .mapInArrow(_window_ranker("_text"), "rank long, doc long").select("rank", F.col("rank").alias("longer"), "doc")
+            .mapInArrow(_window_ranker("_text"), "rank long, doc long")
         )
 
     one_in = max(1, ways.count() // SAMPLE)
@@ -300,12 +319,13 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
         found.groupBy("doc").agg(
             F.collect_set(F.when(F.col("whole"), F.col("longer"))).alias("stretches"),
             F.collect_set(F.when(~F.col("whole"), F.col("longer"))).alias("windows"),
-        ),
+        ).join(ways.select("doc", "apart"), "doc", "left"),
         "found",
     )
     none = F.array().cast("array<bigint>")
-    joined = source.join(found, F.col("_doc") == F.col("doc"), "left").select(
-        "_key", "_text", F.coalesce("stretches", none).alias("stretches"), F.coalesce("windows", none).alias("windows")
+    joined = every.join(found, F.col("_doc") == F.col("doc"), "left").select(
+        "_key", "_text", F.coalesce("stretches", none).alias("stretches"), F.coalesce("windows", none).alias("windows"),
+        F.coalesce("apart", none).alias("apart"), "copy",
     )
     kind = documents.schema[key].dataType.simpleString()
     return joined.mapInArrow(_remover("_text"), f"_key {kind}, n_bytes long, spans array<{SPAN}>, kept binary").withColumnRenamed("_key", key)
