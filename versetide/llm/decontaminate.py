@@ -64,9 +64,9 @@ class Items:
         rows = np.repeat(np.arange(len(items)), [len(w) for w in self.words])
         flat = np.concatenate([*self.words, np.zeros(0, np.uint64)])
         begin = np.r_[0, np.cumsum([len(w) for w in self.words])]
-        found = [(*seeds(rows, flat, m), np.full(0, 0)) for m in MASKS]
-        start = np.concatenate([s for s, _, _ in found])
-        name = np.concatenate([h for _, h, _ in found])
+        found = [seeds(rows, flat, m) for m in MASKS]
+        start = np.concatenate([s for s, _ in found])
+        name = np.concatenate([h for _, h in found])
         # an item shorter than a mask is one seed of its own length
         self.short = {}
         for k, w in enumerate(self.words):
@@ -147,7 +147,9 @@ def overlaps(items: Items, rows: np.ndarray, hashes: np.ndarray) -> dict[int, li
 
 def _blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[Items]:
     """The test items in blocks of bounded size, read to the driver one at a time."""
-    kept = settle(benchmark.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("text IS NOT NULL"), "items")
+    kept = settle(
+        benchmark.select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text")).where("text IS NOT NULL"), "items"
+    )
     size = kept.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
     count = max(1, -(-size // (2 * BLOCK_WORDS)))  # a word and its space are two characters at least
     for block in range(count):
@@ -156,7 +158,8 @@ def _blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[Items]:
         for batch in part.to_batches():
             rows, hashes = text_words(*A.raw(batch.column("text")))
             cut = np.searchsorted(rows, np.arange(batch.num_rows + 1))
-            items += [(i if i is not None else -1, hashes[cut[r] : cut[r + 1]]) for r, i in enumerate(batch.column("id").to_pylist())]
+            numbers = batch.column("id").fill_null(-1).to_pylist()
+            items += [(i, hashes[cut[r] : cut[r + 1]]) for r, i in enumerate(numbers)]
         yield Items(items)
 
 

@@ -130,7 +130,7 @@ def fit(rows: DataFrame) -> Model:
     )
     size = range(len(names))
 
-    def by(column: str, carry: list[str] = []) -> DataFrame:  # noqa: B006
+    def by(column: str, carry: tuple[str, ...] = ()) -> DataFrame:
         sums = [F.coalesce(F.sum(F.when(F.col("guess") == k, F.col("n"))), F.lit(0)).alias(f"g{k}") for k in size]
         return guessed.where(F.col(column).isNotNull()).groupBy(column).agg(*sums, *(F.min(c).alias(c) for c in carry))
 
@@ -151,7 +151,7 @@ def fit(rows: DataFrame) -> Model:
 
     domains = by("domain")
     domains = domains.select("domain", F.array(*smoothed(domains, [F.lit(float(p)) for p in prior])).alias("share"))
-    hosts = by("host", ["domain"]).join(domains, "domain", "left")
+    hosts = by("host", ("domain",)).join(domains, "domain", "left")
     above = [F.coalesce(F.get("share", k), F.lit(float(prior[k]))) for k in size]
     hosts = hosts.select("host", F.array(*(F.log(x) for x in smoothed(hosts, above))).alias("host_evidence"))
     domains = domains.select("domain", F.transform("share", lambda x: F.log(x)).alias("domain_evidence"))
