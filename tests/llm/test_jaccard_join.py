@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from versetide.llm import jaccard_join as J
@@ -103,3 +104,31 @@ def test_lists_that_cross_batches():
         parts = [pa.RecordBatch.from_pylist([{"key": k, "set": s} for k, s in rows[i : i + size]]) for i in range(0, 9, size)]
         kept = [(r["key"], r["set"]) for b in J._long_lists(iter(parts)) for r in b.to_pylist()]
         assert kept == [(1, 1), (2, 1), (2, 2), (4, 1), (4, 2), (4, 3), (6, 1)]
+
+
+def test_components_of_another_width_and_share_equal_all_pairs(spark):
+    rng = random.Random(5)
+    texts = ["a b c d", "A b c d", "a b c d e"]
+    for words in [*range(5, 40, 2), 60, 90, 150, 400]:
+        texts += family(rng, words, 8, max(1, words // 12))
+    sets = []
+    for text in texts:
+        w = text.lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for k in range(i):
+            if 100 * len(sets[i] & sets[k]) >= 80 * len(sets[i] | sets[k]) and root[i] != root[k]:
+                a, b = sorted((root[i], root[k]))
+                root = [a if r == b else r for r in root]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    got = sorted(tuple(r) for r in J.jaccard_components(docs, least=80, width=5).collect())
+    assert got == [(i, len(s), root[i]) for i, s in enumerate(sets)]
+
+
+@pytest.mark.parametrize("least", [80, 85])
+def test_sets_of_all_sizes_do_without_the_common_list(least):
+    plan, rng = J.Plan(least), np.random.default_rng(3)
+    for n in [*range(plan.light, 120), 200, 406, 700, 1500, 3000]:
+        keys = J.set_keys(rng.integers(0, 1 << 63, n).astype(np.uint64), plan)
+        assert keys.min() > 1 << 20 and len(keys) < 5 * n, n

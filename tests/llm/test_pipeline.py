@@ -55,3 +55,22 @@ def test_an_empty_table_passes_all_stages(spark, folder, tmp_path):
     docs = spark.createDataFrame([], COLUMNS)
     for _, stage in P.STAGES:
         assert stage(spark, docs, path).count() == 0
+
+
+@pytest.mark.parametrize("copy, shared, union", [
+    (lambda w: w[:100] + [f"y{i}" for i in range(22)], 96, 118),
+    (lambda w: w[:100] + [f"y{i}" for i in range(24)], 96, 120),
+    (lambda w: w[:100] + [f"y{i}" for i in range(25)], 96, 121),
+    (lambda w: [f"y{i}" if i % 45 == 20 else x for i, x in enumerate(w)], 361, 451),
+    (lambda w: [f"y{i}" if i % 40 == 20 else x for i, x in enumerate(w)], 356, 456),
+])
+def test_near_copies_share_four_fifths_of_their_runs_of_five_words(spark, folder, copy, shared, union):
+    path, _, _ = folder
+    long = [f"w{i}" for i in range(410)]
+    changed = copy(long)
+    base = long if len(changed) == 410 else long[:100]
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (base, changed))
+    assert (len(a & b), len(a | b)) == (shared, union)
+    docs = spark.createDataFrame([(i, " ".join(w), "en", "s", 1) for i, w in ((7, base), (9, changed))], COLUMNS)
+    got = {r.doc_id for r in dict(P.STAGES)["near_copies"](spark, docs, path).collect()}
+    assert got == ({7} if 5 * shared >= 4 * union else {7, 9})

@@ -70,16 +70,25 @@ class Plan:
         return sum(math.comb(n, t) for t in range(self.missing(n) + 1))
 
     def classes(self, n: int) -> list[int]:
-        """Size classes whose blocks a set needs: its own and that of a larger partner."""
+        """Size classes whose blocks a set needs: its own up to that of its largest partner."""
         own = int(np.searchsorted(self.uppers, n, "right"))
         other = int(np.searchsorted(self.uppers, n * 100 // self.least, "right"))
-        return [c for c in dict.fromkeys((own, other)) if c > 0]
+        return [c for c in range(own, other + 1) if c > 0]
 
-    def blocks(self, c: int) -> tuple[int, int]:
-        """Number of blocks, and how many of a set's may be too small to list."""
+    def blocks(self, c: int) -> int:
+        """Number of blocks of a size class: more than two linked sets of it can be apart."""
         apart = most_apart(2 * (int(self.uppers[c]) - 1), self.least)
-        spare = max(1, apart // 7)
-        return apart + 1 + spare, spare
+        return apart + 1 + max(1, apart // 7)
+
+    def spare(self, n: int, c: int) -> int:
+        """How many blocks of a set of ``n`` may be too small to list.
+
+        Counted from its own largest partner in the class. With what the largest sets
+        of the class may be apart, most sets would fail with every seed at a low
+        ``least`` and meet in one list.
+        """
+        partner = min(int(self.uppers[c]) - 1, n * 100 // self.least)
+        return self.blocks(c) - 1 - most_apart(n + partner, self.least)
 
 
 def _subset_keys(x: np.ndarray, missing: int) -> np.ndarray:
@@ -102,7 +111,7 @@ def set_keys(x: np.ndarray, plan: Plan) -> np.ndarray:
         if plan.missing(n) or (n * 100) >= plan.least * (n + 1):  # else no larger partner either
             keys.append(_subset_keys(x, plan.missing(n)))
     for c in plan.classes(n):
-        count, spare = plan.blocks(c)
+        count, spare = plan.blocks(c), plan.spare(n, c)
         for seed in range(SEEDS):
             block = (A.mix(x + np.uint64(seed + 1)) >> np.uint64(33)) % np.uint64(count)
             order = np.argsort(block, kind="stable")
@@ -122,15 +131,15 @@ def set_keys(x: np.ndarray, plan: Plan) -> np.ndarray:
     return np.concatenate(keys) if keys else np.zeros(0, np.uint64)
 
 
-def shingle_sets(batch: pa.RecordBatch, text: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+def shingle_sets(batch: pa.RecordBatch, text: str, width: int = WIDTH) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """For slices of ``batch``: the rows, their sorted distinct shingles one after the other, and bounds."""
     for part in A.slices(batch, text):
         data, bounds = A.raw(part.column(text))
         _, _, rows, hashes = A.word_hashes(data, bounds)
-        grams, inside = A.gram_hashes(hashes, WIDTH), A.whole(rows, WIDTH)
+        grams, inside = A.gram_hashes(hashes, width), A.whole(rows, width)
         grams, owner = grams[inside], rows[: len(inside)][inside]
         size = np.bincount(rows, minlength=len(part))
-        few = np.flatnonzero((size > 0) & (size < WIDTH))  # the whole sequence is the only shingle
+        few = np.flatnonzero((size > 0) & (size < width))  # the whole sequence is the only shingle
         start = np.searchsorted(rows, few)
         short = [A.gram_hashes(hashes[s : s + size[r]], size[r])[0] + np.uint64(size[r]) for r, s in zip(few, start)]
         grams, owner = np.r_[grams, np.array(short, np.uint64)], np.r_[owner, few]
@@ -146,11 +155,11 @@ def _set_name(x: np.ndarray) -> int:
     return int((A.mix(A.mix(x).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(x))) | np.uint64(1)).view(np.int64)[0])
 
 
-def _signer(key: str, text: str, least: int):
+def _signer(key: str, text: str, least: int, width: int):
     def sign(batches):
         plan = Plan(least)
         for batch in batches:
-            for part, grams, bounds in shingle_sets(batch, text):
+            for part, grams, bounds in shingle_sets(batch, text, width):
                 sizes = np.diff(bounds)
                 names, keys = [], []
                 for i, n in enumerate(sizes):
@@ -167,10 +176,10 @@ def _signer(key: str, text: str, least: int):
     return sign
 
 
-def _setter(text: str):
+def _setter(text: str, width: int):
     def sets(batches):
         for batch in batches:
-            for part, grams, bounds in shingle_sets(batch, text):
+            for part, grams, bounds in shingle_sets(batch, text, width):
                 sizes = np.diff(bounds)
                 names = pa.array([_set_name(grams[bounds[i] : bounds[i + 1]]) if n else None for i, n in enumerate(sizes)], pa.int64())
                 out = pa.RecordBatch.from_arrays(
@@ -267,11 +276,13 @@ def _compare(least: int):
     return compare
 
 
-def jaccard_components(documents: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
+def jaccard_components(
+    documents: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST, width: int = WIDTH
+) -> DataFrame:
     """``key, n_shingles, component_id`` for every row of ``documents``.
 
     Words are A-Z lower-cased runs without white space; a set is the distinct
-    runs of four words, or the whole sequence of fewer. Rows whose sets overlap
+    runs of ``width`` words, or the whole sequence of fewer. Rows whose sets overlap
     by ``least`` hundredths of their union are linked; ``component_id`` is the
     smallest key reachable. Null and empty texts have no shingles and are linked
     with nothing, so they stand alone with their own key. Rows with equal sets
@@ -282,7 +293,7 @@ def jaccard_components(documents: DataFrame, key: str = "doc_id", text: str = "t
     source = documents.select(key, text)
     signed = settle(
         source.mapInArrow(
-            _signer(key, text, least),
+            _signer(key, text, least, width),
             f"_key {source.schema[key].dataType.simpleString()}, n long, `set` long, keys array<long>",
         ),
         "signed",
@@ -328,7 +339,7 @@ def jaccard_components(documents: DataFrame, key: str = "doc_id", text: str = "t
     def sent(rows: DataFrame) -> DataFrame:
         return (
             source.join(broadcast_if_small(rows, 64), F.col(key).eqNullSafe(F.col("_wanted_key")))
-            .select(text, "wanted", "hubs").mapInArrow(_setter(text), "`set` long, hubs array<long>, items array<long>")
+            .select(text, "wanted", "hubs").mapInArrow(_setter(text, width), "`set` long, hubs array<long>, items array<long>")
         )
 
     sets = sent(wanted.where("rows = 1"))
