@@ -52,3 +52,26 @@ def test_no_declarations_and_empty_table(spark):
 def test_clashing_columns_are_replaced(spark):
     docs = rows(spark).withColumn("language", F.lit(1)).withColumn("kept", F.lit("x"))
     assert dict(L.identify(docs, declared=F.col("said")).dtypes)["kept"] == "boolean"
+
+
+def with_a_rare_language(spark):
+    """1200 rows, six of them of a language of its own (0.5 %), five of which declare it."""
+    more = [(1000 + i, ("the man and the house of the king with that", "der mann und das haus des königs mit dem")[i % 2] * 5, ("en", "de")[i % 2], None)
+            for i in range(1134)]
+    rare = "talon kuningas ja mies sekä vanha metsä järven rannalla "
+    return rows(spark, more + [(300 + i, rare * 5, None if i == 5 else "fi", None) for i in range(6)])
+
+
+def test_a_language_of_half_a_percent_is_found_and_kept(spark):
+    got = run(with_a_rare_language(spark))
+    assert len(got) == 1200
+    assert all((got[i].language, got[i].kept) == ("fi", True) for i in range(300, 306))
+    assert all((r.language, r.kept) == (r.said, True) for i, r in got.items() if not 300 <= i < 306)
+
+
+def test_languages_in_blocks_give_the_same_rows(spark, monkeypatch):
+    docs = with_a_rare_language(spark)
+    whole = run(docs)
+    monkeypatch.setattr(L, "TABLE_BYTES", 8 * L.SLOTS)
+    assert L.blocks_of(3) == [(0, 1), (1, 2), (2, 3)]
+    assert run(docs) == whole

@@ -19,8 +19,12 @@ from versetide.llm.url_rules import split_url
 from versetide.session import broadcast_if_small, settle
 
 SLOTS = 1 << 15
-#: Least share of the declaring rows, in thousandths, that makes a value a language (so there are 100 at most).
-SHARE = 10
+#: Fewest rows that make the value they declare a language, whatever other rows there are.
+FEWEST = 5
+#: Bytes of trigram tables that a task holds; more languages take one more pass for each block.
+TABLE_BYTES = 32 << 20
+#: Scores that are worked on at once.
+CELLS = 1 << 20
 #: Each letter is in three trigrams, so a text's log likelihood counts a third.
 OVERLAP = 3.0
 #: Rows that the level above is worth when a host's or domain's counts are smoothed.
@@ -62,7 +66,7 @@ def likelihoods(data: np.ndarray, bounds: np.ndarray, table: np.ndarray) -> tupl
     return out, np.diff(ends)
 
 
-def _counter(text: str, names: list[str]):
+def _counter(text: str, names: list[str], first: int):
     def count(batches):
         number = {v: k for k, v in enumerate(names)}
         total = np.zeros((len(names), SLOTS), np.int64)
@@ -74,18 +78,53 @@ def _counter(text: str, names: list[str]):
                 total += np.bincount(who[known] * SLOTS + slot[known], minlength=total.size).reshape(total.shape)
         for k in range(len(names)):
             yield pa.RecordBatch.from_arrays(
-                [pa.array([k], pa.int32()), A.lists(total[k], np.array([SLOTS]), pa.int64())], ["language", "counts"]
+                [pa.array([first + k], pa.int32()), A.lists(total[k], np.array([SLOTS]), pa.int64())], ["language", "counts"]
             )
 
     return count
 
 
-def _guesser(text: str, table: np.ndarray):
+def _scores(part: pa.RecordBatch, text: str, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of the rows under the languages of earlier passes and of ``table``, and numbers of trigrams."""
+    score, n = likelihoods(*A.raw(part.column(text)), table)
+    if "_scores" in part.schema.names:
+        score = np.hstack([_flat(part.column("_scores"))[0].reshape(len(part), -1), score])
+    return score, n
+
+
+def _flat(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of a list column without nulls among them, and how many each row has."""
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy()[offsets[0] : offsets[-1]], np.diff(offsets)
+
+
+def _parts(batch: pa.RecordBatch, text: str, languages: int):
+    step = max(1, CELLS // languages)
+    for part in A.slices(batch, text):
+        for start in range(0, len(part), step):
+            yield part.slice(start, step)
+
+
+def _scorer(text: str, table: np.ndarray):
+    def score(batches):
+        for batch in batches:
+            for part in _parts(batch, text, len(table)):
+                out, _ = _scores(part, text, table)
+                names = [c for c in part.schema.names if c != "_scores"]
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(c) for c in names), A.lists(out.ravel(), np.full(len(out), out.shape[1]), pa.float64())],
+                    [*names, "_scores"],
+                )
+
+    return score
+
+
+def _guesser(text: str, table: np.ndarray, languages: int):
     """The likeliest language by the text alone; none for a text without letters."""
     def guess(batches):
         for batch in batches:
-            for part in A.slices(batch, text):
-                score, n = likelihoods(*A.raw(part.column(text)), table)
+            for part in _parts(batch, text, languages):
+                score, n = _scores(part, text, table)
                 best = score.argmax(1)
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in ("declared", "suffix", "host", "domain")),
@@ -96,84 +135,130 @@ def _guesser(text: str, table: np.ndarray):
     return guess
 
 
+#: Columns that the last step reads and drops.
+ADDED = {"_scores", *(f"_{kind}_{part}" for kind in ("above", "host", "declared", "suffix") for part in ("which", "often"))}
+
+
 class Model:
-    """Languages, their trigram tables, and the tables of evidence."""
+    """Languages, their trigram counts, the tables of evidence, and guesses of each language.
+
+    An evidence table has for each value the languages it goes with and how often,
+    and only those, so its size does not depend on the number of languages.
+    """
+
+    def __init__(self, names: list[str], counts: DataFrame | None, evidence: dict[str, DataFrame], of: np.ndarray, spread: dict[str, int]):
+        self.names, self.counts, self.evidence, self.of, self.spread = names, counts, evidence, of, spread
+
+
+def blocks_of(languages: int) -> list[tuple[int, int]]:
+    """Ranges of languages whose tables fit TABLE_BYTES."""
+    step = max(1, TABLE_BYTES // (8 * SLOTS))
+    return [(i, min(i + step, languages)) for i in range(0, languages, step)]
+
 
-    def __init__(self, names: list[str], table: np.ndarray, evidence: dict[str, DataFrame], prior: np.ndarray):
-        self.names, self.table, self.evidence, self.prior = names, table, evidence, prior
+def _table(counts: DataFrame, start: int, stop: int) -> np.ndarray:
+    """Log probability of each trigram under the languages from ``start`` to ``stop``."""
+    summed = counts.where((F.col("language") >= start) & (F.col("language") < stop)).toPandas()  # SLOTS rows for each at most
+    count = np.zeros((stop - start, SLOTS))
+    count[summed["language"] - start, summed["slot"]] = summed["n"]
+    return np.log((count + 0.5) / (count.sum(1, keepdims=True) + 0.5 * SLOTS))
+
+
+def _scored(rows: DataFrame, text: str, counts: DataFrame, languages: int) -> tuple[DataFrame, np.ndarray]:
+    """``rows`` with the scores of all blocks of languages but the last, and the table of that one."""
+    *others, last = blocks_of(languages)
+    for start, stop in others:
+        names = [f for f in rows.schema if f.name != "_scores"]
+        schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in names), "_scores array<double>"])
+        rows = settle(rows.mapInArrow(_scorer(text, _table(counts, start, stop)), schema), "scores")
+    return rows, _table(counts, *last)
 
 
 def fit(rows: DataFrame) -> Model:
     """Model of ``rows`` with columns text, declared, suffix, host and domain.
 
-    Nulls carry no evidence. Values that fewer than SHARE thousandths of the declaring
-    rows declare are no languages, but count as evidence like others.
+    Nulls carry no evidence. Values that fewer than FEWEST rows declare are no
+    languages, but count as evidence like others.
     """
     declaring = settle(rows.where("declared IS NOT NULL").groupBy("declared").agg(F.count("*").alias("n")), "declared")
-    total = declaring.agg(F.sum("n")).first()[0] or 0
-    names = sorted(r[0] for r in declaring.where(F.col("n") * 1000 >= F.lit(total * SHARE)).collect())  # 100 at most
+    names = sorted(r[0] for r in declaring.where(F.col("n") >= FEWEST).collect())
     if not names:
-        return Model([], np.zeros((0, SLOTS)), {}, np.zeros(0))
-    counted = rows.select("text", "declared").mapInArrow(_counter("text", names), "language int, counts array<long>")
-    summed = (
-        counted.select("language", F.posexplode("counts").alias("slot", "n")).where("n > 0")
-        .groupBy("language", "slot").agg(F.sum("n").alias("n")).toPandas()  # SLOTS rows for each language at most
-    )
-    count = np.zeros((len(names), SLOTS))
-    count[summed["language"], summed["slot"]] = summed["n"]
-    table = np.log((count + 0.5) / (count.sum(1, keepdims=True) + 0.5 * SLOTS))
-
+        return Model([], None, {}, np.zeros(0), {})
+    counted = None
+    for start, stop in blocks_of(len(names)):
+        some = names[start:stop]
+        part = rows.where(F.col("declared").isin(some)).select("text", "declared").mapInArrow(
+            _counter("text", some, start), "language int, counts array<long>"
+        )
+        part = settle(
+            part.select("language", F.posexplode("counts").alias("slot", "n")).where("n > 0")
+            .groupBy("language", "slot").agg(F.sum("n").alias("n")),
+            "trigrams",
+        )
+        counted = part if counted is None else counted.unionByName(part)
+    ready, table = _scored(rows, "text", counted, len(names))
     guessed = settle(
-        rows.mapInArrow(_guesser("text", table), "declared string, suffix string, host string, domain string, guess int")
-        .where("guess IS NOT NULL").groupBy("declared", "suffix", "host", "domain", "guess").agg(F.count("*").alias("n")),
+        ready.mapInArrow(
+            _guesser("text", table, len(names)), "declared string, suffix string, host string, domain string, guess int"
+        ).where("guess IS NOT NULL").groupBy("declared", "suffix", "host", "domain", "guess").agg(F.count("*").alias("n")),
         "guessed",
     )
-    size = range(len(names))
-
-    def by(column: str, carry: tuple[str, ...] = ()) -> DataFrame:
-        sums = [F.coalesce(F.sum(F.when(F.col("guess") == k, F.col("n"))), F.lit(0)).alias(f"g{k}") for k in size]
-        return guessed.where(F.col(column).isNotNull()).groupBy(column).agg(*sums, *(F.min(c).alias(c) for c in carry))
-
-    every = guessed.agg(*(F.coalesce(F.sum(F.when(F.col("guess") == k, F.col("n"))), F.lit(0)) for k in size)).first()
-    of = np.array([float(x) for x in every])
-    prior = (of + 1) / (of.sum() + len(names))
-
-    def share(column: str) -> DataFrame:  # how often the value goes with the language
-        kinds = by(column)
-        spread = kinds.count() + 1
-        return kinds.select(column, F.array(
-            *(F.log((F.col(f"g{k}") + 0.5) / F.lit(float(of[k] + 0.5 * spread))) for k in size)
-        ).alias(f"{column}_evidence"))
-
-    def smoothed(table: DataFrame, above: list[Column]) -> list[Column]:
-        n = sum((F.col(f"g{k}") for k in size), F.lit(0))
-        return [(F.col(f"g{k}") + WEIGHT * above[k]) / (n + WEIGHT) for k in size]
-
-    domains = by("domain")
-    domains = domains.select("domain", F.array(*smoothed(domains, [F.lit(float(p)) for p in prior])).alias("share"))
-    hosts = by("host", ("domain",)).join(domains, "domain", "left")
-    above = [F.coalesce(F.get("share", k), F.lit(float(prior[k]))) for k in size]
-    hosts = hosts.select("host", F.array(*(F.log(x) for x in smoothed(hosts, above))).alias("host_evidence"))
-    domains = domains.select("domain", F.transform("share", lambda x: F.log(x)).alias("domain_evidence"))
-    tables = {"declared": share("declared"), "suffix": share("suffix"), "host": hosts, "domain": domains}
-    return Model(names, table, {k: settle(v, f"{k}-evidence") for k, v in tables.items()}, prior)
-
-
-def _fuser(text: str, model_names: list[str], table: np.ndarray):
+    of = np.zeros(len(names))
+    for k, n in guessed.groupBy("guess").agg(F.sum("n")).collect():
+        of[k] = n
+
+    def by(column: str, carry: tuple[str, ...] = ()) -> DataFrame:  # one entry for each language a value goes with
+        sums = guessed.where(F.col(column).isNotNull()).groupBy(column, "guess").agg(
+            F.sum("n").alias("n"), *(F.min(c).alias(c) for c in carry)
+        )
+        return sums.groupBy(column).agg(
+            F.collect_list("guess").alias(f"{column}_which"), F.collect_list("n").alias(f"{column}_often"),
+            *(F.min(c).alias(c) for c in carry),
+        )
+
+    domains = settle(by("domain"), "domain-evidence")
+    above = domains.select("domain", F.col("domain_which").alias("above_which"), F.col("domain_often").alias("above_often"))
+    tables = {
+        "declared": settle(by("declared"), "declared-evidence"), "suffix": settle(by("suffix"), "suffix-evidence"),
+        "host": settle(by("host", ("domain",)).join(above, "domain", "left").drop("domain"), "host-evidence"), "domain": domains,
+    }
+    return Model(names, counted, tables, of, {k: tables[k].count() + 1 for k in ("declared", "suffix")})
+
+
+def _evidence(part: pa.RecordBatch, of: np.ndarray, spread: dict[str, int]) -> np.ndarray:
+    """Log prior and evidence of each row under each language."""
+    def dense(column: str) -> np.ndarray:
+        which, size = _flat(part.column(f"_{column}_which"))
+        often, _ = _flat(part.column(f"_{column}_often"))
+        out = np.zeros((len(part), len(of)))
+        out[np.repeat(np.arange(len(part)), size), which] = often
+        return out
+
+    share = np.broadcast_to((of + 1) / (of.sum() + len(of)), (len(part), len(of)))
+    for level in ("above", "host"):  # a value that is not known leaves the level above as it is
+        n = dense(level)
+        share = (n + WEIGHT * share) / (n.sum(1, keepdims=True) + WEIGHT)
+    out = np.log(share)
+    for kind, values in spread.items():
+        n = dense(kind)
+        known = n.sum(1) > 0
+        out[known] += np.log((n[known] + 0.5) / (of + 0.5 * values))
+    return out
+
+
+def _fuser(text: str, model_names: list[str], table: np.ndarray, of: np.ndarray, spread: dict[str, int]):
     def fuse(batches):
         uniform = -np.log(SLOTS)
         for batch in batches:
-            for part in A.slices(batch, text):
-                score, n = likelihoods(*A.raw(part.column(text)), table)
-                offsets = part.column("_evidence")
-                other = offsets.values.to_numpy()[offsets.offsets[0].as_py() : offsets.offsets[-1].as_py()].reshape(len(part), -1)
-                post = score / OVERLAP + other
+            for part in _parts(batch, text, len(of)):
+                score, n = _scores(part, text, table)
+                post = score / OVERLAP + _evidence(part, of, spread)
                 best = post.argmax(1)
                 sure = 1 / np.exp(post - post.max(1, keepdims=True)).sum(1)
                 typical = (score[np.arange(len(best)), best] - n * uniform) / OVERLAP > -SENSE
                 kept = (n > 0) & typical & (sure >= SURE)
                 language = pa.array([model_names[b] for b in best], pa.string(), mask=n == 0)
-                names = [c for c in part.schema.names if c != "_evidence"]
+                names = [c for c in part.schema.names if c not in ADDED]
                 yield pa.RecordBatch.from_arrays(
                     [*(part.column(c) for c in names), language, pa.array(np.where(n > 0, np.round(sure, 6), 0.0)), pa.array(kept)],
                     [*names, "language", "confidence", "kept"],
@@ -205,18 +290,21 @@ def identify(
     names = rows.columns
     joined = rows.withColumns({f"_{k}": v for k, v in parts.items()})
     for k, table in model.evidence.items():
-        table = table.withColumnRenamed(k, f"_{k}").withColumnRenamed(f"{k}_evidence", f"_{k}_evidence")
-        joined = joined.join(broadcast_if_small(table, 96 + 8 * len(model.names)), f"_{k}", "left")
-    size = range(len(model.names))
-    base = [F.lit(float(np.log(p))) for p in model.prior]
-    evidence = F.array(*(
-        F.coalesce(F.get("_host_evidence", k), F.get("_domain_evidence", k), base[k])
-        + F.coalesce(F.get("_declared_evidence", k), F.lit(0.0)) + F.coalesce(F.get("_suffix_evidence", k), F.lit(0.0))
-        for k in size
-    ))
-    ready = joined.select(*names, evidence.alias("_evidence"))
+        table = table.select(*(F.col(c).alias(f"_{c}") for c in table.columns))
+        joined = joined.join(broadcast_if_small(table, 96 + 24 * len(model.names)), f"_{k}", "left")
+    host = F.col("_host_which").isNotNull()
+    none_of = F.array().cast("array<int>"), F.array().cast("array<bigint>")
+    lists = [
+        F.coalesce(c, empty).alias(f"_{kind}_{part}")
+        for part, empty in zip(("which", "often"), none_of)
+        for kind, c in (
+            ("above", F.when(host, F.col(f"_above_{part}")).otherwise(F.col(f"_domain_{part}"))),
+            *((kind, F.col(f"_{kind}_{part}")) for kind in ("host", "declared", "suffix")),
+        )
+    ]
+    ready, table = _scored(joined.select(*names, *lists), text, model.counts, len(model.names))
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + ["language string", "confidence double", "kept boolean"])
-    return ready.mapInArrow(_fuser(text, model.names, model.table), schema)
+    return ready.mapInArrow(_fuser(text, model.names, table, model.of, model.spread), schema)
 
 
 def page_evidence() -> dict[str, Column]:
