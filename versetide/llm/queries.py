@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from versetide.llm import bpe, decontaminate, jaccard_join, language, licenses, quality, secrets, sharding, suffix_dedup, url_rules
+from versetide.llm import bpe, decontaminate, exact_dedup, jaccard_join, language, licenses, quality, secrets, sharding, suffix_dedup, url_rules
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -16,9 +16,11 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_url_filter": url_rules.op10_url_filter,
+    "op13_exact_dedup": exact_dedup.op13_exact_dedup,
 }
 
 ORACLE = {
     "op4_quality": quality.ORACLE,
     "op10_url_filter": url_rules.ORACLE,
+    "op13_exact_dedup": exact_dedup.ORACLE,
 }
