@@ -38,7 +38,11 @@ from versetide.session import broadcast_if_small, scratch_path, settle
 BATCH_BYTES = 64 << 30
 #: Bytes of the digest that name a text in the state.
 NAME_BYTES = 32
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    # a store may hold little: no megabytes of log are reserved for each
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Of a row of the state when it is sent to the tasks: name, count, id and the path of a file.
 STATE_ROW = 256
 
@@ -76,14 +80,15 @@ def named(documents: DataFrame, key: str = "doc_id", text: str = "text", name_by
 
 @contextmanager
 def _state_on_disk(spark: SparkSession):
-    """The provider holds for queries that start inside; each takes a copy of the settings."""
-    setting = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, ROCKS)
+    """The settings hold for queries that start inside; each takes a copy of them."""
+    before = {name: spark.conf.get(name, None) for name in STATE}
+    for name, value in STATE.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(setting, before)
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
 
 
 def ingest(
