@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from versetide.llm import alignment, bpe, decontaminate, exact_dedup, jaccard_join, language, licenses, quality, secrets, sharding, suffix_dedup, url_rules
+from versetide.llm import alignment, bpe, decontaminate, exact_dedup, jaccard_join, language, licenses, prefix_trie, quality, secrets, sharding, suffix_dedup, url_rules
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_bpe": bpe.op8_bpe,
     "op9_jaccard_join": jaccard_join.op9_jaccard_join,
     "op10_url_filter": url_rules.op10_url_filter,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_alignment": alignment.op12_alignment,
     "op13_exact_dedup": exact_dedup.op13_exact_dedup,
 }
