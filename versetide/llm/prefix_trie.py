@@ -322,12 +322,12 @@ def _finish(names: tuple[str, ...]):
 def rollup(nodes: DataFrame, paths: DataFrame, values: tuple[str, ...], bound: int = BOUND) -> DataFrame:
     """``conv_id, depth`` and the sum of each of ``values`` over the node's subtree."""
     kinds = ", ".join(f"{v} bigint" for v in values)
-    root = nodes.where("depth = 0").select(F.col("conv_id").alias("top"))  # one row
     zero = F.lit(0).cast("bigint")
+    root = nodes.where("depth = 0").select("conv_id").first()
     open_nodes = settle(
-        nodes.join(F.broadcast(root)).select(
+        nodes.select(
             "conv_id", "depth", "parent_conv_id", "size", *(F.col(v).cast("bigint").alias(v) for v in values),
-            *(zero.alias(f"sum_{v}") for v in values), "top", zero.alias("top_depth"),
+            *(zero.alias(f"sum_{v}") for v in values), F.lit(root[0] if root else None).cast("bigint").alias("top"), zero.alias("top_depth"),
         ), "open-nodes",
     )
     component = ["top", "top_depth"]
@@ -399,3 +399,41 @@ def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
     """The trie of all rebuilt conversations."""
     rows, lengths = rebuilt(turn_prefixes(spark.read.parquet(f"{folder}/conversations.parquet")))
     return prefix_trie(rows, lengths)
+
+
+ORACLE = """
+WITH turns AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS place
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list(role || chr(1) || text ORDER BY place) AS turns FROM turns GROUP BY conv_id
+), shared AS (
+  SELECT conv_id, turns, xor(4294967295, list_reduce(
+    list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)),
+      lambda x, step: xor(x >> 1, CASE WHEN x % 2 = 1 THEN 3988292384 ELSE 0 END)))) % 6 AS h
+  FROM own
+), whole AS (
+  SELECT s.conv_id, list_concat(coalesce(b.turns[1:s.h], []), s.turns[s.h + 1:]) AS turns
+  FROM shared s LEFT JOIN own b ON b.conv_id = s.conv_id - s.conv_id % 100
+), held AS (
+  SELECT conv_id, d AS depth, turns[1:d] AS prefix, len(turns) AS length, turns[d] AS final
+  FROM whole, unnest(range(len(turns) + 1)) AS u(d)
+), nodes AS (
+  SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         CASE WHEN depth = 0 THEN 0 ELSE max(length(final) - instr(final, chr(1))) END AS n_chars,
+         coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (length = depth), '') AS ends
+  FROM held GROUP BY prefix, depth
+), kids AS (
+  SELECT prefix[1:depth - 1] AS prefix, depth - 1 AS depth, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1, 2
+), valued AS (
+  SELECT nodes.*, coalesce(kids.n, 0) AS n_children FROM nodes LEFT JOIN kids USING (prefix, depth)
+), sums AS (
+  SELECT n.prefix[1:d] AS prefix, d AS depth, sum((n.n_children = 0)::BIGINT) AS n_leaves, sum((n.n_convs - 1) * n.n_chars) AS saved_tokens
+  FROM valued n, unnest(range(n.depth + 1)) AS u(d) GROUP BY 1, 2
+)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n_convs, v.n_children, s.n_leaves::BIGINT AS n_leaves,
+       s.saved_tokens::BIGINT AS saved_tokens, sha256(v.ends) AS ends_sha256
+FROM valued v JOIN sums s USING (prefix, depth) LEFT JOIN nodes p ON p.prefix = v.prefix[1:v.depth - 1] AND p.depth = v.depth - 1
+"""

@@ -24,5 +24,6 @@ QUERIES = {
 ORACLE = {
     "op4_quality": quality.ORACLE,
     "op10_url_filter": url_rules.ORACLE,
+    "op11_prefix_trie": prefix_trie.ORACLE,
     "op13_exact_dedup": exact_dedup.ORACLE,
 }
