@@ -189,6 +189,22 @@ JOINED = """
 SELECT "userId", "itemId", rating, label, {columns}
 FROM user_log JOIN items ON "itemId" = "poemId" WHERE rating IS NOT NULL AND "userId" IS NOT NULL"""
 
+WORDS = r"""cut AS (
+  SELECT doc_id, regexp_extract_all(lower(text), '\p{Han}|[^\P{L}\p{Han}]+') AS tokens FROM documents
+)"""
+GIVEN = WORDS + """, tf AS (SELECT doc_id, term, COUNT(*) AS tf FROM (SELECT doc_id, UNNEST(tokens) AS term FROM cut) GROUP BY ALL),
+terms AS (
+  SELECT term, CAST(round(ln(((SELECT COUNT(*) FROM documents) + 1.0) / (COUNT(*) + 1)) * 1000000) AS BIGINT) AS weight,
+    UNNEST(range(8)) AS place FROM tf GROUP BY term
+), valued AS (
+  SELECT term, weight, place, CAST(round(weight * CAST(round(
+    (CAST('0x' || substr(md5(term), CAST(2 * place + 1 AS BIGINT), 2) AS INTEGER) / 255 - 0.5) * 100000000) AS BIGINT) / 1000000) AS BIGINT) AS units
+  FROM terms WHERE weight > 0
+), given AS (
+  SELECT doc_id AS "docId", CAST(place AS INTEGER) AS place, round(SUM(tf * units) / (SUM(tf * weight) * 100.0), 8) AS value
+  FROM tf JOIN valued USING (term) GROUP BY doc_id, place
+)"""
+
 ORACLE = {
     "access_log_clean": "WITH " + ACCESS_LOG + ' SELECT "userId", parameter, method FROM clean',
     "event_scores": "WITH " + SCORES + ' SELECT "userId", "itemId", rating FROM scored',
@@ -314,17 +330,30 @@ pairs AS (
   SELECT *, ROW_NUMBER() OVER (PARTITION BY "userId" ORDER BY s DESC, "itemId") AS rank FROM pairs QUALIFY rank <= 20
 )
 SELECT "userId", "itemId", CAST(rank AS INTEGER) AS rank, CAST(round(GREATEST(-2.0, LEAST(5.0, 1.5 + ub + s)) * 1000000) AS BIGINT) AS micros FROM ranked""",
-    "doc_vectors_given": r"""
-WITH words AS (
-  SELECT doc_id, UNNEST(regexp_extract_all(lower(text), '\p{Han}|[^\P{L}\p{Han}]+')) AS term FROM documents
-), tf AS (SELECT doc_id, term, COUNT(*) AS tf FROM words GROUP BY ALL),
-terms AS (
-  SELECT term, ln(((SELECT COUNT(*) FROM documents) + 1.0) / (COUNT(*) + 1)) AS idf, UNNEST(range(8)) AS place FROM tf GROUP BY term
-), valued AS (
-  SELECT term, idf, place, CAST('0x' || substr(md5(term), CAST(2 * place + 1 AS BIGINT), 2) AS INTEGER) / 255 - 0.5 AS v FROM terms WHERE idf > 0
-)
-SELECT doc_id AS "docId", CAST(place AS INTEGER) AS place, round(round(SUM(tf * idf * v) / SUM(tf * idf), 8), 6) AS value
-FROM tf JOIN valued USING (term) GROUP BY doc_id, place""",
+    "doc_vectors_given": "WITH " + GIVEN + """
+SELECT "docId", place, CAST(round(value * 100000000) AS BIGINT) AS units FROM given""",
+    "similar_given": "WITH " + GIVEN + """, vectors AS (
+  SELECT "docId" AS id, list(value ORDER BY place) AS v FROM given GROUP BY "docId"
+), unit AS (
+  SELECT id, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS v FROM vectors WHERE list_dot_product(v, v) > 0
+), scored AS (SELECT a.id AS a, b.id AS b, round(list_dot_product(a.v, b.v), 6) AS s FROM unit a, unit b WHERE a.id <> b.id),
+ranked AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY a ORDER BY s DESC, b) AS rank FROM scored QUALIFY rank <= 100)
+SELECT a AS "poemId", CAST(rank AS INTEGER) AS rank, b AS "similarId", CAST(round(s * 1000000) AS BIGINT) AS micros FROM ranked""",
+    "word_vectors_exact": "WITH " + WORDS + """, numbered AS (
+  SELECT doc_id, UNNEST(tokens) AS term, UNNEST(range(len(tokens))) AS pos FROM cut
+), beside AS (SELECT doc_id, term, pos + UNNEST([1, 2]) AS pos FROM numbered), counts AS (
+  SELECT LEAST(x.term, y.term) AS a, GREATEST(x.term, y.term) AS b, COUNT(*) AS n
+  FROM beside x JOIN numbered y ON x.doc_id = y.doc_id AND x.pos = y.pos GROUP BY ALL
+), totals AS (
+  SELECT term, SUM(n) AS total FROM (SELECT a AS term, n FROM counts UNION ALL SELECT b, n FROM counts) GROUP BY term
+), pmi AS (
+  SELECT a, b, CAST(round(ln(CASE WHEN a = b THEN 2 * n ELSE n END * CAST((SELECT SUM(total) FROM totals) AS DOUBLE)
+    / (CAST(x.total AS DOUBLE) * y.total * 1.0)) * 1000000) AS BIGINT) AS units
+  FROM counts JOIN totals x ON x.term = a JOIN totals y ON y.term = b
+), rows_of AS (SELECT a AS term, b AS other, units FROM pmi UNION ALL SELECT b, a, units FROM pmi WHERE a <> b)
+SELECT term, CAST(CAST('0x' || substr(md5(other), 1, 8) AS BIGINT) % 64 AS INTEGER) AS place,
+  CAST(SUM(units * (CAST('0x' || substr(md5(other), 9, 1) AS BIGINT) % 2 * 2 - 1)) AS BIGINT) AS units
+FROM rows_of WHERE units > 0 GROUP BY 1, 2 HAVING SUM(units * (CAST('0x' || substr(md5(other), 9, 1) AS BIGINT) % 2 * 2 - 1)) <> 0""",
     "headers_parsed": HEADERS,
     "stream_headers": HEADERS,
     "envelopes_parsed": f"""

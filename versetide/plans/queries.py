@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versetide.operators import cf, ranker, text
+from versetide.operators import cf, ranker, text, words
 from versetide.operators.events import clean_log, engagement_ratings, parse_report, score_events
 from versetide.operators.features import (
     feature_vocab,
@@ -221,13 +221,36 @@ def factors_top(spark: SparkSession, folder: str) -> DataFrame:
     return best.select("userId", "itemId", "rank", F.round(F.col("score") * 1_000_000).cast("bigint").alias("micros"))
 
 
-def doc_vectors_given(spark: SparkSession, folder: str) -> DataFrame:
+def word_vectors_exact(spark: SparkSession, folder: str) -> DataFrame:
+    """Sums of the counted word vectors at their places, in whole units."""
+    sums = words.word_sums(text.token_table(Tables(spark, folder).documents()))
+    places = sums.select("term", F.posexplode("sums").alias("place", "units"))
+    return places.where("units <> 0")
+
+
+def _given_vectors(spark: SparkSession, folder: str) -> DataFrame:
     """Document vectors from word vectors that are made from a hash of the word."""
     cut = text.token_table(Tables(spark, folder).documents())
     parts = [F.conv(F.substring(F.md5("term"), 2 * i + 1, 2), 16, 10) / 255 - 0.5 for i in range(8)]
     terms = cut.select(F.explode(F.array_distinct("tokens")).alias("term")).distinct()
-    vectors = text.doc_vectors(cut, terms.select("term", F.array(*parts).alias("vector")), cut.count())
-    return vectors.select("docId", F.posexplode("vec").alias("place", "value")).select("docId", "place", _round("value", 6))
+    return text.doc_vectors(cut, terms.select("term", F.array(*parts).alias("vector")), cut.count())
+
+
+def doc_vectors_given(spark: SparkSession, folder: str) -> DataFrame:
+    """The vectors in whole units of their eighth place."""
+    vectors = _given_vectors(spark, folder)
+    places = vectors.select("docId", F.posexplode("vec").alias("place", "value"))
+    return places.select("docId", "place", F.round(F.col("value") * text.VALUE_UNIT).cast("bigint").alias("units"))
+
+
+def similar_given(spark: SparkSession, folder: str) -> DataFrame:
+    """The most similar documents by the given vectors."""
+    vectors = _given_vectors(spark, folder).withColumnRenamed("docId", "id")
+    near = text.similar_items(settle(vectors, "given-vectors"), LIST)
+    return near.select("poemId", F.posexplode(F.arrays_zip("top100", "scores")).alias("place", "e")).select(
+        "poemId", (F.col("place") + 1).alias("rank"), F.col("e.top100").alias("similarId"),
+        F.round(F.col("e.scores") * 1_000_000).cast("bigint").alias("micros"),
+    )
 
 
 def recall_with_cf(spark: SparkSession, folder: str) -> DataFrame:
@@ -384,6 +407,8 @@ QUERIES = {
     "fold_errors": fold_errors,
     "factors_top": factors_top,
     "doc_vectors_given": doc_vectors_given,
+    "similar_given": similar_given,
+    "word_vectors_exact": word_vectors_exact,
     "recall_with_cf": recall_with_cf,
     "guess_strangers": guess_strangers,
     "impression_loop": impression_loop,
