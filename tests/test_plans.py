@@ -12,8 +12,8 @@ from versetide.plans.roles import Tables
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no tables")
-ARROW = {"factors_top", "similar_given", "word_vectors_exact", "impression_loop", "recall_with_cf", "guess_strangers", "similar_exact", "similar_text", "most_similar", "recall_candidates", "guess_you_like", "guess_by_star", "cf_topk"}
-MODELS = {"similar_text", "cf_topk", "ranker_compare", "guess_you_like"}
+ARROW = {"factors_top", "als_step", "daily_factors", "recall_with_factors", "similar_given", "word_vectors_exact", "impression_loop", "recall_with_cf", "guess_strangers", "similar_exact", "similar_text", "most_similar", "recall_candidates", "guess_you_like", "guess_by_star", "cf_topk"}
+MODELS = {"similar_text", "cf_topk", "daily_factors", "recall_with_factors", "ranker_compare", "guess_you_like"}
 
 
 def plan(df):

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versetide.functions.parsing import digest, digest_number
+from versetide.operators import als
 from versetide.operators.products import top_products
 from versetide.operators.ranking import dense_positions
 from versetide.session import settle, spread, use_checkpoints
@@ -220,6 +221,17 @@ def recommend_all(model: CFModel, k: int = CF_LIST, **blocks) -> DataFrame:
     )
 
 
+def fit_sums(ratings: DataFrame, rank: int = 20, max_iter: int = 10, reg: float = 0.1) -> CFModel:
+    """As ``fit_cf``, with factors from additive normal equations: any keys, and no hot one in one task."""
+    ratings = spread(known_ratings(ratings), "ratings")
+    biases = fit_biases(ratings)
+    left = biases.add(ratings).withColumn("left", F.col("rating") - F.col("base"))
+    users, items = als.fit(left, rank, max_iter, reg)
+    sides = (biases.users, users, "userId", "p"), (biases.items, items, "itemId", "q")
+    named = [settle(b.join(v.select(F.col("id").alias(k), F.col("vec").alias(name)), k, "left"), f"{k}-factors") for b, v, k, name in sides]
+    return CFModel(biases.mean, *named)
+
+
 def save_cf_lists(recommendations: DataFrame, path: str) -> None:
     """Store the per-user lists as the fixed recall set."""
     recommendations.write.mode("overwrite").parquet(path)
@@ -296,3 +308,53 @@ def tune_cf(ratings: DataFrame, grid: dict[str, list] | None = None, folds: int
         [(r, m, float(g), rmse, mae, i == first_best) for i, (r, m, g, rmse, mae) in enumerate(scored)],
         "rank int, max_iter int, reg double, rmse double, mae double, best boolean",
     )
+
+
+def sweep_cf(ratings: DataFrame, grid: dict[str, list] | None = None, folds: int = FOLDS, seed: int = 7, scale=SCALE) -> DataFrame:
+    """(rank, max_iter, reg, rmse, mae, best): mean errors over the folds of each setting, in one sweep for each rank.
+
+    A sweep carries all regularisations in all folds, each vector row holding one
+    for each of them, and goes on to the largest ``max_iter``; errors are taken on
+    the way, at every one of the grid. Rows without a fold's ratings in training
+    count with the parts that are known, as in ``CFModel``. The first setting of
+    the least error is ``best``.
+    """
+    spark = ratings.sparkSession
+    grid = grid or GRID
+    rows = settle(with_folds(known_ratings(ratings), folds, seed), "folds")
+    based = rows
+    for fold in range(folds):
+        based = fit_biases(rows.where(F.col("fold") != fold)).add(based).withColumnRenamed("base", f"base_{fold}")
+    values = F.array(*(F.col("rating") - F.col(f"base_{f}") for f in range(folds)), *(F.col(f"base_{f}") for f in range(folds)))
+    based = settle(based.select("userId", "itemId", "fold", values.alias("values")), "fold-bases")
+    by_user, by_item = als.blocks(based, "userId", "itemId"), als.blocks(based, "itemId", "userId")
+    settings = [als.Setting(float(reg), fold) for reg in grid["reg"] for fold in range(folds)]
+    ids = settle(by_item.select("key").distinct(), "item-ids")
+    scored = []
+    for rank in grid["rank"]:
+        items = settle(als.first_vectors(ids, "key", rank, len(settings)), "first-vectors")
+        for step in range(1, max(grid["max_iter"]) + 1):
+            users = als.half_step(by_user, items, rank, settings, 2 * folds)
+            items = als.half_step(by_item, users, rank, settings, 2 * folds)
+            if step not in grid["max_iter"]:
+                continue
+            found = {r["setting"]: r for r in als.errors(by_user, users, items, rank, settings, 2 * folds, scale).collect()}
+            for i, reg in enumerate(grid["reg"]):
+                seen = [r for r in (found.get(i * folds + f) for f in range(folds)) if r and r["n"]]
+                if seen:
+                    rmse = sum((r["squares"] / r["n"]) ** 0.5 for r in seen) / len(seen)
+                    mae = sum(r["distances"] / r["n"] for r in seen) / len(seen)
+                    scored.append((rank, step, float(reg), rmse, mae))
+    least = min((s[3] for s in scored), default=None)
+    best = next((i for i, s in enumerate(scored) if s[3] == least), None)
+    return spark.createDataFrame(
+        [(*s, i == best) for i, s in enumerate(scored)], "rank int, max_iter int, reg double, rmse double, mae double, best boolean"
+    )
+
+
+def fit_best(ratings: DataFrame, tuned: DataFrame) -> CFModel:
+    """The model of the best setting of ``sweep_cf``, fitted on all ratings."""
+    best = tuned.where("best").first()
+    if best is None:
+        raise ValueError("no setting could be scored")
+    return fit_sums(ratings, best["rank"], best["max_iter"], best["reg"])

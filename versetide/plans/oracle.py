@@ -305,6 +305,23 @@ GROUP BY "userId", "itemId" """,
     "recall_with_cf": "WITH " + RECALL + "," + BASE_TOP + """
 SELECT "userId", "itemId" FROM candidates
 UNION SELECT "userId", "itemId" FROM base_top WHERE rank <= 10 AND "userId" IN (SELECT c_custkey FROM customer)""",
+    "als_step": "WITH " + PURCHASES + """, given AS (
+  SELECT "itemId", CAST('0x' || substr(md5('factor-0:' || "itemId"), 1, 4) AS INTEGER) / 65535 - 0.5 AS x,
+    CAST('0x' || substr(md5('factor-1:' || "itemId"), 1, 4) AS INTEGER) / 65535 - 0.5 AS y FROM (SELECT DISTINCT "itemId" FROM ratings)
+), sums AS (
+  SELECT "userId", SUM(x * x) / 2 + 0.1 * COUNT(*) AS a, SUM(x * y) / 2 AS b, SUM(y * y) / 2 + 0.1 * COUNT(*) AS c,
+    SUM(x * rating) / sqrt(2) AS p, SUM(y * rating) / sqrt(2) AS q FROM ratings JOIN given USING ("itemId") GROUP BY "userId"
+), solved AS (
+  SELECT "userId", 0 AS place, (c * p - b * q) / (a * c - b * b) AS v FROM sums
+  UNION ALL SELECT "userId", 1, (a * q - b * p) / (a * c - b * b) FROM sums
+)
+SELECT "userId", place, CAST(round(v * 1000000) AS BIGINT) AS micros FROM solved""",
+    "offline_job": "WITH " + SAMPLES + "," + ITEMS + "," + FAVOURITES + f"""
+SELECT rating, label, "poemStar", {INDICATORS}, c_mktsegment AS "userSex",
+  CASE WHEN author IS NULL THEN 0 ELSE 1 END AS "collectAuthor"
+FROM samples s JOIN items ON s."itemId" = "poemId" JOIN customer ON s."userId" = c_custkey
+  LEFT JOIN favourites f ON f."userId" = s."userId" AND author = "poemAuthorId"
+WHERE rating IS NOT NULL""",
     "fold_errors": "WITH " + PURCHASES + """, rated AS (
   SELECT *, CAST('0x' || substr(md5('7:' || "userId" || ':' || "itemId"), 1, 8) AS BIGINT) % 5 AS fold FROM ratings
 ), folds AS (SELECT UNNEST(range(5)) AS k),
