@@ -409,7 +409,7 @@ def stream_recent(spark: SparkSession, folder: str) -> DataFrame:
         spark, source, "userId bigint, eventId bigint, ts timestamp, itemId int", "parquet", files_per_batch=2
     )
     recent_activity_stream(stream, store, scratch_path(spark, "recent-state"), once=True).awaitTermination()
-    parsed = parse_activity(read_recent(spark, store, t.items()))
+    parsed = parse_activity(read_recent(spark, store, items=t.items()))
     return parsed.select("userId", "pos", "itemId", F.array_join("tags", "-").alias("tags"))
 
 

@@ -10,13 +10,9 @@ from pyspark.sql.streaming import StreamingQuery
 
 from versetide.operators.ranking import to_lists
 from versetide.operators.recall import RECENT_ENTRIES, activity_entries, last_actions
-from versetide.session import settle
 
 BATCH = "1 second"  # fixed value: length of a micro-batch
 FILES_PER_BATCH = 5  # fixed value: how many click files are taken together
-BUCKETS = 64  # parts of the store of recent actions
-KEPT = 3  # manifests of that store, for readers that are at work
-MANIFEST = "-manifest"
 PRINTED = 10
 
 
@@ -50,119 +46,60 @@ def roll_files(spark: SparkSession, path: str, out: str, rows_per_file: int) ->
     spark.read.parquet(path).write.option("maxRecordsPerFile", rows_per_file).parquet(out)
 
 
-def _hadoop(spark: SparkSession, path: str):
-    """The file system of ``path``, and a maker of its paths."""
-    make = spark._jvm.org.apache.hadoop.fs.Path
-    return make(path).getFileSystem(spark._jsc.hadoopConfiguration()), make
-
-
-def _manifests(spark: SparkSession, path: str) -> list[int]:
-    """Batch numbers of the manifests of a store, in order."""
-    fs, make = _hadoop(spark, path)
-    folder = make(f"{path}{MANIFEST}")
-    names = [f.getPath().getName() for f in fs.listStatus(folder)] if fs.exists(folder) else []
-    return sorted(int(n[: -len(".json")]) for n in names if n.endswith(".json"))
-
-
-def _read_manifest(spark: SparkSession, path: str, number: int) -> dict[int, int]:
-    """Which version holds each bucket: BUCKETS entries at most."""
-    text = spark.read.text(f"{path}{MANIFEST}/{number}.json", wholetext=True).first()
-    return {int(b): v for b, v in json.loads(text["value"]).items()} if text else {}
-
-
-def _write_manifest(spark: SparkSession, path: str, number: int, versions: dict[int, int]) -> None:
-    """The rename makes the new versions visible all at once."""
-    fs, make = _hadoop(spark, path)
-    draft, final = make(f"{path}{MANIFEST}/{number}.draft"), make(f"{path}{MANIFEST}/{number}.json")
-    out = fs.create(draft, True)
-    out.write(bytearray(json.dumps(versions).encode()))
-    out.close()
-    fs.rename(draft, final)
-
-
-def _forget(spark: SparkSession, path: str) -> None:
-    """Remove manifests but the last KEPT, and versions that none of these names."""
-    fs, make = _hadoop(spark, path)
-    numbers = _manifests(spark, path)
-    for old in numbers[:-KEPT]:
-        fs.delete(make(f"{path}{MANIFEST}/{old}.json"), False)
-    named = {(b, v) for n in numbers[-KEPT:] for b, v in _read_manifest(spark, path, n).items()}
-    for version in fs.listStatus(make(path)):
-        number = int(version.getPath().getName().split("=")[1])
-        buckets = [f.getPath() for f in fs.listStatus(version.getPath()) if f.getPath().getName().startswith("bucket=")]
-        gone = [b for b in buckets if (int(b.getName().split("=")[1]), number) not in named]
-        for b in gone:
-            fs.delete(b, True)
-        if len(gone) == len(buckets):
-            fs.delete(version.getPath(), True)
-
-
-def _versions(spark: SparkSession, path: str, before: int | None = None) -> dict[int, int]:
-    numbers = [n for n in _manifests(spark, path) if before is None or n < before]
-    return _read_manifest(spark, path, numbers[-1]) if numbers else {}
-
-
-def _merge(batch: DataFrame, path: str, number: int, n: int) -> None:
-    """Merge a batch into the buckets that it touches, as a new version of these."""
-    spark = batch.sparkSession
-    if number in _manifests(spark, path):
-        return  # this batch is in the store
-    bucket = F.pmod(F.xxhash64("userId"), F.lit(BUCKETS)).cast("int")
-    new = settle(last_actions(batch, n).drop("rank").withColumn("bucket", bucket), "batch")
-    touched = sorted(r["bucket"] for r in new.select("bucket").distinct().collect())  # BUCKETS at most
-    versions = _versions(spark, path, before=number)
-    old = [f"{path}/version={versions[b]}/bucket={b}" for b in touched if b in versions]
-    if old:
-        stored = spark.read.schema(batch.schema).parquet(*old).withColumn("bucket", bucket)
-        new = last_actions(new.unionByName(stored), n).drop("rank")
-    new.write.partitionBy("bucket").mode("overwrite").parquet(f"{path}/version={number}")
-    _write_manifest(spark, path, number, versions | {b: number for b in touched})
-    _forget(spark, path)
+def _run_of(spark: SparkSession, checkpoint: str) -> str:
+    """The id that a stream keeps in its checkpoint, over all its restarts."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata", wholetext=True).first()["value"])["id"]
 
 
 def recent_activity_stream(
     events: DataFrame, path: str, checkpoint: str, n: int = RECENT_ENTRIES, once: bool = False
 ) -> StreamingQuery:
-    """Keep each user's last ``n`` actions of (userId, eventId, ts, ...) up to date.
-
-    The store is cut into BUCKETS by user. Every micro-batch merges its own top
-    ``n`` per user into the buckets that it touches, writes these as a new version and
-    names it in a manifest, so a reader sees one version of each bucket, and all
-    of a batch or nothing. A batch that is run again changes nothing. Versions
-    that the last KEPT manifests do not name are removed. A user with most of
-    the traffic sends at most ``n`` rows per input partition through the
-    shuffle, and no state is held per key between batches.
+    """Keep each user's last ``n`` actions of (userId, eventId, ts, ...).
+
+    Every micro-batch writes its own top ``n`` per user to the folder of its run
+    and number; a batch that is run again overwrites its folder, and a stream
+    with a new checkpoint is a run of its own. A user with most of the traffic
+    sends at most ``n`` rows per input partition through the shuffle, and no
+    state is held per key between batches.
     """
 
     def write_batch(batch: DataFrame, number: int) -> None:
-        _merge(batch, path, number, n)
+        spark = batch.sparkSession
+        if "run" not in known:
+            known["run"] = _run_of(spark, checkpoint)
+        last_actions(batch, n).drop("rank").write.mode("overwrite").parquet(f"{path}/run={known['run']}/batch={number}")
 
+    known: dict[str, str] = {}
     writer = events.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
     return _trigger(writer, once).start()
 
 
-def stored_actions(spark: SparkSession, path: str, n: int = RECENT_ENTRIES) -> DataFrame:
-    """The last ``n`` actions of each user in the store, with ``rank``.
+def stored_actions(spark: SparkSession, *paths: str, n: int = RECENT_ENTRIES) -> DataFrame:
+    """The last ``n`` actions of each user in all batches below ``paths``, with ``rank``.
 
-    Reads the versions that the last manifest names.
+    An event that several runs have read counts once.
     """
-    versions = _versions(spark, path)
-    if not versions:
-        raise FileNotFoundError(f"no batch has been written to {path}")
-    return last_actions(spark.read.parquet(*(f"{path}/version={v}/bucket={b}" for b, v in sorted(versions.items()))), n)
+    found = None
+    for path in paths:
+        rows = spark.read.parquet(path).drop("run", "batch")
+        found = rows if found is None else found.unionByName(rows)
+    return last_actions(found.dropDuplicates(["userId", "eventId"]), n)
 
 
-def read_recent(spark: SparkSession, path: str, items: DataFrame | None = None, n: int = RECENT_ENTRIES) -> DataFrame:
-    """(userId, recent): newest first, from the store.
+def read_recent(spark: SparkSession, *paths: str, items: DataFrame | None = None, n: int = RECENT_ENTRIES) -> DataFrame:
+    """(userId, recent): newest first, from the batches and compacted folders.
 
     Entries come with the events, or else from the item attributes.
     """
-    actions = stored_actions(spark, path, n)
+    actions = stored_actions(spark, *paths, n=n)
     if items is not None:
         actions = activity_entries(actions, items)
     return to_lists(actions, "userId", "entry", name="recent")
 
 
-def merge_recent(spark: SparkSession, path: str, out: str, n: int = RECENT_ENTRIES) -> None:
-    """Write a store anew as one version below ``out``, for a stream with a new checkpoint."""
-    _merge(stored_actions(spark, path, n).drop("rank"), out, -1, n)
+def compact_recent(spark: SparkSession, *paths: str, out: str, n: int = RECENT_ENTRIES) -> None:
+    """Write the last ``n`` actions of each user below ``paths`` to one folder.
+
+    Batches that were there when it began are then no longer needed beside ``out``.
+    """
+    stored_actions(spark, *paths, n=n).drop("rank").write.parquet(out)
