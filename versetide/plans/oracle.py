@@ -316,6 +316,19 @@ UNION SELECT "userId", "itemId" FROM base_top WHERE rank <= 10 AND "userId" IN (
   UNION ALL SELECT "userId", 1, (a * q - b * p) / (a * c - b * b) FROM sums
 )
 SELECT "userId", place, CAST(round(v * 1000000) AS BIGINT) AS micros FROM solved""",
+    "ranker_metrics": "WITH " + SAMPLES + "," + ITEMS + "," + FAVOURITES + """, starred AS (
+  SELECT c_mktsegment AS "userSex", label, ("poemStar" + CASE WHEN author IS NULL THEN 0 ELSE 100 END) / 150 AS score
+  FROM samples s JOIN items ON s."itemId" = "poemId" JOIN customer ON s."userId" = c_custkey
+    LEFT JOIN favourites f ON f."userId" = s."userId" AND author = "poemAuthorId"
+), placed AS (
+  SELECT *, 2 * RANK() OVER w - 1 + COUNT(*) OVER (PARTITION BY "userSex", score) AS twice,
+    LEAST(1 - 1e-15, GREATEST(1e-15, score)) AS safe
+  FROM starred WINDOW w AS (PARTITION BY "userSex" ORDER BY score)
+)
+SELECT "userSex", COUNT(*) AS n, CAST(SUM(label) AS BIGINT) AS positives,
+  round((SUM(label * twice) / 2.0 - SUM(label) * (SUM(label) + 1) / 2.0) / (SUM(label) * (COUNT(*) - SUM(label))), 6) AS auc,
+  round(-AVG(CASE WHEN label > 0 THEN ln(safe) ELSE ln(1 - safe) END), 6) AS logloss
+FROM placed GROUP BY "userSex" """,
     "offline_job": "WITH " + SAMPLES + "," + ITEMS + "," + FAVOURITES + f"""
 SELECT rating, label, "poemStar", {INDICATORS}, c_mktsegment AS "userSex",
   CASE WHEN author IS NULL THEN 0 ELSE 1 END AS "collectAuthor"

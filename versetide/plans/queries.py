@@ -17,6 +17,7 @@ from versetide.operators.features import (
     term_table,
     training_set,
 )
+from versetide.operators.metrics import ranker_metrics
 from versetide.operators.ranking import sample_rows
 from versetide.operators.recall import (
     parse_activity,
@@ -347,6 +348,15 @@ def guess_by_star(spark: SparkSession, folder: str) -> DataFrame:
     return to_payload(shown_lists(ranked), "rs").select("userId", "payload")
 
 
+def star_metrics(spark: SparkSession, folder: str) -> DataFrame:
+    """Area and loss of the ranking by star and favourite author, on all samples, for each sex."""
+    t = Tables(spark, folder)
+    rows = ranker_rows(_samples(t), t.items(), t.users(), t.favourites())
+    scored = _ByStar.transform(rows).select("userSex", "label", (F.col("score") / 150).alias("score"))
+    found = ranker_metrics(scored, "userSex")
+    return found.select("userSex", "n", "positives", _round("auc", 6), _round("logloss", 6))
+
+
 def impression_loop(spark: SparkSession, folder: str) -> DataFrame:
     """The lists of ``guess_by_star`` are logged as shown and come back as negatives."""
     t = Tables(spark, folder)
@@ -457,6 +467,7 @@ QUERIES = {
     "recall_with_cf": recall_with_cf,
     "guess_strangers": guess_strangers,
     "impression_loop": impression_loop,
+    "ranker_metrics": star_metrics,
     "ranker_compare": ranker_compare,
     "guess_you_like": guess,
     "guess_by_star": guess_by_star,
