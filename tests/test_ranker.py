@@ -1,6 +1,8 @@
 import pytest
+from pyspark.sql import functions as F
 
 from versetide.operators import ranker
+from versetide.operators.metrics import ranker_metrics
 
 
 @pytest.fixture(scope="module")
@@ -17,11 +19,13 @@ def rows(spark):
         "collectAuthor int, label int").cache()
 
 
-VOCAB, SEXES = ["Tang", "moon", "river", "wine"], ["f", "m"]
+@pytest.fixture(scope="module")
+def terms(rows):
+    return ranker.ranker_terms(rows, rows)
 
 
-def test_trees_find_an_interaction_that_a_linear_model_misses(rows):
-    table = {r["kind"]: r for r in ranker.compare_rankers(rows, VOCAB, SEXES, n_trees=8).collect()}
+def test_trees_find_an_interaction_that_a_linear_model_misses(rows, terms):
+    table = {r["kind"]: r for r in ranker.compare_rankers(rows, terms, n_trees=8).collect()}
     assert set(table) == set(ranker.KINDS)
     assert table["trees+lr"]["auc"] > 0.95 and table["trees+fm"]["auc"] > 0.9
     assert table["lr"]["auc"] < 0.8
@@ -29,8 +33,8 @@ def test_trees_find_an_interaction_that_a_linear_model_misses(rows):
 
 
 @pytest.mark.parametrize("kind", ["lr", "trees+fm"])
-def test_save_load_and_same_columns_for_a_part(spark, rows, tmp_path, kind):
-    model = ranker.fit_ranker(rows, kind, VOCAB, SEXES, n_trees=4)
+def test_save_load_and_same_columns_for_a_part(spark, rows, terms, tmp_path, kind):
+    model = ranker.fit_ranker(rows, kind, terms, n_trees=4)
     model.save(str(tmp_path / kind))
     back = ranker.Ranker.load(spark, str(tmp_path / kind))
     whole = {(r["userId"], r["itemId"]): r["score"] for r in model.transform(rows).collect()}
@@ -40,20 +44,47 @@ def test_save_load_and_same_columns_for_a_part(spark, rows, tmp_path, kind):
     assert "features" not in part.columns and "rawPrediction" not in part.columns
 
 
-def test_leaves_are_one_hot_per_tree(rows):
-    df = ranker.assemble(rows, VOCAB, SEXES)
+def test_leaves_are_one_hot_per_tree(rows, terms):
+    df = ranker.assemble(rows, terms)
     trees = ranker.fit_leaf_encoder(df, 5, 2)
     encoded = ranker.encode_leaves(trees, df, 2).select("features").first()[0]
     assert encoded.size == 5 * 4 and sum(encoded.toArray()) == 5
     assert all(sum(encoded.toArray()[t * 4:(t + 1) * 4]) == 1 for t in range(5))
 
 
-def test_unknown_kind(rows):
-    with pytest.raises(ValueError):
-        ranker.fit_ranker(rows, "svm", VOCAB, SEXES)
+def test_routed_leaves_are_those_of_the_model(rows, terms):
+    df = ranker.assemble(rows, terms)
+    trees = ranker.fit_leaf_encoder(df, 6, 3)
+    told = ranker.leaf_slots(trees.transform(df), ranker.fitted_trees(trees), 8).select("leaf", "slots").collect()
+    assert {len(set(r["slots"])) for r in told} == {6}
+    assert all([s % 8 for s in r["slots"]] == [int(x) for x in r["leaf"]] for r in told)
+
+
+def test_features_without_a_list_of_terms(spark, terms, rows):
+    ids = {r["term"]: r["termId"] for r in terms.collect()}
+    assert set(ids) == {"Tang", "moon", "wine", "river", "sex=f", "sex=m"} and set(ids.values()) == set(range(6))
+    odd = [(1, 1, 2.5, "Tang", "moon,new,moon", "m", 1), (2, 1, 0.0, None, None, None, 0), (3, 1, 1.0, "Han", "river", "x", 0)]
+    df = spark.createDataFrame(odd, "userId long, itemId long, poemStar double, poemDynasty string, poemTagNames string, userSex string, collectAuthor int")
+    got = {r["userId"]: r["features"] for r in ranker.assemble(df, terms).collect()}
+    marks = {1: {"Tang", "moon", "sex=m"}, 2: set(), 3: {"river"}}
+    for u, _, star, *_, favourite in odd:
+        cells = {k: v for k, v in {0: star, 1: favourite}.items() if v} | {ids[t] + 2: 1.0 for t in marks[u]}
+        assert got[u].size == 8 and dict(zip(got[u].indices.tolist(), got[u].values.tolist())) == cells
+
+
+def test_a_hundred_thousand_terms(spark):
+    """Far more terms than the wide table takes."""
+    data = spark.range(50_000).select(
+        (F.col("id") % 200).alias("userId"), F.col("id").alias("itemId"), (F.col("id") % 10).cast("double").alias("poemStar"),
+        F.concat(F.lit("d"), F.col("id") % 3).alias("poemDynasty"), F.concat(F.lit("a"), F.col("id"), F.lit(",b"), F.col("id")).alias("poemTagNames"),
+        F.lit("f").alias("userSex"), F.lit(0).alias("collectAuthor"), (F.col("id") % 10 > 4).cast("int").alias("label"),
+    )
+    terms = ranker.ranker_terms(data, data)
+    assert terms.count() == 100_004
+    model = ranker.fit_ranker(data, "lr", terms)
+    assert ranker_metrics(model.transform(data)).first()["auc"] > 0.95
 
 
-def test_sexes_are_bounded(rows):
-    assert ranker.sexes_of(rows) == ["f", "m"]
+def test_unknown_kind(rows, terms):
     with pytest.raises(ValueError):
-        ranker.sexes_of(rows, 1)
+        ranker.fit_ranker(rows, "svm", terms)

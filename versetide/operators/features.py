@@ -48,7 +48,12 @@ def one_hot_table(items: DataFrame, vocab: list[str]) -> DataFrame:
 
 def term_table(items: DataFrame) -> DataFrame:
     """(term, termId) of all dynasties and tags, with ids from 0, for any number of terms."""
-    terms = items.select(F.explode(item_terms()).alias("term")).distinct()
+    return number_terms(items.select(F.explode(item_terms()).alias("term")))
+
+
+def number_terms(terms: DataFrame) -> DataFrame:
+    """(term, termId), written, of the distinct terms of ``terms``, in the order of their digests."""
+    terms = terms.distinct()
     ids = dense_positions(terms.withColumn("_digest", digest("term", "term")), [], "_digest", "term")
     return settle(ids.select("term", F.col("pos").cast("int").alias("termId")), "terms")
 

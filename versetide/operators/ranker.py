@@ -2,44 +2,69 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import FMClassifier, GBTClassificationModel, GBTClassifier, LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import CountVectorizerModel, MaxAbsScaler, VectorAssembler
+from pyspark.ml.feature import MaxAbsScaler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.pipeline import Pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versetide.functions.parsing import digest, digest_number
-from versetide.operators.features import item_terms
-from versetide.session import settle, spread, use_checkpoints
+from versetide.operators.features import item_terms, number_terms
+from versetide.operators.metrics import ranker_metrics
+from versetide.operators.vectors import vector_table
+from versetide.session import broadcast_if_small, settle, use_checkpoints
 
 KINDS = ("lr", "fm", "trees+lr", "trees+fm")
 N_TREES = 50  # fixed value of the encoder
 TREE_DEPTH = 3
 
 
-def assemble(rows: DataFrame, vocab: list[str], sexes: list[str]) -> DataFrame:
-    """Add ``features``: star, favourite flag, and indicators of dynasty, tags and sex.
+STAR, FAVOURITE, TERMS = 0, 1, 2  # places of the star and the favourite flag, and of the first term
 
-    The vocabulary comes from the model, so scoring lines up with training.
+
+def ranker_terms(items: DataFrame, users: DataFrame) -> DataFrame:
+    """(term, termId), written: dynasties, tags and sexes, any number of them, with ids from 0."""
+    sexes = users.where(F.col("userSex").isNotNull()).select(F.concat(F.lit("sex="), F.col("userSex")).alias("term"))
+    return number_terms(items.select(F.explode(item_terms()).alias("term")).unionByName(sexes))
+
+
+def feature_arrays(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """Add ``places`` and ``values``: star, favourite flag, and indicators of dynasty, tags and sex.
+
+    Terms are looked up once for each dynasty and tags and for each sex, not for each row. A term
+    that ``terms`` does not have is left out, so scoring lines up with training.
     """
-    sex = F.concat(F.lit("sex="), F.col("userSex"))
-    terms = F.array_compact(F.array_append(item_terms(), sex))
-    hot = CountVectorizerModel.from_vocabulary(vocab + [f"sex={s}" for s in sexes], "_terms", "_hot", binary=True)
-    assembler = VectorAssembler(inputCols=["poemStar", "collectAuthor", "_hot"], outputCol="features")
-    return assembler.transform(hot.transform(rows.withColumn("_terms", terms))).drop("_terms", "_hot")
+    ids = broadcast_if_small(terms, 64)
+    kinds, place = ["poemDynasty", "poemTagNames"], (F.col("termId") + TERMS).alias("place")
+    named = settle(rows.select(*kinds).distinct(), "item-kinds")
+    known = named.select(*kinds, F.explode(item_terms()).alias("term")).join(ids, "term").groupBy(*kinds).agg(F.collect_set(place).alias("_item"))
+    known = settle(known, "kind-places").select(*(F.col(k).alias(f"_{k}") for k in kinds), "_item")
+    sexes = rows.select("userSex").distinct().join(ids, F.concat(F.lit("sex="), F.col("userSex")) == F.col("term"))
+    sexes = settle(sexes.select(F.col("userSex").alias("_sex"), F.array(place).alias("_user")), "sex-places")
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in kinds]
+    joined = rows.join(broadcast_if_small(known, 512), same[0] & same[1], "left").join(
+        broadcast_if_small(sexes, 64), F.col("userSex") == F.col("_sex"), "left"
+    )
+    none = F.array().cast("array<int>")
+    marks = F.array_sort(F.concat(F.coalesce("_item", none), F.coalesce("_user", none)))
+    # zeros are not stored: estimators take what is stored as not zero
+    plain = [(F.lit(STAR), F.col("poemStar").cast("double")), (F.lit(FAVOURITE), F.col("collectAuthor").cast("double"))]
+    places = [F.when(v != 0, F.array(k)).otherwise(none) for k, v in plain]
+    values = [F.when(v != 0, F.array(v)).otherwise(F.array().cast("array<double>")) for _, v in plain]
+    ones = F.transform("_marks", lambda _: F.lit(1.0))
+    return joined.withColumn("_marks", marks).select(
+        *rows.columns, F.concat(*places, F.col("_marks")).alias("places"), F.concat(*values, ones).alias("values")
+    )
 
 
-def sexes_of(users: DataFrame, max_size: int = 100) -> list[str]:
-    """The distinct values of ``userSex``; more than ``max_size`` is an error."""
-    rows = users.select("userSex").where(F.col("userSex").isNotNull()).distinct().limit(max_size + 1).collect()
-    if len(rows) > max_size:
-        raise ValueError(f"more than {max_size} values of userSex")
-    return sorted(r[0] for r in rows)
+def assemble(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """``rows`` written with ``places``, ``values`` and the sparse vector ``features`` of them."""
+    return vector_table(feature_arrays(rows, terms), "places", "values", terms.count() + TERMS, "features", "assembled")
 
 
 def fit_leaf_encoder(df: DataFrame, n_trees: int = N_TREES, depth: int = TREE_DEPTH, seed: int = 7):
@@ -51,38 +76,96 @@ def fit_leaf_encoder(df: DataFrame, n_trees: int = N_TREES, depth: int = TREE_DE
     ).setRawPredictionCol("_treeRaw").setProbabilityCol("_treeProbability").fit(df)
 
 
+# (place, threshold, below or at, above), or None for a leaf
+Node = tuple | None
+# tree, number of the leaf in it, and for each place that its path tests the bounds: above the first, at most the second
+Path = tuple[int, int, dict[int, tuple[float, float]]]
+
+
+def leaf_paths(trees: list[Node]) -> list[Path]:
+    """One path for each leaf, in the order of the leaves from left to right."""
+    paths: list[Path] = []
+    for tree, root in enumerate(trees):
+        waiting, number = [(root, {})], 0
+        while waiting:
+            node, bounds = waiting.pop()
+            if node is None:
+                paths.append((tree, number, bounds))
+                number += 1
+                continue
+            place, cut, left, right = node
+            low, high = bounds.get(place, (-math.inf, math.inf))
+            waiting.append((right, bounds | {place: (max(low, cut), high)}))
+            waiting.append((left, bounds | {place: (low, min(high, cut))}))
+    return paths
+
+
+def fitted_trees(model: GBTClassificationModel) -> list[Node]:
+    """The trees of a fitted model: a few nodes each."""
+    def read(node) -> Node:
+        if node.getClass().getSimpleName() == "LeafNode":
+            return None
+        split = node.split()
+        return split.featureIndex(), split.threshold(), read(node.leftChild()), read(node.rightChild())
+
+    return [read(tree._java_obj.rootNode()) for tree in model.trees]
+
+
+def leaf_slots(df: DataFrame, trees: list[Node], width: int) -> DataFrame:
+    """Add ``slots``: for each tree ``tree * width`` and the number of the leaf that ``places`` and ``values`` lead to.
+
+    Each leaf is a range for every place on its path, so one projection compares
+    the values of the tested places with the ranges. A place that is not there is 0.
+    """
+    paths = leaf_paths(trees)
+    tested = sorted({place for _, _, bounds in paths for place in bounds})
+    value = {place: F.coalesce(F.get("values", F.array_position("places", F.lit(place)).cast("int") - 1), F.lit(0.0)) for place in tested}
+    told = df.withColumns({f"_v{place}": value[place] for place in tested})
+    slots = []
+    for tree in range(len(trees)):
+        slot = None
+        for owner, number, bounds in paths:
+            if owner != tree:
+                continue
+            inside = F.lit(True)
+            for place, (low, high) in bounds.items():
+                if low > -math.inf:
+                    inside &= F.col(f"_v{place}") > low
+                if high < math.inf:
+                    inside &= F.col(f"_v{place}") <= high
+            mark = F.lit(tree * width + number)
+            slot = F.when(inside, mark) if slot is None else slot.when(inside, mark)
+        slots.append(slot)
+    return told.withColumn("slots", F.array(*slots)).drop(*(f"_v{place}" for place in tested))
+
+
 def encode_leaves(trees: GBTClassificationModel, df: DataFrame, depth: int = TREE_DEPTH) -> DataFrame:
-    """Replace ``features`` by the one-hot leaves, one slot per tree and leaf.
+    """``df`` written with the one-hot leaves as ``features``, one place per tree and leaf.
 
-    The slots follow from the number of trees and their depth, so rows encoded
+    The places follow from the number of trees and their depth, so rows encoded
     at any time have the same columns.
     """
     width = 1 << depth
-    slots = [str(i) for i in range(len(trees.trees) * width)]
-    reached = F.transform(
-        vector_to_array("leaf"), lambda leaf, tree: (tree * width + leaf.cast("int")).cast("string")
-    )
-    hot = CountVectorizerModel.from_vocabulary(slots, "_slots", "features", binary=True)
-    told = trees.transform(df).withColumn("_slots", reached).drop("features")
-    return hot.transform(told).drop("_slots", "leaf", "_treePrediction", "_treeRaw", "_treeProbability")
+    told = leaf_slots(df, fitted_trees(trees), width).withColumn("_ones", F.transform("slots", lambda _: F.lit(1.0)))
+    return vector_table(told, "slots", "_ones", len(trees.trees) * width, "features", "leaves").drop("slots", "_ones")
 
 
 @dataclass
 class Ranker:
-    """A fitted ranker with the vocabulary it was fitted on."""
+    """A fitted ranker with the terms it was fitted on."""
 
     kind: str
-    vocab: list[str]
-    sexes: list[str]
+    terms: DataFrame  # term, termId
     final: PipelineModel
     trees: GBTClassificationModel | None = None
     depth: int = TREE_DEPTH
-    dropped: list[str] = field(default_factory=lambda: ["features", "scaled", "rawPrediction", "probability", "prediction"])
+    dropped: list[str] = field(
+        default_factory=lambda: ["features", "places", "values", "scaled", "rawPrediction", "probability", "prediction"]
+    )
 
     def transform(self, rows: DataFrame) -> DataFrame:
         """Add ``score``, the probability of label 1, to rows of ``ranker_rows``."""
-        df = assemble(rows, self.vocab, self.sexes)
-        return self.score(df)
+        return self.score(assemble(rows, self.terms))
 
     def score(self, assembled: DataFrame) -> DataFrame:
         """As ``transform``, on rows that have ``features`` already."""
@@ -96,18 +179,15 @@ class Ranker:
         self.final.save(f"{path}/final")
         if self.trees is not None:
             self.trees.save(f"{path}/trees")
-        spark.createDataFrame(
-            [(self.kind, self.vocab, self.sexes, self.depth)],
-            "kind string, vocab array<string>, sexes array<string>, depth int",
-        ).write.parquet(f"{path}/about")
+        self.terms.write.parquet(f"{path}/terms")
+        spark.createDataFrame([(self.kind, self.depth)], "kind string, depth int").write.parquet(f"{path}/about")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> "Ranker":
         """Read a saved ranker."""
         about = spark.read.parquet(f"{path}/about").first()
         trees = GBTClassificationModel.load(f"{path}/trees") if about["kind"].startswith("trees") else None
-        return Ranker(about["kind"], list(about["vocab"]), list(about["sexes"]),
-                      PipelineModel.load(f"{path}/final"), trees, about["depth"])
+        return Ranker(about["kind"], spark.read.parquet(f"{path}/terms"), PipelineModel.load(f"{path}/final"), trees, about["depth"])
 
 
 def _final(kind: str, seed: int) -> Pipeline:
@@ -122,19 +202,19 @@ def _final(kind: str, seed: int) -> Pipeline:
 
 
 def fit_ranker(
-    rows: DataFrame, kind: str, vocab: list[str], sexes: list[str], n_trees: int = N_TREES,
+    rows: DataFrame, kind: str, terms: DataFrame, n_trees: int = N_TREES,
     depth: int = TREE_DEPTH, seed: int = 7, trees: GBTClassificationModel | None = None,
 ) -> Ranker:
-    """Fit one kind of ranker on rows of ``ranker_rows`` with a ``label``."""
+    """Fit one kind of ranker on rows of ``ranker_rows`` with a ``label``, or on assembled ones."""
     if kind not in KINDS:
         raise ValueError(f"kind must be one of {KINDS}")
-    df = rows if "features" in rows.columns else spread(assemble(rows, vocab, sexes).select("features", "label"), "assembled")
+    df = rows if "features" in rows.columns else assemble(rows, terms)
     if kind.startswith("trees"):
         trees = trees or fit_leaf_encoder(df, n_trees, depth, seed)
-        df = spread(encode_leaves(trees, df, depth).select("features", "label"), "leaves")
+        df = encode_leaves(trees, df.select("places", "values", "label"), depth).select("features", "label")
     else:
         trees = None
-    return Ranker(kind, vocab, sexes, _final(kind, seed).fit(df), trees, depth)
+    return Ranker(kind, terms, _final(kind, seed).fit(df.select("features", "label")), trees, depth)
 
 
 def split_rows(rows: DataFrame, share: int = 20, seed: int = 11) -> DataFrame:
@@ -143,24 +223,18 @@ def split_rows(rows: DataFrame, share: int = 20, seed: int = 11) -> DataFrame:
 
 
 def compare_rankers(
-    rows: DataFrame, vocab: list[str], sexes: list[str], kinds=KINDS, n_trees: int = N_TREES,
+    rows: DataFrame, terms: DataFrame, kinds=KINDS, n_trees: int = N_TREES,
     depth: int = TREE_DEPTH, seed: int = 7,
 ) -> DataFrame:
     """(kind, auc, logloss) of each kind on the held-out pairs."""
-    spark = rows.sparkSession
-    parts = spread(
-        assemble(split_rows(rows), vocab, sexes).select("features", F.col("label").cast("double").alias("label"), "held"),
-        "split",
+    parts = assemble(split_rows(rows).withColumn("label", F.col("label").cast("double")), terms).select(
+        "features", "places", "values", "label", "held"
     )
     train, test = parts.where(~F.col("held")).drop("held"), parts.where("held").drop("held")
     trees = fit_leaf_encoder(train, n_trees, depth, seed) if any(k.startswith("trees") for k in kinds) else None
-    # numBins=0 keeps every threshold, so the area is exact
-    area = BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", numBins=0)
-    found = []
+    scored = None
     for kind in kinds:
-        ranker = fit_ranker(train, kind, vocab, sexes, n_trees, depth, seed, trees)
-        scored = settle(ranker.score(test).select("label", "score"), "scored")
-        safe = F.greatest(F.lit(1e-15), F.least(F.lit(1 - 1e-15), F.col("score")))
-        loss = -F.avg(F.when(F.col("label") > 0, F.log(safe)).otherwise(F.log(1 - safe)))
-        found.append((kind, float(area.evaluate(scored)), float(scored.agg(loss).first()[0])))
-    return spark.createDataFrame(found, "kind string, auc double, logloss double")
+        ranker = fit_ranker(train, kind, terms, n_trees, depth, seed, trees)
+        one = settle(ranker.score(test).select(F.lit(kind).alias("kind"), "label", "score"), "scored")
+        scored = one if scored is None else scored.unionByName(one)
+    return ranker_metrics(scored, "kind").select("kind", "auc", "logloss")

@@ -205,6 +205,20 @@ terms AS (
   FROM tf JOIN valued USING (term) GROUP BY doc_id, place
 )"""
 
+CELLS = SAMPLES + "," + ITEMS + "," + FAVOURITES + """, ranker_terms AS (
+  SELECT term, ROW_NUMBER() OVER (ORDER BY md5('term:' || term), term) + 1 AS place FROM (
+    SELECT term FROM item_terms UNION SELECT 'sex=' || c_mktsegment FROM customer)
+), rated AS (
+  SELECT s."userId", s."itemId", "poemStar", c_mktsegment, CASE WHEN author IS NULL THEN 0.0 ELSE 1.0 END AS favourite
+  FROM samples s JOIN items ON s."itemId" = "poemId" JOIN customer ON s."userId" = c_custkey
+    LEFT JOIN favourites f ON f."userId" = s."userId" AND author = "poemAuthorId"
+), cells AS (
+  SELECT "userId", "itemId", 0 AS place, "poemStar" AS value FROM rated
+  UNION ALL SELECT "userId", "itemId", 1, favourite FROM rated
+  UNION ALL SELECT "userId", "itemId", place, 1 FROM rated JOIN item_terms ON "poemId" = "itemId" JOIN ranker_terms USING (term)
+  UNION ALL SELECT "userId", "itemId", place, 1 FROM rated JOIN ranker_terms ON term = 'sex=' || c_mktsegment
+)"""
+
 ORACLE = {
     "access_log_clean": "WITH " + ACCESS_LOG + ' SELECT "userId", parameter, method FROM clean',
     "event_scores": "WITH " + SCORES + ' SELECT "userId", "itemId", rating FROM scored',
@@ -316,6 +330,14 @@ UNION SELECT "userId", "itemId" FROM base_top WHERE rank <= 10 AND "userId" IN (
   UNION ALL SELECT "userId", 1, (a * q - b * p) / (a * c - b * b) FROM sums
 )
 SELECT "userId", place, CAST(round(v * 1000000) AS BIGINT) AS micros FROM solved""",
+    "ranker_features": "WITH " + CELLS + """
+SELECT "userId", "itemId", CAST(place AS INTEGER) AS place, CAST(value AS DOUBLE) AS value FROM cells WHERE value <> 0""",
+    "leaf_slots": "WITH " + CELLS + """, tested AS (
+  SELECT "userId", "itemId", MAX(value) FILTER (place = 0) AS star, MAX(value) FILTER (place = 1) AS favourite,
+    COUNT(*) FILTER (place = 5) AS five, COUNT(*) FILTER (place = 9) AS nine FROM cells GROUP BY ALL
+)
+SELECT "userId", "itemId", CASE WHEN star <= 25 THEN CASE WHEN favourite <= 0.5 THEN 0 ELSE 1 END WHEN star <= 40 THEN 2 ELSE 3 END AS slot FROM tested
+UNION ALL SELECT "userId", "itemId", CASE WHEN five = 1 THEN 11 WHEN star <= 10 THEN 8 WHEN nine = 0 THEN 9 ELSE 10 END FROM tested""",
     "ranker_metrics": "WITH " + SAMPLES + "," + ITEMS + "," + FAVOURITES + """, starred AS (
   SELECT c_mktsegment AS "userSex", label, ("poemStar" + CASE WHEN author IS NULL THEN 0 ELSE 100 END) / 150 AS score
   FROM samples s JOIN items ON s."itemId" = "poemId" JOIN customer ON s."userId" = c_custkey

@@ -306,7 +306,24 @@ def recall_with_cf(spark: SparkSession, folder: str) -> DataFrame:
 
 def _ranker_inputs(t: Tables):
     rows = ranker_rows(_samples(t), t.items(), t.users(), t.favourites())
-    return rows, feature_vocab(t.items()), ranker.sexes_of(t.users())
+    return rows, ranker.ranker_terms(t.items(), t.users())
+
+
+def ranker_features(spark: SparkSession, folder: str) -> DataFrame:
+    """What is not zero in the feature row of each sample."""
+    arrays = ranker.feature_arrays(*_ranker_inputs(Tables(spark, folder)))
+    cells = arrays.select("userId", "itemId", F.explode(F.arrays_zip("places", "values")).alias("c"))
+    return cells.select("userId", "itemId", F.col("c.places").alias("place"), F.col("c.values").alias("value")).where("value <> 0")
+
+
+# Trees that are given: by star and favourite flag, and by two terms and star.
+GIVEN_TREES = [(0, 25.0, (1, 0.5, None, None), (0, 40.0, None, None)), (5, 0.5, (0, 10.0, None, (9, 0.5, None, None)), None)]
+
+
+def leaf_slots(spark: SparkSession, folder: str) -> DataFrame:
+    """The leaves that each sample reaches in the given trees."""
+    arrays = ranker.feature_arrays(*_ranker_inputs(Tables(spark, folder)))
+    return ranker.leaf_slots(arrays, GIVEN_TREES, 8).select("userId", "itemId", F.explode("slots").alias("slot"))
 
 
 def ranker_compare(spark: SparkSession, folder: str) -> DataFrame:
@@ -316,8 +333,8 @@ def ranker_compare(spark: SparkSession, folder: str) -> DataFrame:
 def guess(spark: SparkSession, folder: str) -> DataFrame:
     """Recall and ranking with trees and factorisation machine; the lists are logged as shown."""
     t = Tables(spark, folder)
-    rows, vocab, sexes = _ranker_inputs(t)
-    model = ranker.fit_ranker(rows, "trees+fm", vocab, sexes)
+    rows, terms = _ranker_inputs(t)
+    model = ranker.fit_ranker(rows, "trees+fm", terms)
     ranked = settle(
         guess_you_like(
             _users(t), _recent(t), _similar(t), _index(t), t.items(), t.users(),
@@ -468,6 +485,8 @@ QUERIES = {
     "guess_strangers": guess_strangers,
     "impression_loop": impression_loop,
     "ranker_metrics": star_metrics,
+    "ranker_features": ranker_features,
+    "leaf_slots": leaf_slots,
     "ranker_compare": ranker_compare,
     "guess_you_like": guess,
     "guess_by_star": guess_by_star,
