@@ -39,7 +39,7 @@ def feature_arrays(rows: DataFrame, terms: DataFrame) -> DataFrame:
     Terms are looked up once for each dynasty and tags and for each sex, not for each row. A term
     that ``terms`` does not have is left out, so scoring lines up with training.
     """
-    ids = broadcast_if_small(terms, 64)
+    rows, ids = settle(rows, "feature-rows"), broadcast_if_small(terms, 64)
     kinds, place = ["poemDynasty", "poemTagNames"], (F.col("termId") + TERMS).alias("place")
     named = settle(rows.select(*kinds).distinct(), "item-kinds")
     known = named.select(*kinds, F.explode(item_terms()).alias("term")).join(ids, "term").groupBy(*kinds).agg(F.collect_set(place).alias("_item"))
@@ -119,24 +119,15 @@ def leaf_slots(df: DataFrame, trees: list[Node], width: int) -> DataFrame:
     """
     paths = leaf_paths(trees)
     tested = sorted({place for _, _, bounds in paths for place in bounds})
-    value = {place: F.coalesce(F.get("values", F.array_position("places", F.lit(place)).cast("int") - 1), F.lit(0.0)) for place in tested}
-    told = df.withColumns({f"_v{place}": value[place] for place in tested})
-    slots = []
-    for tree in range(len(trees)):
-        slot = None
-        for owner, number, bounds in paths:
-            if owner != tree:
-                continue
-            inside = F.lit(True)
-            for place, (low, high) in bounds.items():
-                if low > -math.inf:
-                    inside &= F.col(f"_v{place}") > low
-                if high < math.inf:
-                    inside &= F.col(f"_v{place}") <= high
-            mark = F.lit(tree * width + number)
-            slot = F.when(inside, mark) if slot is None else slot.when(inside, mark)
-        slots.append(slot)
-    return told.withColumn("slots", F.array(*slots)).drop(*(f"_v{place}" for place in tested))
+    # as text, since an expression of thousands of nodes is slow to put together one call at a time
+    told = df.withColumns({f"_v{p}": F.expr(f"coalesce(get(values, cast(array_position(places, {p}) as int) - 1), 0.0D)") for p in tested})
+    cases: list[list[str]] = [[] for _ in trees]
+    for tree, number, bounds in paths:
+        inside = [f"_v{p} > {low!r}D" for p, (low, _) in bounds.items() if low > -math.inf]
+        inside += [f"_v{p} <= {high!r}D" for p, (_, high) in bounds.items() if high < math.inf]
+        cases[tree].append(f"WHEN {' AND '.join(inside) or 'true'} THEN {tree * width + number}")
+    slots = ", ".join(f"CASE {' '.join(case)} END" for case in cases)
+    return told.withColumn("slots", F.expr(f"array({slots})")).drop(*(f"_v{p}" for p in tested))
 
 
 def encode_leaves(trees: GBTClassificationModel, df: DataFrame, depth: int = TREE_DEPTH) -> DataFrame:
