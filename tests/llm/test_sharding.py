@@ -2,6 +2,7 @@ from collections import Counter
 from zlib import crc32
 
 import pytest
+from pyspark.sql import functions as F
 
 from versetide.llm import sharding as S
 from versetide.session import scratch_path
@@ -46,6 +47,26 @@ def test_rows_without_key_repeated_rows_and_nulls(spark, monkeypatch):
     assert {r.shard for r in got if r.doc_id is None} == {0, 1, 2}
 
 
+def test_same_shards_for_any_order_and_partitioning(spark, monkeypatch):
+    """Several buckets share a task, keys and whole rows repeat, and some have no key."""
+    monkeypatch.setattr(S, "BUCKET_ROWS", 50)
+    monkeypatch.setattr(S, "HOT_ROWS", 20)
+    rows = [(i, f"t{i}", "s", i) for i in range(700)] + [(5, "same", "s", 0)] * 60 + [(6, f"own {i}", "s", 0) for i in range(60)]
+    rows += [(None, f"n{i % 30}", "s", 0) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard string, bucket int")
+    found = set()
+    for table in (docs.repartition(3), docs.orderBy(F.desc("text")).coalesce(1), docs.repartition(11, "text")):
+        got = S.write_shards(table, scratch_path(spark, "test-shards"), 7, "doc_id", seed=3).collect()
+        found.add(tuple(sorted(((r.shard, r.slot, r.doc_id, r.text) for r in got), key=str)))
+    assert len(found) == 1
+
+
+def test_hot_key_goes_to_all_buckets(spark):
+    rows = spark.range(100_000).select(F.lit(1).alias("doc_id"), (F.col("id") % 3).cast("string").alias("text"))
+    spread = S.scattered(rows.repartition(5), "doc_id", 40, 1).groupBy("bucket").count().collect()
+    assert len(spread) == 40 and max(r["count"] for r in spread) < 3000
+
+
 def test_empty_table(spark):
     out = shards(spark, [], 4)
     assert out.count() == 0 and {"shard", "slot", "doc_id", "text"} <= set(out.columns)

@@ -17,6 +17,8 @@ from versetide.session import broadcast_if_small, scratch_path, settle
 #: Bytes of text and number of rows that a bucket should hold.
 BUCKET_BYTES = 16 << 20
 BUCKET_ROWS = 100_000
+#: Rows of one key that may share a bucket.
+HOT_ROWS = 1000
 ROW_BYTES = 8
 
 
@@ -28,16 +30,30 @@ def sizes(text: Column) -> Column:
 def scattered(rows: DataFrame, key: str, buckets: int, seed: int) -> DataFrame:
     """``rows`` as structs with the bucket that the seeded hash of ``key`` gives.
 
-    Rows without a key may be many, so each gets a number of its own to hash,
-    which is written down first and stays the same in every later read.
+    The rows of a key, or without one, that are more than ``HOT_ROWS`` are dealt by
+    their content instead, and equal ones by a number. Which of them gets which
+    number is open and makes no difference, so the same rows in any order and
+    partitioning come to the same buckets.
     """
     named = rows.select(F.col(key).alias("_key"), F.struct("*").alias("row"))
-    keyed = named.where("_key IS NOT NULL").withColumn("place", F.xxhash64(F.lit(seed), F.col("_key").cast("string")))
-    bare = named.where("_key IS NULL")
-    if bare.take(1):
-        bare = settle(bare.withColumn("place", F.xxhash64(F.lit(seed), F.monotonically_increasing_id())), "bare")
-        keyed = keyed.unionByName(bare)
-    return keyed.withColumn("bucket", F.pmod("place", F.lit(buckets)).cast("int"))
+    bucket = F.pmod("place", F.lit(buckets)).cast("int")
+    hot = settle(named.groupBy("_key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT_ROWS).select(F.col("_key").alias("_hot")), "hot-keys")
+    by_key = F.xxhash64(F.lit(seed), F.col("_key").cast("string"))
+    if not hot.take(1):
+        return named.withColumn("place", by_key).withColumn("bucket", bucket)
+    few, same = broadcast_if_small(hot, 64), F.col("_key").eqNullSafe(F.col("_hot"))
+    plain = named.join(few, same, "left_anti").withColumn("place", by_key)
+    many = settle(
+        named.join(few, same, "left_semi").withColumns({"_content": F.xxhash64(F.lit(seed), "row"), "_part": F.spark_partition_id()}), "hot-rows"
+    )
+    group = ["_content", "_part"]
+    before = Window.partitionBy("_content").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = many.groupBy(*group).agg(F.count(F.lit(1)).alias("n")).select(*group, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    number = F.row_number().over(Window.partitionBy(*group).orderBy(F.lit(0)))  # inside what one task has written
+    dealt = many.withColumn("_number", number).join(starts, group).withColumn(
+        "place", F.xxhash64(F.lit(seed), "_content", F.col("_start") + F.col("_number"))
+    )
+    return plain.unionByName(dealt.select("_key", "row", "place")).withColumn("bucket", bucket)
 
 
 def write_shards(
@@ -52,9 +68,10 @@ def write_shards(
     rows give an empty table.
 
     The rows move once. Where a bucket begins in the sequence is known before,
-    from a count of the keys alone: a table with one row for each bucket. The
-    array of a bucket is put in order before it is shuffled with the seed, so a
-    task that runs again writes the same rows.
+    from a count of the keys alone: a table with one row for each bucket. A task
+    draws for its buckets in order, and the array of a bucket is put in order before
+    it is shuffled with the seed. So a task that runs again writes the same rows, and
+    the same rows in any order and partitioning get the same shards and slots.
     """
     spark = rows.sparkSession
     rows = rows.drop("shard", "slot")
@@ -70,7 +87,7 @@ def write_shards(
     )
     drawn = (
         dealt.select("bucket", F.struct("_key", "row").alias("item")).repartition(buckets, "bucket")
-        .groupBy("bucket").agg(F.collect_list("item").alias("items"))
+        .groupBy("bucket").agg(F.collect_list("item").alias("items")).sortWithinPartitions("bucket")
         .select("bucket", F.shuffle(F.sort_array("items"), seed=seed).alias("items"))
         .join(broadcast_if_small(starts, 16), "bucket")
         .select("start", F.posexplode("items").alias("slot_in_bucket", "item"))
