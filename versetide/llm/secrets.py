@@ -3,12 +3,15 @@
 Strong spans follow the base patterns. An identifier, a secret-looking string or
 an endpoint proves little alone; such a weak span is reported when a part that
 completes it starts or ends within REACH of it. The parts of all texts are one
-table, and the join is by text and by a grid of REACH, so it meets few rows.
+table, and the join is by text and by a grid of REACH, so it meets few rows. Parts
+may be of any length.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,8 +31,9 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # a run of hex digits is one match, so this
 MIN_ASSIGN, MIN_ACCESS = 12, 18
 
 #: Weak parts: names of accounts or keys, strings that may be keys, and addresses.
-NAME = re.compile(r"(?<![A-Za-z0-9])(?=[A-Z0-9]*[A-Z])(?=[A-Z0-9]*[0-9])[A-Z0-9]{16,32}(?![A-Za-z0-9])")
-OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,128}(?![A-Za-z0-9+/_=-])")
+NAME = re.compile(r"(?<![A-Za-z0-9])(?=[A-Z0-9]*[A-Z])(?=[A-Z0-9]*[0-9])[A-Z0-9]{16,}+(?![A-Za-z0-9])")
+OPAQUE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}+")
+LONG_WORD = re.compile(r"[a-z]{8,}|[A-Z]{8,}")
 ENDPOINT = re.compile(
     r"\b(?:https?|wss?|ftps?|ssh|amqps?|redis|postgres(?:ql)?|mysql|mongodb(?:\+srv)?)://[^\s\"'<>]{4,}"
     r"|(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?::[0-9]{1,5})?(?![0-9.])"
@@ -54,10 +58,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _mixed(text: str) -> bool:
-    """Upper case, lower case and digits, and no long word among them."""
+    """Upper case, lower case and digits, and at most an eighth of it in long words.
+
+    A random string has letters of one case in a row by chance, the more the
+    longer it is, so the share counts.
+    """
     return (
         any(c.isupper() for c in text) and any(c.islower() for c in text) and sum(c.isdigit() for c in text) >= 3
-        and not re.search(r"[a-z]{8}|[A-Z]{8}", text)
+        and 8 * sum(m.end() - m.start() for m in LONG_WORD.finditer(text)) <= len(text)
     )
 
 
@@ -66,7 +74,9 @@ def weak_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
     out = [(m.start(), 3, m.end()) for m in NAME.finditer(text)]
     out += [(m.start(), 4, m.end()) for m in OPAQUE.finditer(text) if _mixed(m[0])]
     out += [(m.start(), 5, m.end()) for m in ENDPOINT.finditer(text)]
-    return sorted(x for x in out if not any(b[0] < x[2] and x[0] < b[2] for b in base))
+    # a strong span covers one if, of those that start before its end, the furthest end lies behind its start
+    starts, ends = [b[0] for b in base], list(itertools.accumulate((b[2] for b in base), max))
+    return sorted(x for x in out if not (k := bisect_left(starts, x[2])) or ends[k - 1] <= x[0])
 
 
 def _parts(text_column: str):
