@@ -92,6 +92,13 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def emptied(table: DataFrame) -> None:
+    """Free the disk of a settled table, or of a selection of it, that nothing reads any more: its folder is written anew, empty."""
+    folders = {file.rsplit("/", 1)[0] for file in table.inputFiles()}
+    for folder in folders:
+        table.sparkSession.range(0).write.mode("overwrite").parquet(folder)
+
+
 def spread(df: DataFrame, name: str) -> DataFrame:
     """Settle rows that an iterative fit will read many times.
 
