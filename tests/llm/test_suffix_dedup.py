@@ -98,3 +98,23 @@ def test_common_ranks_spread_over_parts(spark, monkeypatch):
     rows = corpus(3)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert result(docs) == brute(rows)
+
+
+def test_rounds_refine_ranks_until_past_or_unique(spark):
+    rng = random.Random(4)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(400)
+    rows = [(k, k, text(100) + passage + text(100)) for k in range(6)] + [(9, 9, text(600))]
+    docs = spark.createDataFrame(rows, "_doc long, _h1 long, _text string")
+    positions = docs.mapInArrow(S._positions("_text"), "rank long, doc long, row long, at long")
+    none = spark.createDataFrame([], "rank long, hot boolean")
+    stretched, left = S.doubled(positions, 1000, none)
+    assert len(left) >= 3 and left == sorted(left, reverse=True) and left[-1] == 0
+    found = stretched.collect()
+    assert {r.doc for r in found} == set(range(6))  # the text of its own closed in the sort of prefixes
+    ways = {}
+    for r in found:
+        ways.setdefault(r.longer, set()).add(r.doc)
+    shared = [w for w, docs in ways.items() if docs == set(range(6))]
+    assert len(shared) > 15  # inside the passage all go on alike
+    assert all(len(docs) in (1, 6) for docs in ways.values()) and any(len(docs) == 1 for docs in ways.values())

@@ -1,15 +1,19 @@
 """Removal of repeated byte strings by prefix doubling over sampled positions.
 
-Two strings of LENGTH bytes are equal when their ranks at every growing length
-are equal. Sorting every byte position of a corpus takes many times its size, so
-the first round ranks only synchronising positions: in each window of LENGTH
-bytes the position whose PREFIX-byte hash is smallest. Equal windows choose alike, so no
-repeat is lost. Rows (rank, longer rank, document) are sorted by Spark:
-
-1. rank by PREFIX bytes, then by the whole stretch of windows that chose the
-   position. A rank in one document only is dropped. Of equal stretches all but
-   those of the smallest document are repeats as a whole.
-2. Where one prefix goes on in several ways, single windows decide: one stretch of
+Ranking every byte position of a corpus takes many times its size, so the rounds
+run over synchronising positions: in each window of LENGTH bytes the position whose
+PREFIX-byte hash is smallest. Equal windows choose alike, so no repeat is lost, and
+neighbouring positions are at most PREFIX apart, so a chain of them covers every byte.
+
+1. Positions are sorted by the rank of their PREFIX bytes. One that is in one
+   document only is closed: all windows that chose it are unique.
+2. Rounds: the rank of each open position is paired with its distance to, and the rank
+   of, the last open position that its bytes reach, which about doubles the bytes that it
+   stands for. The pairs are sorted, and a rank in one document only is closed. Rounds go
+   on until all are closed or past LENGTH and past the windows of the positions they begin for.
+3. The rank of the position before a stretch of windows then names the way in which
+   its prefix goes on. Of equal ways all but those of the smallest document are repeats as
+   a whole. Where one prefix goes on in several ways, single windows decide: one stretch of
    each way is ranked window by window by all LENGTH bytes, past which nothing
    has to be told apart.
 
@@ -26,10 +30,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from versetide.llm import arrays as A
-from versetide.session import broadcast_if_small, settle
+from versetide.session import broadcast_if_small, emptied, settle
 
 LENGTH = 50
-PREFIX = 24
+#: Not below (LENGTH + 1) / 2, so that neighbouring positions touch.
+PREFIX = 26
+#: Rows of one rank and document that are held until another document shows up; more count as open.
+HELD = 1 << 16
 #: Sorted rows for each partition.
 SORT_ROWS = 3_000_000
 #: A rank with more than one in HOT of the rows of a sample is spread over SPREAD parts.
@@ -58,13 +65,13 @@ def _window_min(values: np.ndarray, width: int) -> np.ndarray:
 def stretches(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, prefix: int = PREFIX):
     """Runs of windows that choose the same position.
 
-    Returns the first and last window of each, the row, the prefix's hash, the
-    hash of all bytes that the run covers, and the running sums of the bytes.
+    Returns the first and last window of each, the row, the position, its prefix's
+    hash, and the running sums of the bytes.
     """
     total = A.sums(A.BYTE[data])
     none = np.zeros(0, np.int64)
     if len(data) < length:
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), total
+        return none, none, none, none, none.astype(np.uint64), total
     name = (total[prefix:] - total[:-prefix]) * A.powers(len(data) + 1)[1][: len(data) - prefix + 1]
     order = (name ^ (name >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     order &= ~_LOW
@@ -85,7 +92,7 @@ def stretches(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, prefix
     following = np.searchsorted(stop, at, "right")
     last = np.r_[stop, len(chosen)][following] - 1
     row = np.searchsorted(bounds, at, "right") - 1
-    return at, last, row, A.mix(name[chosen[at]]), A.spans_hash(total, at, last + length), total
+    return at, last, row, chosen[at], A.mix(name[chosen[at]]), total
 
 
 def _pieces(part: pa.RecordBatch, text: str, length: int):
@@ -103,19 +110,195 @@ def _pieces(part: pa.RecordBatch, text: str, length: int):
         yield piece, np.array([0, len(piece)]), start
 
 
-def _ranker(text: str):
-    def rank(batches):
+def _packed(start, first, last, row, at, bounds) -> np.ndarray:
+    """Place in the text, bytes of the stretch before it and from it on, in one number."""
+    return (start + at - bounds[row]) << 12 | (at - first) << 6 | (last + LENGTH - at)
+
+
+def _positions(text: str):
+    """The chosen positions of each text, and its first and last PREFIX bytes, for which no window stands."""
+
+    def positions(batches):
         for batch in batches:
             for part in A.slices(batch, text):
-                doc = part.column("_doc").to_numpy(zero_copy_only=False)
-                for data, bounds, _ in _pieces(part, text, LENGTH):
-                    _, _, row, name, whole, _ = stretches(data, bounds)
+                doc, number = (part.column(c).to_numpy(zero_copy_only=False) for c in ("_doc", "_h1"))
+                for data, bounds, start in _pieces(part, text, LENGTH):
+                    first, last, row, at, name, total = stretches(data, bounds)
+                    long = np.flatnonzero(np.diff(bounds) >= LENGTH)
+                    ends = np.r_[bounds[:-1][long], bounds[1:][long] - PREFIX]
+                    of = np.r_[long, long]
+                    rank = np.r_[name, A.spans_hash(total, ends, ends + PREFIX)]
+                    place = np.r_[_packed(start, first, last, row, at, bounds), (start + ends - bounds[of]) << 12]
+                    row = np.r_[row, of]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(A.signed(name)), pa.array(A.signed(whole)), pa.array(doc[row], pa.int64())],
-                        ["rank", "longer", "doc"],
+                        [pa.array(A.signed(rank)), pa.array(doc[row], pa.int64()), pa.array(number[row], pa.int64()), pa.array(place, pa.int64())],
+                        ["rank", "doc", "row", "at"],
                     )
 
-    return rank
+    return positions
+
+
+def _arrays(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    return {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
+
+
+def _taken(rows: dict, which) -> dict:
+    return {c: x[which] for c, x in rows.items()}
+
+
+def _joined(parts: list[dict]) -> dict:
+    return {c: np.concatenate([p[c] for p in parts]) for c in parts[0]} if len(parts) > 1 else parts[0]
+
+
+def _batch(rows: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in rows.values()], list(rows))
+
+
+#: States of a position: to be paired, past all it stands for, in one document only, without a next one.
+OPEN, PAST, UNIQUE, LAST = 0, 1, 2, 3
+
+
+def _shared(batches):
+    """One pass over rows sorted by rank and document: ``(rows, several)``, whether the rank is in several documents.
+
+    Common ranks always count as such, as their rows are in several parts.
+    """
+    held, known = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = _arrays(batch)
+        rows = rows if held is None else _joined([held, rows])
+        rank, doc = rows["rank"], rows["doc"]
+        start = np.flatnonzero(np.r_[True, rank[1:] != rank[:-1]])
+        size = np.diff(np.r_[start, len(rank)])
+        several = (doc[start] != doc[start + size - 1]) | rows["hot"][start]
+        several[0] |= known is not None and rank[0] == known
+        whole = len(rank)
+        if not several[-1] and size[-1] <= HELD:
+            whole = start[-1]
+        else:
+            several[-1], known = True, rank[-1]
+        held = _taken(rows, slice(whole, None)) if whole < len(rank) else None
+        if whole:
+            yield _taken(rows, slice(0, whole)), np.repeat(several, size)[:whole]
+    if held is not None:
+        yield held, np.zeros(len(held["rank"]), bool)
+
+
+def _opened(batches):
+    for rows, several in _shared(batches):
+        yield _batch(_taken(rows, several))
+
+
+def _closed(batches):
+    for rows, several in _shared(batches):
+        rows["state"] = np.where(several, OPEN, UNIQUE).astype(np.int32)
+        yield _batch(rows)
+
+
+def _by_text(batches):
+    """Rows sorted by document and text, in runs of whole texts."""
+    parts: list[dict] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = _arrays(batch)
+        new = np.flatnonzero(np.r_[
+            not parts or rows["doc"][0] != parts[-1]["doc"][-1] or rows["row"][0] != parts[-1]["row"][-1],
+            (rows["doc"][1:] != rows["doc"][:-1]) | (rows["row"][1:] != rows["row"][:-1]),
+        ])
+        if not len(new):
+            parts.append(rows)
+            continue
+        if new[-1] or parts:
+            yield _joined([*parts, _taken(rows, slice(0, new[-1]))])
+        parts = [_taken(rows, slice(new[-1], None))]
+    if parts:
+        yield _joined(parts)
+
+
+def _named(*values) -> np.ndarray:
+    out = np.uint64(len(values))
+    for value in values:
+        out = A.mix((out + value.astype(np.int64).view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15))
+    return A.signed(out)
+
+
+def _pair(batches):
+    """One round: (rank, distance, rank of the last position reached), and the way of each stretch so far."""
+    for rows in _by_text(batches):
+        doc, row, at, rank, cover, state = (rows[c] for c in ("doc", "row", "at", "rank", "cover", "state"))
+        cover = cover.astype(np.int64)
+        text = np.cumsum(np.r_[False, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])])
+        place = at >> 12
+        place = place + text * (place.max() + cover.max() + 2 * LENGTH)
+        before, after = (at >> 6) & 63, at & 63
+        # the last position at or before a stretch stands for all of it
+        base = np.searchsorted(place, place - before, "right") - 1
+        own = (after > 0) & (base >= 0) & (text[base] == text)
+        reach = place + after - place[base]
+        need = np.full(len(at), LENGTH)
+        np.maximum.at(need, base[own], reach[own])
+
+        next_ = np.searchsorted(place, place + cover, "right") - 1
+        distance = place[next_] - place
+        grown = distance + cover[next_]
+        todo = state == OPEN
+        unique = todo & (state[next_] == UNIQUE)
+        last = todo & ~unique & (grown <= cover)
+        longer = todo & ~unique & ~last
+        rank = np.where(longer, _named(rank, distance, rank[next_]), rank)
+        cover = np.where(longer, grown, cover)
+        state = np.select([unique, last, longer & (cover >= need)], [UNIQUE, LAST, PAST], state)
+
+        known = own & (state[base] != UNIQUE) & (cover[base] >= reach)
+        way = np.where(known, _named(rank[base], place - place[base], at & 4095), _named(doc, row, at))
+        yield _batch({**rows, "rank": rank, "cover": cover.astype(np.int32), "state": state.astype(np.int32), "way": way})
+
+
+_ROUND = "doc long, row long, at long, name long, hot boolean, rank long, cover int, state int, way long"
+
+
+def _parts(rows: DataFrame, expected: int) -> int:
+    return max(rows.sparkSession.sparkContext.defaultParallelism, -(-expected // SORT_ROWS))
+
+
+def _by_rank(rows: DataFrame, expected: int, *order: str) -> DataFrame:
+    """Rows dealt by rank, common ranks by document too, and sorted."""
+    part = F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(SPREAD)))
+    return rows.repartition(_parts(rows, expected), "rank", part).sortWithinPartitions("rank", *order)
+
+
+def doubled(rows: DataFrame, expected: int, hot: DataFrame) -> tuple[DataFrame, list[int]]:
+    """``name, way, doc, row, at, hot`` of every stretch whose prefix is in several documents.
+
+    Also the number of positions that were open after each round. A round's table
+    is emptied when the next one is written.
+    """
+    dealt = rows.join(F.broadcast(hot), "rank", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))  # HOT rows at most
+    table = settle(
+        _by_rank(dealt.select("rank", "doc", "row", "at", "hot"), expected, "doc")
+        .mapInArrow(_opened, "rank long, doc long, row long, at long, hot boolean"), "open",
+    )
+    many = table.count()
+    done = table
+    state = table.select(
+        "doc", "row", "at", F.col("rank").alias("name"), "hot", "rank", F.lit(PREFIX).alias("cover"),
+        F.lit(OPEN).alias("state"), F.lit(0).cast("long").alias("way"),
+    )
+    left = []
+    while True:
+        paired = settle(
+            state.repartition(_parts(state, many), "doc", "row").sortWithinPartitions("doc", "row", "at").mapInArrow(_pair, _ROUND),
+            "pairs",
+        )
+        emptied(done)
+        left.append(paired.where(F.col("state") == OPEN).count())
+        if not left[-1]:
+            return paired.where("at & 63 > 0").select(F.col("name").alias("rank"), F.col("way").alias("longer"), "doc", "row", "at", "hot"), left
+        ranked = _by_rank(paired.where(F.col("state") == OPEN), left[-1], "doc").mapInArrow(_closed, _ROUND)
+        state, done = paired.where(F.col("state") != OPEN).unionByName(ranked), paired
 
 
 REPEAT, APART, EDGE = 0, 1, 2
@@ -124,38 +307,40 @@ REPEAT, APART, EDGE = 0, 1, 2
 def _rerank(batches):
     """One pass over rows sorted by rank, longer rank and document.
 
-    REPEAT: a row that is not the first document of its longer rank. APART: the
-    first row of a longer rank whose rank goes on in another way as well. EDGE:
-    the first row of a longer rank of which other parts have rows, too.
+    REPEAT: a row that is not of the first document of its longer rank. APART: a
+    row of the first document, where the rank goes on in another way as well. EDGE:
+    a row of the first document of a longer rank of which other parts have rows, too.
     """
-    held = None
+    held, before = None, None
     for batch in batches:
         if not batch.num_rows:
             continue
-        rank, doc = (batch.column(k).to_numpy() for k in ("rank", "doc"))
-        longer = batch.column("longer").to_numpy() if "longer" in batch.schema.names else rank
-        hot = batch.column("hot").to_numpy(zero_copy_only=False)
-        if held is not None:
-            rank, longer, doc, hot = (np.r_[h, x] for h, x in zip(held, (rank, longer, doc, hot)))
-        begins = np.ones(len(rank), bool)
-        begins[1:] = (rank[1:] != rank[:-1]) | (longer[1:] != longer[:-1])
-        start = np.flatnonzero(begins)
-        first = np.repeat(doc[start], np.diff(np.r_[start, len(doc)]))
+        rows = _arrays(batch)
+        rows = rows if held is None else _joined([held, rows])
+        rank, doc = rows["rank"], rows["doc"]
+        longer = rows.get("longer", rank)
+        start = np.flatnonzero(np.r_[True, (rank[1:] != rank[:-1]) | (longer[1:] != longer[:-1])])
+        size = np.diff(np.r_[start, len(rank)])
+        first = np.repeat(doc[start], size)
         same = rank[start][1:] == rank[start][:-1]
-        apart = np.zeros(len(rank), bool)
-        apart[start] = np.r_[False, same] | np.r_[same, False]
-        edge = begins & hot
-        kind = np.where(doc > first, REPEAT, np.where(edge, EDGE, APART))
-        keep = np.flatnonzero((doc > first) | apart | edge)
-        yield _rows(kind[keep], rank[keep], longer[keep], doc[keep])
-        held = tuple(x[start[-1]] for x in (rank, longer, doc, hot))
-
-
-def _rows(kind, rank, longer, doc) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array(kind, pa.int32()), pa.array(rank, pa.int64()), pa.array(longer, pa.int64()), pa.array(doc, pa.int64())],
-        ["kind", "rank", "longer", "doc"],
-    )
+        apart = np.repeat(np.r_[before is not None and before == rank[0], same] | np.r_[same, False], size)
+        # rows of the first document wait until it shows how their rank goes on
+        wait = np.zeros(len(rank), bool)
+        wait[start[-1] :] = doc[start[-1] :] == doc[start[-1]]
+        if wait.sum() > HELD:
+            apart[wait] = True
+            wait[start[-1] + 1 :] = False
+        held = _taken(rows, np.flatnonzero(wait))
+        before = rank[start[-2]] if len(start) > 1 else before
+        yield _kinds(rows, doc > first, apart, ~wait)
+    if held is not None:
+        yield _kinds(held, np.zeros(len(held["rank"]), bool), np.full(len(held["rank"]), before is not None and before == held["rank"][0]))
+
+
+def _kinds(rows: dict, repeat: np.ndarray, apart: np.ndarray, ready=True) -> pa.RecordBatch:
+    kind = np.where(repeat, REPEAT, np.where(rows["hot"], EDGE, APART)).astype(np.int32)
+    keep = np.flatnonzero((repeat | apart | rows["hot"]) & ready)
+    return _batch({"kind": kind[keep], **_taken({c: x for c, x in rows.items() if c != "hot"}, keep)})
 
 
 def common(rows: DataFrame) -> DataFrame:
@@ -165,30 +350,23 @@ def common(rows: DataFrame) -> DataFrame:
     return settle(counts.where(F.col("n") * HOT > total).select("rank", F.lit(True).alias("hot")), "common")
 
 
-def reranked(rows: DataFrame, expected: int, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sort ``rank, longer, doc`` and return ``doc, longer`` of the repeats and of those that are apart.
+def reranked(rows: DataFrame, expected: int) -> tuple[DataFrame, DataFrame]:
+    """Sort ``rank, longer, doc, hot`` and return the other columns of the repeats and of those that are apart.
 
     Without a longer rank the rank is all there is to compare.
     """
-    names = [c for c in ("rank", "longer", "doc") if c in rows.columns]
-    count = max(rows.sparkSession.sparkContext.defaultParallelism, -(-expected // SORT_ROWS))
-    dealt = rows.join(F.broadcast(hot), "rank", "left").select(  # HOT rows at most
-        *names, F.coalesce("hot", F.lit(False)).alias("hot")
-    )
-    part = F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(SPREAD)))
-    done = settle(
-        dealt.repartition(count, "rank", part).sortWithinPartitions(*names)
-        .mapInArrow(_rerank, "kind int, rank long, longer long, doc long"),
-        "reranked",
-    )
+    names = [c for c in ("rank", "longer") if c in rows.columns]
+    rest = [c for c in rows.columns if c not in ("hot", *names)]
+    kinds = ", ".join(["kind int", *(f"{c} long" for c in rows.columns if c != "hot")])
+    done = settle(_by_rank(rows, expected, *names[1:], "doc").mapInArrow(_rerank, kinds), "reranked")
     edges = done.where(F.col("kind") == EDGE).drop("kind")
-    ways = settle(edges.groupBy("rank", "longer").agg(F.min("doc").alias("first")), "edges")
-    several = ways.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1")
-    repeats = done.where(F.col("kind") == REPEAT).select("doc", "longer").unionByName(
-        edges.join(ways, ["rank", "longer"]).where("doc > first").select("doc", "longer")
-    )
-    apart = done.where(F.col("kind") == APART).select("doc", "longer").unionByName(
-        ways.join(several, "rank").select(F.col("first").alias("doc"), "longer")
+    ways = settle(edges.groupBy(*names).agg(F.min("doc").alias("first")), "edges")
+    several = ways.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank")
+    met = edges.join(ways, names)
+    back = [*rest, names[-1]]
+    repeats = done.where(F.col("kind") == REPEAT).select(*back).unionByName(met.where("doc > first").select(*back))
+    apart = done.where(F.col("kind") == APART).select(*back).unionByName(
+        met.where("doc = first").join(several, "rank", "left_semi").select(*back)
     )
     return repeats, apart
 
@@ -218,9 +396,9 @@ def _window_ranker(text: str):
             for part in A.slices(batch, text):
                 doc = part.column("_doc").to_numpy(zero_copy_only=False)
                 lists = part.column("apart")
-                for data, bounds, _ in _pieces(part, text, LENGTH):
-                    first, last, row, _, whole, total = stretches(data, bounds)
-                    open_ = _among(A.signed(whole), row, lists)
+                for data, bounds, start in _pieces(part, text, LENGTH):
+                    first, last, row, at, _, total = stretches(data, bounds)
+                    open_ = _among(_packed(start, first, last, row, at, bounds), row, lists)
                     window, run = _windows_of(first[open_], last[open_])
                     name = A.signed(A.spans_hash(total, window, window + LENGTH))
                     yield pa.RecordBatch.from_arrays(
@@ -237,12 +415,13 @@ def _remover(text: str):
                 data, bounds = A.raw(part.column(text))
                 step = np.zeros(len(data) + 1, np.int32)
                 for piece, inner, start in _pieces(part, text, LENGTH):
-                    first, last, row, _, whole, total = stretches(piece, inner)
-                    gone = _among(A.signed(whole), row, part.column("stretches"))
+                    first, last, row, at, _, total = stretches(piece, inner)
+                    place = _packed(start, first, last, row, at, inner)
+                    gone = _among(place, row, part.column("stretches"))
                     np.add.at(step, start + first[gone], 1)
                     np.add.at(step, start + last[gone] + LENGTH, -1)
                     some = np.flatnonzero(_has(part.column("windows"))[row])
-                    some = some[_among(A.signed(whole[some]), row[some], part.column("apart"))]
+                    some = some[_among(place[some], row[some], part.column("apart"))]
                     window, run = _windows_of(first[some], last[some])
                     name = A.signed(A.spans_hash(total, window, window + LENGTH))
                     hit = window[_among(name, row[some][run], part.column("windows"))]
@@ -277,7 +456,7 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
     with a smaller key. Null and short texts lose nothing; null keys are larger
     than all others; rows with equal keys do not affect each other, and repeated
     rows each have the same result. Other columns are ignored. Strings are told
-    apart by hashes: 128 bits for a stretch, 64 for a window.
+    apart by hashes: a prefix and its way for a stretch, 64 bits each, and 64 bits for a window.
     """
     every = documents.select(
         F.col(key).alias("_key"), F.coalesce(F.col(key).cast("long"), F.lit((1 << 63) - 1)).alias("_doc"), F.col(text).alias("_text"),
@@ -295,35 +474,35 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
     size = source.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     spread_by = (LENGTH - PREFIX + 2) // 2  # bytes for each chosen position
 
-    def ranks(of: DataFrame) -> DataFrame:
-        return of.select("_doc", "_text").mapInArrow(_ranker("_text"), "rank long, longer long, doc long")
+    def positions(of: DataFrame) -> DataFrame:
+        return of.select("_doc", "_h1", "_text").mapInArrow(_positions("_text"), "rank long, doc long, row long, at long")
 
     one_in = max(1, source.count() // SAMPLE)
-    hot = common(ranks(source.where(F.pmod(F.xxhash64("_doc"), F.lit(one_in)) == 0)))
-    repeats, apart = reranked(ranks(source), size // spread_by, hot)
-    ways = settle(apart.groupBy("doc").agg(F.collect_set("longer").alias("apart"), F.count("*").alias("n")), "apart")
+    hot = common(positions(source.where(F.pmod(F.xxhash64("_doc"), F.lit(one_in)) == 0)))
+    stretched, _ = doubled(positions(source), size // spread_by, hot)
+    repeats, apart = reranked(stretched, stretched.count())
+    ways = settle(apart.groupBy("doc", "row").agg(F.collect_set("at").alias("apart"), F.count("*").alias("n")), "apart")
 
     def windows(of: DataFrame) -> DataFrame:
         return (
-            source.select("_doc", "_text").join(of, F.col("_doc") == F.col("doc")).select("_doc", "_text", "apart")
-            .mapInArrow(_window_ranker("_text"), "rank long, doc long")
+            source.select("_doc", "_h1", "_text").join(of, (F.col("_doc") == F.col("doc")) & (F.col("_h1") == F.col("row")))
+            .select("_doc", "_text", "apart").mapInArrow(_window_ranker("_text"), "rank long, doc long")
         )
 
     one_in = max(1, ways.count() // SAMPLE)
     hot = common(windows(ways.where(F.pmod(F.xxhash64("doc"), F.lit(one_in)) == 0)))
-    again, _ = reranked(windows(ways), (ways.agg(F.sum("n")).first()[0] or 0) * spread_by, hot)
-    found = repeats.select("doc", "longer", F.lit(True).alias("whole")).unionByName(
-        again.select("doc", "longer", F.lit(False).alias("whole"))
+    again, _ = reranked(
+        windows(ways).join(F.broadcast(hot), "rank", "left").withColumn("hot", F.coalesce("hot", F.lit(False))),  # HOT rows at most
+        (ways.agg(F.sum("n")).first()[0] or 0) * spread_by,
     )
+    whole = settle(repeats.groupBy("doc", "row").agg(F.collect_set("at").alias("stretches")), "whole")
+    emptied(stretched)
+    single = again.groupBy("doc").agg(F.collect_set("rank").alias("windows"))
     found = settle(
-        found.groupBy("doc").agg(
-            F.collect_set(F.when(F.col("whole"), F.col("longer"))).alias("stretches"),
-            F.collect_set(F.when(~F.col("whole"), F.col("longer"))).alias("windows"),
-        ).join(ways.select("doc", "apart"), "doc", "left"),
-        "found",
+        whole.join(ways.select("doc", "row", "apart"), ["doc", "row"], "full").join(single, "doc", "left"), "found"
     )
     none = F.array().cast("array<bigint>")
-    joined = every.join(found, F.col("_doc") == F.col("doc"), "left").select(
+    joined = every.join(found, (F.col("_doc") == F.col("doc")) & (F.col("_h1") == F.col("row")), "left").select(
         "_key", "_text", F.coalesce("stretches", none).alias("stretches"), F.coalesce("windows", none).alias("windows"),
         F.coalesce("apart", none).alias("apart"), "copy",
     )
