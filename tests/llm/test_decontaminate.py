@@ -70,3 +70,20 @@ def test_repeated_rows_and_ties(spark, rng):
     b = spark.createDataFrame([(5, t), (6, t), (None, t)], "item_id long, text string")
     got = [sorted(x["item"] for x in r.leaks) for r in D.with_leaks(d, b).collect()]
     assert got == [[-1, 5, 6], [-1, 5, 6]]
+
+
+def test_short_items_with_any_word_changed(spark):
+    items = {n: [f"w{n}x{k}" for k in range(n)] for n in (5, 6, 7)}
+    texts, expected = [], []
+    for n, words in items.items():
+        for k in range(n):
+            changed = [*words[:k], "other", *words[k + 1 :]]
+            expected.append((len(texts), n, 3, n, n - 1))
+            texts.append("in front of " + " ".join(changed) + " and behind it")
+        texts.append(" ".join(["other", "more", *words[2:]]))  # two words of seven are too many
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")
+    got = [
+        (r.doc_id, x.item, x.first_word, x.words, x.equal_words) for r in D.with_leaks(docs, bench).collect() for x in r.leaks
+    ]
+    assert sorted(got) == sorted(expected)

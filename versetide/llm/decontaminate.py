@@ -21,6 +21,9 @@ from versetide.session import settle
 #: Fixed masks, 1 where the word counts. One substitution leaves most of the
 #: eight-word windows of a passage whole, two neighbours leave the masked ones.
 MASKS = ("11111", "1101011", "10110011", "11001101")
+#: More of them for items of five to seven words, of which any one may differ: one of
+#: these, four words each, leaves the place out wherever it is.
+SHORT, SHORT_MASKS = 7, ("1111", "110011", "10111", "11011", "11101")
 #: Least length of an overlap in words (or the whole item if it is shorter), and
 #: least share of equal words in it, in hundredths.
 MIN_WORDS = 13
@@ -64,7 +67,12 @@ class Items:
         rows = np.repeat(np.arange(len(items)), [len(w) for w in self.words])
         flat = np.concatenate([*self.words, np.zeros(0, np.uint64)])
         begin = np.r_[0, np.cumsum([len(w) for w in self.words])]
+        few = np.isin(rows, [k for k, w in enumerate(self.words) if len(MASKS[0]) <= len(w) <= SHORT])
+        self.masks = MASKS + SHORT_MASKS if few.any() else MASKS
         found = [seeds(rows, flat, m) for m in MASKS]
+        if few.any():
+            place = np.flatnonzero(few)
+            found += [(place[at], name) for at, name in (seeds(rows[few], flat[few], m) for m in SHORT_MASKS)]
         start = np.concatenate([s for s, _ in found])
         name = np.concatenate([h for _, h in found])
         # an item shorter than a mask is one seed of its own length
@@ -82,7 +90,7 @@ class Items:
     def diagonals(self, rows: np.ndarray, hashes: np.ndarray) -> np.ndarray:
         """Distinct (item, word of the slice that the item's first word would be, row)."""
         out = []
-        for mask in MASKS:
+        for mask in self.masks:
             start, name = seeds(rows, hashes, mask)
             maybe = np.flatnonzero(self.table[name >> np.uint64(42)])
             start, name = start[maybe], name[maybe]
