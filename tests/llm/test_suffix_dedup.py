@@ -128,3 +128,47 @@ def test_rounds_refine_ranks_until_past_or_unique(spark):
         if 1 < len(ways[r.longer]) < 6:
             assert place - before < 200 or place + after > 400
     assert all(len(parts) == 1 for parts in stretch.values())
+
+
+def cut(rows, names, rng):
+    """Sorted rows as batches of a few rows each."""
+    at = 0
+    while at < len(rows):
+        size = rng.randrange(1, 6)
+        part = rows[at : at + size]
+        yield pa.RecordBatch.from_pydict({n: [r[k] for r in part] for k, n in enumerate(names)})
+        at += size
+
+
+@pytest.mark.parametrize("held", [1, 3, 1000])
+def test_groups_go_on_over_batches(monkeypatch, held):
+    monkeypatch.setattr(S, "HELD", held)
+    for seed in range(150):
+        rng = random.Random(seed)
+        rows = sorted((rng.randrange(4), rng.randrange(2), rng.randrange(3)) for _ in range(rng.randrange(1, 40)))
+        rows = [(rank, longer, doc, k, False) for k, (rank, longer, doc) in enumerate(rows)]
+        names = ["rank", "longer", "doc", "at", "hot"]
+        docs, ways, first = {}, {}, {}
+        for rank, longer, doc, _, _ in rows:
+            docs.setdefault(rank, set()).add(doc)
+            ways.setdefault(rank, set()).add(longer)
+            first[rank, longer] = min(first.get((rank, longer), 9), doc)
+        kinds = [(r["at"], r["kind"]) for b in S._rerank(cut(rows, names, rng)) for r in b.to_pylist()]
+        repeats = {at for at, kind in kinds if kind == S.REPEAT}
+        apart = {at for at, kind in kinds if kind == S.APART}
+        assert repeats == {at for rank, longer, doc, at, _ in rows if doc > first[rank, longer]}
+        needed = {at for rank, longer, doc, at, _ in rows if doc == first[rank, longer] and len(ways[rank]) > 1}
+        assert needed <= apart and not apart & repeats  # beyond HELD rows more may be looked at, never fewer
+        assert held < 1000 or apart == needed
+
+        by_doc = sorted(rows, key=lambda r: (r[0], r[2]))
+        marked = [(at, bool(s)) for part, several in S._shared(cut(by_doc, names, rng)) for at, s in zip(part["at"], several)]
+        assert sorted(at for at, _ in marked) == list(range(len(rows)))
+        open_ = {at for at, s in marked if s}
+        wanted = {at for rank, _, _, at, _ in rows if len(docs[rank]) > 1}
+        assert wanted <= open_ and (held < 1000 or open_ == wanted)
+
+        texts = sorted((rng.randrange(3), rng.randrange(2)) for _ in range(rng.randrange(1, 40)))
+        runs = [list(zip(r["doc"], r["row"])) for r in S._by_text(cut(texts, ["doc", "row"], rng))]
+        assert [x for run in runs for x in run] == texts
+        assert all(not set(a) & set(b) for k, a in enumerate(runs) for b in runs[k + 1 :])
