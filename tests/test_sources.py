@@ -58,3 +58,11 @@ def test_settle_keeps_rows_and_cuts_the_plan(spark):
 def test_broadcast_only_below_the_limit(spark, limit, hint):
     df = session.broadcast_if_small(spark.range(10), 8, limit)
     assert ("broadcast" in df._jdf.queryExecution().logical().toString().lower()) == hint
+
+
+def test_emptied_frees_only_its_own_table(spark):
+    one, two = (session.settle(spark.range(n).select("id"), "freed") for n in (5, 7))
+    files = one.inputFiles()
+    session.emptied(one.where("id > 1"))
+    assert not set(files) & set(spark.read.parquet(files[0].rsplit("/", 1)[0]).inputFiles())
+    assert two.count() == 7
