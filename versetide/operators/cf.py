@@ -18,7 +18,7 @@ from versetide.functions.parsing import digest, digest_number
 from versetide.operators import als
 from versetide.operators.products import top_products
 from versetide.operators.ranking import dense_positions
-from versetide.session import settle, spread, use_checkpoints
+from versetide.session import broadcast_if_small, settle, spread, use_checkpoints
 
 # Fixed values of the rating scale and of the tuning grid.
 SCALE = (-2.0, 5.0)
@@ -215,7 +215,7 @@ def recommend_all(model: CFModel, k: int = CF_LIST, **blocks) -> DataFrame:
     best = top_products(users, items, k, **blocks)
     score = F.lit(model.mean) + F.col("userBias") + F.col("score")
     return (
-        best.join(model.users.select(F.col("userId").alias("id"), "userBias"), "id")
+        best.join(broadcast_if_small(model.users.select(F.col("userId").alias("id"), "userBias"), 64), "id")
         .select(F.col("id").alias("userId"), F.col("target").alias("itemId"), "rank",
                 clip(score, model.scale).alias("score"))
     )
