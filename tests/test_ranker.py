@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from versetide.operators import ranker
+from versetide.operators import machine, ranker
 from versetide.operators.metrics import ranker_metrics
 
 
@@ -88,3 +88,31 @@ def test_a_hundred_thousand_terms(spark):
 def test_unknown_kind(rows, terms):
     with pytest.raises(ValueError):
         ranker.fit_ranker(rows, "svm", terms)
+
+
+def test_machine_is_that_of_the_estimator(rows, terms, monkeypatch):
+    """The same weights as Spark's estimator, in matrices over the places of a block."""
+    from pyspark.ml.classification import FMClassifier
+    from pyspark.ml.feature import MaxAbsScaler
+
+    df = ranker.assemble(rows, terms).withColumn("label", F.col("label").cast("double"))
+    scaled = MaxAbsScaler(inputCol="features", outputCol="scaled").fit(df).transform(df)
+    want = FMClassifier(featuresCol="scaled", factorSize=3, maxIter=6, stepSize=0.05, seed=7).fit(scaled)
+    size = terms.count() + ranker.TERMS
+    told = {}
+    for cells in (1 << 20, 7):
+        monkeypatch.setattr(machine, "CELLS", cells)
+        model = machine.fit_machine(df, size, "places", "values", factors=3, steps=6)
+        scored = df.select("userId", "itemId", model.score("places", "values").alias("score"))
+        told[cells] = {(r["userId"], r["itemId"]): r["score"] for r in scored.collect()}
+    expected = {(r["userId"], r["itemId"]): float(r["probability"][1]) for r in want.transform(scaled).collect()}
+    assert told[7] == pytest.approx(told[1 << 20]) and told[1 << 20] == pytest.approx(expected, abs=1e-6)
+    assert max(expected.values()) - min(expected.values()) > 0.01
+
+
+def test_leaves_and_score_without_a_written_table(rows, terms, monkeypatch):
+    """The scores of leaves come from places and values, with no vector and no table of leaves between."""
+    model = ranker.fit_ranker(rows, "trees+fm", terms, n_trees=3)
+    monkeypatch.setattr(ranker, "vector_table", None)
+    told = model.transform(rows)
+    assert told.columns == [*rows.columns, "score"] and told.where("score > 0 AND score < 1").count() == rows.count()

@@ -5,8 +5,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import FMClassifier, GBTClassificationModel, GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import MaxAbsScaler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.pipeline import Pipeline
@@ -15,9 +18,10 @@ from pyspark.sql import functions as F
 
 from versetide.functions.parsing import digest, digest_number
 from versetide.operators.features import item_terms, number_terms
+from versetide.operators.machine import Machine, fit_machine
 from versetide.operators.metrics import ranker_metrics
 from versetide.operators.vectors import vector_table
-from versetide.session import broadcast_if_small, settle, use_checkpoints
+from versetide.session import broadcast_if_small, settle, spread, use_checkpoints
 
 KINDS = ("lr", "fm", "trees+lr", "trees+fm")
 N_TREES = 50  # fixed value of the encoder
@@ -114,20 +118,35 @@ def fitted_trees(model: GBTClassificationModel) -> list[Node]:
 def leaf_slots(df: DataFrame, trees: list[Node], width: int) -> DataFrame:
     """Add ``slots``: for each tree ``tree * width`` and the number of the leaf that ``places`` and ``values`` lead to.
 
-    Each leaf is a range for every place on its path, so one projection compares
-    the values of the tested places with the ranges. A place that is not there is 0.
+    Each leaf is a range for every place on its path. A batch lists the values of the
+    tested places and compares them with the ranges. A place that is not there is 0.
     """
     paths = leaf_paths(trees)
-    tested = sorted({place for _, _, bounds in paths for place in bounds})
-    # as text, since an expression of thousands of nodes is slow to put together one call at a time
-    told = df.withColumns({f"_v{p}": F.expr(f"coalesce(get(values, cast(array_position(places, {p}) as int) - 1), 0.0D)") for p in tested})
-    cases: list[list[str]] = [[] for _ in trees]
-    for tree, number, bounds in paths:
-        inside = [f"_v{p} > {low!r}D" for p, (low, _) in bounds.items() if low > -math.inf]
-        inside += [f"_v{p} <= {high!r}D" for p, (_, high) in bounds.items() if high < math.inf]
-        cases[tree].append(f"WHEN {' AND '.join(inside) or 'true'} THEN {tree * width + number}")
-    slots = ", ".join(f"CASE {' '.join(case)} END" for case in cases)
-    return told.withColumn("slots", F.expr(f"array({slots})")).drop(*(f"_v{p}" for p in tested))
+    tested = np.array(sorted({place for _, _, bounds in paths for place in bounds}), np.int64)
+    column = {int(place): i for i, place in enumerate(tested)}
+
+    def slots(places: pa.Array, values: pa.Array) -> pa.Array:
+        n = len(places)
+        row = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(places), 0).to_numpy(zero_copy_only=False))
+        place, value = (x.flatten().to_numpy(zero_copy_only=False) for x in (places, values))
+        told = np.zeros((len(tested), n))
+        if len(tested):
+            at = np.minimum(np.searchsorted(tested, place), len(tested) - 1)
+            met = tested[at] == place
+            told[at[met], row[met]] = value[met]
+        found = np.zeros((n, len(trees)), np.int32)
+        for tree, number, bounds in paths:
+            inside = np.ones(n, bool)
+            for p, (low, high) in bounds.items():
+                if low > -math.inf:
+                    inside &= ~(told[column[p]] <= low)  # above, and what is not a number is above all
+                if high < math.inf:
+                    inside &= told[column[p]] <= high
+            found[inside, tree] = tree * width + number
+        ends = np.arange(n + 1, dtype=np.int32) * len(trees)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(found.ravel()))
+
+    return df.withColumn("slots", F.arrow_udf(slots, "array<int>")("places", "values"))
 
 
 def encode_leaves(trees: GBTClassificationModel, df: DataFrame, depth: int = TREE_DEPTH) -> DataFrame:
@@ -147,19 +166,25 @@ class Ranker:
 
     kind: str
     terms: DataFrame  # term, termId
-    final: PipelineModel
+    final: PipelineModel | Machine
     trees: GBTClassificationModel | None = None
     depth: int = TREE_DEPTH
     dropped: list[str] = field(
-        default_factory=lambda: ["features", "places", "values", "scaled", "rawPrediction", "probability", "prediction"]
+        default_factory=lambda: ["features", "places", "values", "slots", "scaled", "rawPrediction", "probability", "prediction"]
     )
 
     def transform(self, rows: DataFrame) -> DataFrame:
         """Add ``score``, the probability of label 1, to rows of ``ranker_rows``."""
-        return self.score(assemble(rows, self.terms))
+        # only the plain regression reads the vector
+        return self.score(assemble(rows, self.terms) if self.kind == "lr" else feature_arrays(rows, self.terms))
 
     def score(self, assembled: DataFrame) -> DataFrame:
-        """As ``transform``, on rows that have ``features`` already."""
+        """As ``transform``, on rows that have ``places`` and ``values`` already, and ``features`` for ``lr``."""
+        if self.kind == "trees+fm":
+            told = leaf_slots(assembled, fitted_trees(self.trees), 1 << self.depth)
+            return told.withColumn("score", self.final.score("slots")).drop(*self.dropped)
+        if self.kind == "fm":
+            return assembled.withColumn("score", self.final.score("places", "values")).drop(*self.dropped)
         df = encode_leaves(self.trees, assembled, self.depth) if self.trees is not None else assembled
         told = self.final.transform(df).withColumn("score", vector_to_array("probability")[1])
         return told.drop(*self.dropped)
@@ -178,18 +203,13 @@ class Ranker:
         """Read a saved ranker."""
         about = spark.read.parquet(f"{path}/about").first()
         trees = GBTClassificationModel.load(f"{path}/trees") if about["kind"].startswith("trees") else None
-        return Ranker(about["kind"], spark.read.parquet(f"{path}/terms"), PipelineModel.load(f"{path}/final"), trees, about["depth"])
+        final = Machine.load(spark, f"{path}/final") if about["kind"].endswith("fm") else PipelineModel.load(f"{path}/final")
+        return Ranker(about["kind"], spark.read.parquet(f"{path}/terms"), final, trees, about["depth"])
 
 
-def _final(kind: str, seed: int) -> Pipeline:
+def _regression() -> Pipeline:
     scaler = MaxAbsScaler(inputCol="features", outputCol="scaled")
-    if kind.endswith("fm"):
-        # on leaves every tree sets a slot, so a row moves many weights and steps are smaller
-        steps, size = (25, 0.01) if kind.startswith("trees") else (50, 0.05)
-        last = FMClassifier(featuresCol="scaled", labelCol="label", factorSize=8, maxIter=steps, stepSize=size, seed=seed)
-    else:
-        last = LogisticRegression(featuresCol="scaled", labelCol="label", maxIter=50, regParam=0.01)
-    return Pipeline(stages=[scaler, last])
+    return Pipeline(stages=[scaler, LogisticRegression(featuresCol="scaled", labelCol="label", maxIter=50, regParam=0.01)])
 
 
 def fit_ranker(
@@ -200,12 +220,20 @@ def fit_ranker(
     if kind not in KINDS:
         raise ValueError(f"kind must be one of {KINDS}")
     df = rows if "features" in rows.columns else assemble(rows, terms)
-    if kind.startswith("trees"):
-        trees = trees or fit_leaf_encoder(df, n_trees, depth, seed)
-        df = encode_leaves(trees, df.select("places", "values", "label"), depth).select("features", "label")
+    if not kind.startswith("trees"):
+        if kind == "fm":
+            return Ranker(kind, terms, fit_machine(df, terms.count() + TERMS, "places", "values", seed=seed), None, depth)
+        return Ranker(kind, terms, _regression().fit(df.select("features", "label")), None, depth)
+    trees = trees or fit_leaf_encoder(df, n_trees, depth, seed)
+    df = df.select("places", "values", "label")
+    if kind == "trees+fm":
+        width = 1 << depth
+        told = spread(leaf_slots(df, fitted_trees(trees), width).select("slots", "label"), "leaves")
+        # on leaves every tree sets a slot, so a row moves many weights and steps are smaller
+        final = fit_machine(told, len(trees.trees) * width, "slots", steps=25, step_size=0.01, seed=seed)
     else:
-        trees = None
-    return Ranker(kind, terms, _final(kind, seed).fit(df.select("features", "label")), trees, depth)
+        final = _regression().fit(encode_leaves(trees, df, depth).select("features", "label"))
+    return Ranker(kind, terms, final, trees, depth)
 
 
 def split_rows(rows: DataFrame, share: int = 20, seed: int = 11) -> DataFrame:
