@@ -102,6 +102,7 @@ def test_machine_is_that_of_the_estimator(rows, terms, monkeypatch):
     told = {}
     for cells in (1 << 20, 7):
         monkeypatch.setattr(machine, "CELLS", cells)
+        monkeypatch.setattr(machine, "PACKED", cells)
         model = machine.fit_machine(df, size, "places", "values", factors=3, steps=6)
         scored = df.select("userId", "itemId", model.score("places", "values").alias("score"))
         told[cells] = {(r["userId"], r["itemId"]): r["score"] for r in scored.collect()}

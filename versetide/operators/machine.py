@@ -18,23 +18,30 @@ from pyspark.ml.linalg import SparseVector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from versetide.session import emptied, spread
+
 # Sums of gradients are made in whole units of this part, so any order of a sum gives the same.
 UNIT = 2.0**30
 # Values of a block of rows, at most.
-CELLS = 1 << 20
+CELLS = 1 << 17
+# Places of the rows that are packed together, about.
+PACKED = 1 << 18
 BETA1, BETA2, EPSILON, TOLERANCE = 0.9, 0.999, 1e-8, 1e-6  # fixed values of the estimator
 
 
-def blocks(places: pa.Array, values: pa.Array | None, size: int):
-    """(start, stop, names, matrix) of parts of the rows of an Arrow batch: the places they have, and their values at these.
+def _flat(places: pa.Array, values: pa.Array | None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Ends of the rows of an Arrow batch, their places one after the other, and the values at these."""
+    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(places), 0).to_numpy(zero_copy_only=False))])
+    return ends, places.flatten().to_numpy(zero_copy_only=False), None if values is None else values.flatten().to_numpy(zero_copy_only=False)
+
 
-    A part has at most CELLS values, or is one row. Without ``values`` each place holds a 1.
+def blocks(ends: np.ndarray, where: np.ndarray, held: np.ndarray | None, size: int):
+    """(start, stop, names, matrix) of parts of the rows of ``_flat``: the places they have, and their values at these.
+
+    A part has at most CELLS values, or is one row. Without values each place holds a 1.
     """
-    ends = np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(places), 0).to_numpy(zero_copy_only=False))])
-    where = places.flatten().to_numpy(zero_copy_only=False)
-    held = None if values is None else values.flatten().to_numpy(zero_copy_only=False)
     number = np.empty(size, np.int64)
-    waiting = [(0, len(places))]
+    waiting = [(0, len(ends) - 1)]
     while waiting:
         start, stop = waiting.pop()
         cells = slice(ends[start], ends[stop])
@@ -52,6 +59,27 @@ def blocks(places: pa.Array, values: pa.Array | None, size: int):
         yield start, stop, names, matrix
 
 
+def _packed(places: str, values: str | None, label: str):
+    """Rows as bytes, about PACKED places in each, so that a step moves them without taking them apart."""
+
+    def pack(batches):
+        for batch in batches:
+            ends, where, held = _flat(batch.column(places), None if values is None else batch.column(values))
+            told = batch.column(label).to_numpy(zero_copy_only=False).astype(np.float64)
+            start = 0
+            while start < batch.num_rows:
+                stop = max(start + 1, int(np.searchsorted(ends, ends[start] + PACKED, "right")) - 1)
+                cells = slice(ends[start], ends[stop])
+                parts = (
+                    (ends[start : stop + 1] - ends[start]).astype(np.int64), where[cells].astype(np.int32),
+                    np.empty(0) if held is None else held[cells].astype(np.float64), told[start:stop],
+                )
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["ends", "places", "held", "told"])
+                start = stop
+
+    return pack
+
+
 def _margin(rows: np.ndarray, squares: np.ndarray, w: np.ndarray, intercept: float) -> tuple[np.ndarray, np.ndarray]:
     """Margins of ``rows``, and their sums of the columns of ``w``: linear weight, then factors."""
     sums = rows @ w
@@ -59,13 +87,15 @@ def _margin(rows: np.ndarray, squares: np.ndarray, w: np.ndarray, intercept: flo
     return intercept + sums[:, 0] + pairs / 2, sums
 
 
-def gradient(places: pa.Array, values: pa.Array | None, label: np.ndarray, w: np.ndarray, scales: np.ndarray) -> np.ndarray:
+def gradient(
+    ends: np.ndarray, where: np.ndarray, held: np.ndarray | None, label: np.ndarray, w: np.ndarray, scales: np.ndarray
+) -> np.ndarray:
     """Sum over the rows of the gradient of the logistic loss, shaped as ``w``: a row for each place, the last has the intercept."""
     found = np.zeros_like(w)
-    for start, stop, names, rows in blocks(places, values, len(scales)):
-        if values is not None:
+    for start, stop, names, rows in blocks(ends, where, held, len(scales)):
+        if held is not None:
             rows *= scales[names]
-        squares, some = rows if values is None else rows * rows, w[names]
+        squares, some = rows if held is None else rows * rows, w[names]
         margin, sums = _margin(rows, squares, some, w[-1, 0])
         slope = 1 / (1 + np.exp(-margin)) - label[start:stop]
         sums[:, 0] = 1
@@ -88,7 +118,7 @@ class Machine:
 
         def told(where: pa.Array, held: pa.Array | None = None) -> pa.Array:
             found = np.empty(len(where))
-            for start, stop, names, rows in blocks(where, held, len(weights) - 1):
+            for start, stop, names, rows in blocks(*_flat(where, held), len(weights) - 1):
                 margin, _ = _margin(rows, rows if held is None else rows * rows, weights[names], weights[-1, 0])
                 found[start:stop] = 1 / (1 + np.exp(-margin))
             return pa.array(found)
@@ -139,20 +169,22 @@ def fit_machine(
     df: DataFrame, size: int, places: str, values: str | None = None, label: str = "label",
     factors: int = 8, steps: int = 50, step_size: float = 0.05, seed: int = 7,
 ) -> Machine:
-    """Fit on all rows of ``df`` in each step; pass a written table. Without ``values`` each place holds a 1."""
-    total = df.count()
+    """Fit on all rows of ``df`` in each step; they are packed and written once. Without ``values`` each place holds a 1."""
     w = _start(df.sparkSession, size, factors, seed)
     scales = np.ones(size) if values is None else _scales(df, places, values, size)
     columns = [places, label] if values is None else [places, values, label]
-    rows = df.select(*columns)
+    rows = spread(df.select(*columns).mapInArrow(_packed(places, values, label), "ends binary, places binary, held binary, told binary"), "packed")
+    total = int(rows.agg(F.sum(F.octet_length("told"))).first()[0] or 0) // 8
     first, second = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
         def partial(batches, w=w):
             found = np.zeros_like(w)
             for batch in batches:
-                if batch.num_rows:
-                    told = batch.column(label).to_numpy(zero_copy_only=False).astype(np.float64)
-                    found += gradient(batch.column(places), None if values is None else batch.column(values), told, w, scales)
+                for ends, where, held, told in zip(*(batch.column(c) for c in ("ends", "places", "held", "told"))):
+                    found += gradient(
+                        np.frombuffer(ends.as_buffer(), np.int64), np.frombuffer(where.as_buffer(), np.int32),
+                        None if values is None else np.frombuffer(held.as_buffer(), np.float64), np.frombuffer(told.as_buffer(), np.float64), w, scales,
+                    )
             units = np.rint(found.ravel() * UNIT).astype(np.int64)
             there = np.flatnonzero(units)
             yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(units[there])], ["at", "units"])
@@ -166,5 +198,6 @@ def fit_machine(
         before, w = w, w - step_size * (first / (1 - BETA1**step)) / (np.sqrt(second / (1 - BETA2**step)) + EPSILON)
         if np.linalg.norm(w - before) < TOLERANCE * max(np.linalg.norm(w), 1.0):
             break
+    emptied(rows)
     w[:-1] *= scales[:, None]
     return Machine(w)

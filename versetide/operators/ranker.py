@@ -21,7 +21,7 @@ from versetide.operators.features import item_terms, number_terms
 from versetide.operators.machine import Machine, fit_machine
 from versetide.operators.metrics import ranker_metrics
 from versetide.operators.vectors import vector_table
-from versetide.session import broadcast_if_small, settle, spread, use_checkpoints
+from versetide.session import broadcast_if_small, settle, use_checkpoints
 
 KINDS = ("lr", "fm", "trees+lr", "trees+fm")
 N_TREES = 50  # fixed value of the encoder
@@ -228,7 +228,7 @@ def fit_ranker(
     df = df.select("places", "values", "label")
     if kind == "trees+fm":
         width = 1 << depth
-        told = spread(leaf_slots(df, fitted_trees(trees), width).select("slots", "label"), "leaves")
+        told = leaf_slots(df, fitted_trees(trees), width).select("slots", "label")
         # on leaves every tree sets a slot, so a row moves many weights and steps are smaller
         final = fit_machine(told, len(trees.trees) * width, "slots", steps=25, step_size=0.01, seed=seed)
     else:
