@@ -111,3 +111,29 @@ def test_sample_takes_whole_paragraphs_within_its_bytes(spark, monkeypatch):
     got = [r.line for r in L.sampled(lines, 1).collect()]
     assert len(got) == len(set(got)) and set(got) <= set(texts) and "y" * 6000 not in got
     assert sum(map(len, got)) <= 5000 and len(got) >= 10
+
+
+def test_every_paragraph_is_counted(spark, monkeypatch):
+    monkeypatch.setattr(L, "SAMPLE", 2)
+    texts = [f"The {i}th of them {t[4:]}" for i in range(5) for t in PROSE] + [f"They spoke of noninfringement on day {i} in the garden" for i in range(25)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    scan = L.fit(docs, "text", L.paragraphs(docs, "text"))
+    assert "noninfringement" not in scan.marks and "irrevocable" in scan.marks
+
+
+def test_least_probability_is_exact(spark):
+    rows = [(i / 977, 1 + i % 7) for i in range(977)]
+    found = spark.createDataFrame(rows, "probability double, n long").repartition(3)
+    for of in (10**3, 10**5, 10**6, 2 * 10**7):
+        got = L.least_probability(found, of)
+        passing = lambda least: sum(n for p, n in rows if p >= least)
+        assert passing(got) <= L.PASSING * of and (got == 0 or passing(got - 1 / L.STEPS) > L.PASSING * of)
+    assert L.least_probability(found.limit(0), 0) == 0
+
+
+def test_known_grams_are_those_of_grams(spark):
+    words = F.array(*map(F.lit, "by the gpl the gpl by by the".split()))
+    row = spark.range(1).select(words.alias("w")).select(
+        L.known_grams(F.col("w"), ["by", "gpl", "the gpl", "by the", "gpl x"]).alias("known"), L.grams(F.col("w")).alias("all")
+    ).first()
+    assert row.known == [g for g in row.all if g in ("by", "gpl", "the gpl", "by the")]

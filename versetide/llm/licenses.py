@@ -1,24 +1,25 @@
 """Licence scans: a trained paragraph classifier, confirmed by templates.
 
-Paragraphs (lines) are bags of word n-grams. A sparse multinomial logistic
-regression is fitted on sentences of public licences, on generated statements (forms x names x
-versions x spellings) and on a bounded sample of the corpus for the unknown class. It is scored
-as a join of n-grams with the non-zero coefficients, which are at most VOCABULARY rows. The
-least probability of a hit is set on held-out paragraphs, and a hit counts when the
-paragraph also shares enough n-grams with a template of the predicted family.
+Paragraphs (lines) are bags of word n-grams, of those that the training statements have. A
+sparse multinomial logistic regression is fitted on sentences of public licences, on generated
+statements (forms x names x versions x spellings) and, for the unknown class, on every paragraph of the
+corpus: equal bags are one row with their number as weight. It is scored as a join of n-grams with
+the non-zero coefficients. The least probability of a hit is set on held-out paragraphs, and a hit
+counts when the paragraph also shares enough n-grams with a template of the predicted family.
 """
 
 from __future__ import annotations
 
 import json
+import math
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.ml.feature import CountVectorizerModel
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from versetide.session import scratch_path, settle, spread
+from versetide.session import broadcast_if_small, scratch_path, settle, spread
 
 #: Paragraphs of public licences, by family. They are cut into sentences as documents are.
 TEXTS = {
@@ -103,23 +104,28 @@ LOOKALIKES = (
     "The source is in the attribution file and the forms are in the office",
     "All seats are reserved", "All rights of way", "Licensed driver wanted",
 )
-#: Paragraphs of the corpus that the classifier is fitted and calibrated on, and their bytes, at most.
+#: Paragraphs of ``sampled`` and their bytes, at most.
 SAMPLE = 20_000
 SAMPLE_BYTES = 64 << 20
 #: Bytes of a paragraph, roughly, to find how many of them to look at for the sample.
 LINE_BYTES = 100
-#: N-grams with coefficients, at most.
-VOCABULARY = 4096
+#: Weight of all unknown paragraphs together, at most; each counts alike, and as one at most.
+UNKNOWN_WEIGHT = 10_000
+#: Weight of a statement.
+TOLD_WEIGHT = 2.0
 #: Share of held-out unknown paragraphs that may pass, and least probability in any case.
 PASSING = 0.0005
 LEAST = 0.5
+#: The least probability is a multiple of one in STEPS.
+STEPS = 10_000
 #: Least share of a template's, or the paragraph's, n-grams that confirms a prediction.
 CONFIRM = 0.5
-#: Paragraphs of the sample that each name is put behind, and how many words of them.
+#: Weight, in statements, of each name behind paragraphs, and how many of their known n-grams stand before it.
 CONTEXTS = 4
 CONTEXT = 8
-#: Share of SAMPLE that may have an n-gram that marks licences, at most.
+#: Share of the corpus' paragraphs that may have an n-gram that marks licences, at most; FEW may in any case.
 RARE = 0.001
+FEW = 20
 UNKNOWN = "unknown"
 
 
@@ -139,6 +145,20 @@ def grams(words: Column) -> Column:
     return F.array_distinct(F.concat(words, pairs))
 
 
+def known_grams(words: Column, vocabulary: list[str]) -> Column:
+    """``grams`` that are in ``vocabulary``, in their order; other pairs are not put together."""
+    single, pairs = [g for g in vocabulary if " " not in g], [g for g in vocabulary if " " in g]
+    inside = sorted({w for g in pairs for w in g.split(" ")})
+    listed = F.zip_with(
+        words, F.slice(words, F.lit(2), F.greatest(F.size(words), F.lit(1))),
+        lambda a, b: F.when(a.isin(inside) & b.isin(inside), F.concat_ws(" ", a, b)),
+    )
+    known = F.filter(words, lambda w: w.isin(sorted({*single, *inside})))
+    found = F.concat(F.filter(known, lambda w: w.isin(single)), F.filter(listed, lambda g: g.isin(pairs)))
+    # most paragraphs have no two known words, which a pair is of
+    return F.array_distinct(F.when(F.size(known) < 2, F.filter(known, lambda w: w.isin(single))).otherwise(found))
+
+
 def paragraphs(documents: DataFrame, text: str) -> DataFrame:
     """``documents`` without the text, a row for each line with a word: ``paragraph`` (from 0) and its n-grams.
 
@@ -155,8 +175,8 @@ def _has(column: str, listed: list[str]) -> Column:
 
 
 def _likeness(template: Column) -> Column:
-    """Share of the n-grams in common, of the shorter of ``grams`` and the template."""
-    return F.size(F.array_intersect("grams", template)) / F.least(F.size("grams"), F.size(template))
+    """Share of the n-grams in common, of the shorter of the paragraph, which has ``n_grams``, and the template."""
+    return F.size(F.array_intersect("grams", template)) / F.least("n_grams", F.size(template))
 
 
 def statements(names: dict[str, list[str]], forms: tuple[str, ...]) -> list[tuple[str, str]]:
@@ -211,23 +231,24 @@ def _made(spark: SparkSession) -> DataFrame:
     return sentences.unionByName(_table(spark, told, "licence-names").select("family", "grams"))
 
 
-def _in_context(unknown: DataFrame) -> DataFrame:
-    """Labelled paragraphs: every name behind the first words of CONTEXTS paragraphs of the sample, so words around a name count little."""
+def _in_context(unknown: DataFrame, many: int) -> DataFrame:
+    """Labelled paragraphs with a weight: a name behind the first known n-grams of each of ``many`` paragraphs, so words around a name count little."""
     spark = unknown.sparkSession
     names = [(family, name) for family, all_of in licence_names().items() for name in all_of if name != "MIT"]
     path = scratch_path(spark, "licence-listed")
-    spark.createDataFrame([(i, *n) for i, n in enumerate(names)], "id int, family string, line string").coalesce(1).write.parquet(path)
-    listed = spark.read.parquet(path).select("id", "family", tokens(F.col("line")).alias("name"))
-    # SAMPLE rows at most
-    numbered = unknown.select("words", (F.row_number().over(Window.orderBy("order")) - 1).alias("n")).where(F.col("n") < CONTEXTS * len(names))
-    met = numbered.withColumn("id", F.col("n") % len(names)).join(F.broadcast(listed), "id")
-    return met.select("family", grams(F.concat(F.slice("words", 1, CONTEXT), "name")).alias("grams"))
+    spark.createDataFrame([(i, *n) for i, n in enumerate(names)], "id long, family string, line string").coalesce(1).write.parquet(path)
+    listed = spark.read.parquet(path).select("id", "family", grams(tokens(F.col("line"))).alias("name"))
+    dealt = unknown.select(F.pmod(F.shiftright("order", 1), F.lit(len(names))).alias("id"), F.slice("grams", 1, CONTEXT).alias("before"))
+    met = dealt.groupBy("id", "before").agg(F.count("*").alias("n")).join(F.broadcast(listed), "id")
+    weight = F.col("n") * (TOLD_WEIGHT * min(1.0, CONTEXTS * len(names) / max(1, many)))
+    return met.select("family", F.array_distinct(F.concat("before", "name")).alias("grams"), weight.alias("weight"))
 
 
 def sampled(lines: DataFrame, text_bytes: int) -> DataFrame:
     """``line, order``: SAMPLE distinct whole paragraphs in the order of a hash, within SAMPLE_BYTES.
 
-    A paragraph that the bytes left have no room for is passed over. Written.
+    A paragraph that the bytes left have no room for is passed over. Written. For a look
+    at the paragraphs of a corpus; ``fit`` reads them all.
     """
     # about four times as many paragraphs as needed, of LINE_BYTES on average
     low = min(1.0, 4 * SAMPLE / max(1.0, text_bytes / LINE_BYTES))
@@ -255,43 +276,101 @@ class Scanner:
     least: float
     templates: Column  # array of (family, grams)
     marks: list[str]
-    first_words: list[str]  # each mark has one of them
+    confirmed: DataFrame  # the paragraphs that a template confirms, with their known grams and n_grams
+
+
+def _heads(templates: list[list[str]], counts: dict[str, int]) -> list[str]:
+    """N-grams of which a paragraph has one if it has CONFIRM of a template: of each, the rarest ones that may not all be missing."""
+    out = set()
+    for listed in templates:
+        needed = math.ceil(CONFIRM * len(listed))
+        out |= set(sorted(listed, key=lambda g: (counts.get(g, 0), -len(g), g))[: len(listed) - needed + 1])
+    return sorted(out)
+
+
+def _counted(bags: DataFrame, number: Column, listed: list[str]) -> dict[str, int]:
+    """How many paragraphs have each n-gram of ``listed``, which is of fixed values."""
+    each = bags.select(F.explode("grams").alias("gram"), number.alias("n")).where(F.col("gram").isin(listed))
+    return {r["gram"]: r["n"] for r in each.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
+
+
+def _alike(lines: DataFrame, templates: Column, listed: list[list[str]]) -> DataFrame:
+    """``grams, n_grams`` of the paragraphs of which a template has enough, each once.
+
+    Either they have one of ``_heads``, or the n-grams of templates are CONFIRM of
+    their own; all templates are compared with these only.
+    """
+    every = sorted({g for t in listed for g in t})
+    heads = _heads(listed, _counted(lines, F.lit(1), every))
+    shared = F.size(F.filter("grams", lambda g: g.isin(every)))
+    near = lines.where(F.col("n_grams").isNotNull()).where(_has("grams", heads) | (shared >= CONFIRM * F.col("n_grams")))
+    return settle(
+        near.select("grams", "n_grams").distinct().where(F.exists(templates, lambda t: _likeness(t["grams"]) >= CONFIRM)), "licence-alike"
+    )
+
+
+def least_probability(found: DataFrame, of: int) -> float:
+    """Smallest multiple of one in STEPS that at most PASSING of ``of`` paragraphs reach; ``probability, n`` are those of equal ones."""
+    steps = found.groupBy(F.floor(F.col("probability") * STEPS).alias("step")).agg(F.sum("n").alias("n"))
+    room = PASSING * of
+    for r in steps.orderBy(F.desc("step")).collect():  # STEPS rows and one at most
+        room -= r["n"]
+        if room < 0:
+            return min(1.0, (r["step"] + 1) / STEPS)
+    return 0.0
 
 
 def fit(documents: DataFrame, text: str, lines: DataFrame) -> Scanner:
-    """Fit and calibrate the classifier.
+    """Fit and calibrate the classifier on ``lines``, the ``paragraphs`` of ``documents``.
 
-    The unknown class is fitted on the paragraphs of ``sampled``, half of them held out for the
+    The unknown class is every different paragraph, half of them held out for the
     least probability. Those that a template would confirm are left out: they
     would be licences with the wrong label.
     """
     spark = lines.sparkSession
     families = sorted(TEXTS)
-    bytes_in = documents.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    cut = sampled(lines, bytes_in).select(tokens(F.col("line")).alias("words"), "order")
-    sample = spread(cut.withColumn("grams", grams(F.col("words"))), "licence-sample")
     known = template_table(spark)
     listed = known.select("family", "grams").collect()  # fixed values
     templates = F.from_json(F.lit(json.dumps([r.asDict() for r in listed])), "array<struct<family string, grams array<string>>>")
-    alike = F.exists(templates, lambda t: _likeness(t["grams"]) >= CONFIRM)
-    sample = settle(sample.where(F.size("grams") > 0).where(~alike).withColumn("held", F.pmod("order", F.lit(2)) == 0), "licence-unknown")
-    of_templates = known.select(F.explode("grams").alias("gram")).distinct()
-    held_by = sample.select(F.explode("grams").alias("gram")).join(F.broadcast(of_templates), "gram").groupBy("gram").count()
-    counts = {r["gram"]: r["count"] for r in held_by.collect()}  # n-grams of the templates
-    most = RARE * SAMPLE
-    rare = sorted({g for r in listed for g in r["grams"] if counts.get(g, 0) <= most})
-    made = _made(spark).unionByName(_in_context(sample.where("NOT held"))).withColumn("weight", F.lit(2.0))
+    of_templates = [r["grams"] for r in listed]
+    every = sorted({g for t in of_templates for g in t})
+    made = _made(spark)
+    vocabulary = sorted({*every, *(r["gram"] for r in made.select(F.explode("grams").alias("gram")).distinct().collect())})  # fixed values
+
+    # one pass over the texts; the number of all n-grams is needed of those only that a template may confirm
+    words = lines.where(F.length("_line") > 0).withColumn("words", tokens(F.col("_line")))
+    cut = words.withColumn("grams", known_grams(F.col("words"), vocabulary))
+    shared = F.size(F.filter("grams", lambda g: g.isin(every)))
+    near = (F.size("grams") > 0) & (_has("grams", _heads(of_templates, {})) | (shared >= CONFIRM * F.size(F.array_distinct("words"))))
+    cut = settle(cut.select(
+        *(c for c in lines.columns if c != "_line"), F.when(F.size("words") > 0, F.xxhash64("_line")).alias("order"), "grams",
+        F.when(near, F.size(grams(F.col("words")))).alias("n_grams"),
+    ), "licence-lines")
+    alike = _alike(cut, templates, of_templates)
+    alike = broadcast_if_small(alike, 1024)
+    unlike = cut.where(F.col("order").isNotNull()).join(alike, ["grams", "n_grams"], "left_anti").select("order", "grams")
+    unknown = settle(unlike.distinct(), "licence-unknown")
+    held = F.pmod("order", F.lit(2)) == 0
+    bags = settle(unknown.groupBy(held.alias("held"), "grams").agg(F.count("*").alias("n")), "licence-bags")
+    many = {r["held"]: r["n"] for r in bags.groupBy("held").agg(F.sum("n").alias("n")).collect()}
+    counts = _counted(bags, F.col("n"), every)
+    most = max(FEW, RARE * sum(many.values()))
+    rare = [g for g in every if counts.get(g, 0) <= most]
+
+    trained = many.get(False, 0)
+    weight = F.col("n") * min(1.0, UNKNOWN_WEIGHT / max(1, trained))
     rows = spread(
-        made.unionByName(sample.where("NOT held").select(F.lit(UNKNOWN).alias("family"), "grams", F.lit(1.0).alias("weight")))
+        made.withColumn("weight", F.lit(TOLD_WEIGHT)).unionByName(_in_context(unknown.where(~held), trained))
+        .unionByName(bags.where("NOT held").select(F.lit(UNKNOWN).alias("family"), "grams", weight.alias("weight")))
         .withColumn("label", F.array_position(F.array(*map(F.lit, [*families, UNKNOWN])), F.col("family")) - 1.0),
         "licence-rows",
     )
-    words = CountVectorizer(inputCol="grams", outputCol="features", vocabSize=VOCABULARY, binary=True).fit(rows)
+    bagged = CountVectorizerModel.from_vocabulary(vocabulary, "grams", "features").setBinary(True)
     model = LogisticRegression(
         featuresCol="features", labelCol="label", weightCol="weight", family="multinomial", maxIter=30, regParam=0.002,
         elasticNetParam=0.5,
-    ).fit(words.transform(rows).select("features", "label", "weight"))
-    matrix, vocabulary = model.coefficientMatrix.toArray(), words.vocabulary
+    ).fit(bagged.transform(rows).select("features", "label", "weight"))
+    matrix = model.coefficientMatrix.toArray()
     classes = [*families, UNKNOWN][: matrix.shape[0]]
     coefficients = [
         (vocabulary[j], *(float(x) for x in matrix[:, j])) for j in range(len(vocabulary)) if abs(matrix[:, j]).max() > 1e-9
@@ -301,20 +380,17 @@ def fit(documents: DataFrame, text: str, lines: DataFrame) -> Scanner:
     spark.createDataFrame(coefficients, names).coalesce(1).write.parquet(path)
     table = spark.read.schema(names).parquet(path)
     start = {c: float(x) for c, x in zip(classes, model.interceptVector.toArray())}
-    held = sample.where("held").select(F.monotonically_increasing_id().alias("id"), "grams")
-    high = scored(held, ["id"], table, classes, start).agg(
-        F.percentile("probability", F.lit(1 - PASSING)).alias("p")
-    ).first()["p"]
+    numbered = bags.where("held").select(F.monotonically_increasing_id().alias("id"), "grams", "n")
+    high = least_probability(scored(numbered, ["id", "n"], table, classes, start), many.get(True, 0))
     at = classes.index(UNKNOWN)
     for_licence = {g for g, *c in coefficients if max(c[:at] + c[at + 1:]) > c[at]}
     marks = [g for g in rare if g in for_licence]
-    first = sorted({min(g.split(" "), key=lambda w: (counts.get(w, 0), w)) for g in marks})
-    return Scanner(table, classes, start, max(LEAST, high or 0.0), templates, marks, first)
+    return Scanner(table, classes, start, max(LEAST, high), templates, marks, cut.join(alike, ["grams", "n_grams"], "left_semi"))
 
 
 def scored(rows: DataFrame, key: list[str], table: DataFrame, classes: list[str], start: dict[str, float]) -> DataFrame:
     """``key, family, probability``: the likeliest family of each row that has a known n-gram, unknown aside."""
-    met = rows.select(*key, F.explode("grams").alias("gram")).join(F.broadcast(table), "gram")  # VOCABULARY rows at most
+    met = rows.select(*key, F.explode("grams").alias("gram")).join(F.broadcast(table), "gram")  # n-grams of the statements
     total = met.groupBy(*key).agg(*(F.sum(f"c_{c}").alias(f"s_{c}") for c in classes))
     logit = {c: F.col(f"s_{c}") + F.lit(start[c]) for c in classes}
     top = F.greatest(*logit.values())
@@ -337,11 +413,7 @@ def find_licences(documents: DataFrame, key: str = "doc_id", text: str = "text")
     rows = documents.select(F.struct(F.col(key).alias("k")).alias("_key"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
     lines = paragraphs(rows, "_text")
     scan = fit(rows, "_text", lines)
-    ready = lines.select("_key", "_hash", "paragraph", "_line", tokens(F.col("_line")).alias("words"))
-    # sets in the plan: a paragraph costs a lookup for each word, and for each n-gram if it has the rarer word of a mark
-    ready = ready.where(_has("words", scan.first_words))
-    ready = ready.withColumn("grams", grams(F.col("words"))).drop("words")
-    ready = settle(ready.where(_has("grams", scan.marks)), "licence-lines")
+    ready = settle(scan.confirmed.where(_has("grams", scan.marks)), "licence-marked")
     found = scored(ready, ["_key", "_hash", "paragraph"], scan.table, scan.classes, scan.start).where(F.col("probability") >= scan.least)
     likeness = F.aggregate(
         scan.templates, F.lit(0.0),
