@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -172,3 +173,41 @@ def test_groups_go_on_over_batches(monkeypatch, held):
         runs = [list(zip(r["doc"], r["row"])) for r in S._by_text(cut(texts, ["doc", "row"], rng))]
         assert [x for run in runs for x in run] == texts
         assert all(not set(a) & set(b) for k, a in enumerate(runs) for b in runs[k + 1 :])
+
+
+@pytest.mark.parametrize("packed", [7, 1 << 20])
+def test_blocks_hold_every_row_of_their_bucket(monkeypatch, packed):
+    monkeypatch.setattr(S, "PACKED", packed)
+    rng = np.random.default_rng(6)
+    parts = []
+    for n in (5, 0, 40, 1):
+        rows = {c: rng.integers(-(2**63), 2**63 - 1, n) for c in ("doc", "row", "at")}
+        parts += [(S.REPEAT, rows, S._named(rows["doc"])), (S.GONE, {"doc": rows["doc"], "rank": rows["at"]}, S._named(rows["doc"]))]
+    blocks = [b for batch in S._pack(iter(parts), 4) for b in batch.to_pylist()]
+    assert all(b["n"] > 0 and len(b["block"]) == 8 * b["n"] * len(S._COLUMNS[b["kind"]]) for b in blocks)
+    blocks.sort(key=lambda b: b["bucket"])
+    kind = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64()), ("block", pa.binary())])
+    batches = [pa.RecordBatch.from_pylist(blocks[a : a + 3], kind) for a in range(0, len(blocks), 3)]
+    found, docs = {S.REPEAT: [], S.GONE: []}, []
+    for held in S._unpack(batches):
+        docs.append({d for rows in held.values() for d in rows["doc"].tolist()})
+        for k, rows in held.items():
+            found[k] += list(zip(*(rows[c].tolist() for c in S._COLUMNS[k])))
+    for k in found:
+        assert sorted(found[k]) == sorted(r for of, rows, _ in parts if of == k for r in zip(*(rows[c].tolist() for c in S._COLUMNS[k])))
+    assert 1 < len(docs) <= 4 and sum(map(len, docs)) == len(set().union(*docs))  # a document is in one bucket
+
+
+def test_rows_of_positions_move_as_blocks(spark, monkeypatch):
+    """The time of the job was Spark's sorts of one row for each position."""
+    sorted_ = []
+    plain = S._by_bucket
+    monkeypatch.setattr(S, "_by_bucket", lambda blocks, expected: sorted_.append((blocks.count(), expected)) or plain(blocks, expected))
+    rng = random.Random(7)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(3000)
+    rows = [(k, text(20_000) + passage + text(20_000)) for k in range(8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    assert result(docs) == brute(rows)
+    blocks, expected = sorted_[0]  # the first sort is of all positions
+    assert expected > 20_000 and blocks < expected / 100

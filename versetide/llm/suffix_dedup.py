@@ -20,6 +20,9 @@ neighbouring positions are at most PREFIX apart, so a chain of them covers every
 Rows are dealt by rank. Ranks that a sample shows to be common (HOT of them at
 most) are dealt by document as well, so a string that a third of all documents
 hold is spread over tasks; what is first in each part is then compared apart.
+There is a row for every 13 bytes, so a task packs the rows of one bucket of ranks, or
+of texts, into one block: Spark moves blocks, and the rows of a bucket, SORT_ROWS
+about, are sorted inside a task.
 """
 
 from __future__ import annotations
@@ -37,8 +40,10 @@ LENGTH = 50
 PREFIX = 26
 #: Rows of one rank and document that are held until another document shows up; more count as open.
 HELD = 1 << 16
-#: Sorted rows for each partition.
-SORT_ROWS = 3_000_000
+#: Rows for each partition, which is one bucket. They reach a task as one Arrow batch.
+SORT_ROWS = 400_000
+#: Rows that a task packs at once.
+PACKED = 1 << 18
 #: A rank with more than one in HOT of the rows of a sample is spread over SPREAD parts.
 #: The sample is of documents, by hash of the key: SAMPLE of them, about. It decides where rows go
 #: and nothing else.
@@ -154,6 +159,98 @@ def _batch(rows: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x) for x in rows.values()], list(rows))
 
 
+#: Kinds of blocks and their columns, all 64-bit: positions, positions in rounds (``bits``: cover and state),
+#: open ones of these by rank, stretches and their ways, single windows, windows by document.
+POSITION, PLACED, RANKED, STRETCH, WINDOW, GONE = 10, 11, 12, 13, 14, 15
+#: What comes of a rank's rows: see _rerank.
+REPEAT, APART, EDGE = 0, 1, 2
+_STATE = ("doc", "row", "at", "name", "rank", "bits")
+_COLUMNS = {
+    POSITION: ("rank", "doc", "row", "at"), PLACED: _STATE, RANKED: _STATE, STRETCH: ("rank", "longer", "doc", "row", "at"),
+    WINDOW: ("rank", "doc"), GONE: ("doc", "rank"), REPEAT: ("doc", "row", "at"), APART: ("doc", "row", "at"),
+}
+_BLOCKS = "kind int, bucket int, n long, block binary"
+
+
+def _pack(stream, buckets: int):
+    """Blocks of the ``(kind, rows, key)`` of a task: the rows of one bucket of keys, column by column."""
+    held: dict[int, list[dict]] = {}
+    many = 0
+    for kind, rows, key in stream:
+        held.setdefault(kind, []).append({**{c: rows[c] for c in _COLUMNS[kind]}, "": (key.view(np.uint64) % np.uint64(buckets)).astype(np.int32)})
+        many += len(key)
+        if many >= PACKED:
+            yield from _blocks(held)
+            held, many = {}, 0
+    yield from _blocks(held)
+
+
+def _blocks(held: dict[int, list[dict]]):
+    for kind, parts in held.items():
+        bucket = np.concatenate([x[""] for x in parts])
+        if not len(bucket):
+            continue
+        order = np.argsort(bucket, kind="stable")
+        bucket, start, many = np.unique(bucket[order], return_index=True, return_counts=True)
+        names = _COLUMNS[kind]
+        to = np.arange(len(order)) + np.repeat((len(names) - 1) * start, many)
+        step = np.repeat(many, many)
+        block = np.empty(len(names) * len(order), np.int64)
+        for c in names:
+            block[to] = np.concatenate([x[c] for x in parts])[order]
+            to += step
+        offsets = np.r_[start, len(order)] * (8 * len(names))
+        blocks = pa.Array.from_buffers(pa.large_binary(), len(bucket), [None, pa.py_buffer(offsets), pa.py_buffer(block)])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(len(bucket), kind, np.int32)), pa.array(bucket), pa.array(many), blocks.cast(pa.binary())],
+            ["kind", "bucket", "n", "block"],
+        )
+
+
+def _unpack(batches):
+    """``{kind: rows}`` of each bucket, from blocks in the order of their buckets."""
+    held: dict[int, list[np.ndarray]] = {}
+    of = None
+    for batch in batches:
+        for kind, bucket, block in zip(batch.column("kind").to_pylist(), batch.column("bucket").to_pylist(), batch.column("block")):
+            if held and bucket != of:
+                yield _rows(held)
+                held = {}
+            of = bucket
+            held.setdefault(kind, []).append(np.frombuffer(block.as_buffer(), np.int64).reshape(len(_COLUMNS[kind]), -1))
+    if held:
+        yield _rows(held)
+
+
+def _rows(held: dict[int, list[np.ndarray]]) -> dict[int, dict]:
+    return {kind: dict(zip(_COLUMNS[kind], np.concatenate(blocks, axis=1))) for kind, blocks in held.items()}
+
+
+def _sorted(rows: dict, *names: str) -> dict:
+    return _taken(rows, np.lexsort([rows[c] for c in reversed(names)]))
+
+
+def _is_hot(rank: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """Which ranks are among the common ones, which are sorted."""
+    if not len(hot):
+        return np.zeros(len(rank), bool)
+    return hot[np.minimum(np.searchsorted(hot, rank), len(hot) - 1)] == rank
+
+
+def _rank_key(rank: np.ndarray, hot: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Where a rank's rows go: common ranks are dealt by document too."""
+    part = np.where(hot, _named(doc).view(np.uint64) % np.uint64(SPREAD) + np.uint64(1), np.uint64(0))
+    return _named(rank, part)
+
+
+def _met(rows: dict, hot: np.ndarray) -> dict:
+    """Rows of a bucket by rank and document, without ranks that are there once and not common."""
+    rows = _taken(rows, np.argsort(rows["rank"]))
+    same = rows["rank"][1:] == rows["rank"][:-1]
+    rows["hot"] = _is_hot(rows["rank"], hot)
+    return _sorted(_taken(rows, rows["hot"] | np.r_[same, False] | np.r_[False, same]), "rank", "doc")
+
+
 #: States of a position: to be paired, past all it stands for, in one document only, without a next one.
 OPEN, PAST, UNIQUE, LAST = 0, 1, 2, 3
 
@@ -186,15 +283,29 @@ def _shared(batches):
         yield held, np.zeros(len(held["rank"]), bool)
 
 
-def _opened(batches):
-    for rows, several in _shared(batches):
-        yield _batch(_taken(rows, several))
+def _opener(hot: np.ndarray, buckets: int):
+    """Positions of which the prefix is in several documents, by text."""
 
+    def stream(batches):
+        for parts in _unpack(batches):
+            for rows, several in _shared([_batch(_met(parts[POSITION], hot))]):
+                rows = _taken(rows, several)
+                yield POSITION, rows, _named(rows["doc"], rows["row"])
 
-def _closed(batches):
-    for rows, several in _shared(batches):
-        rows["state"] = np.where(several, OPEN, UNIQUE).astype(np.int32)
-        yield _batch(rows)
+    return lambda batches: _pack(stream(batches), buckets)
+
+
+def _closer(hot: np.ndarray, buckets: int):
+    """One sort of pairs: those in one document only are closed."""
+
+    def stream(batches):
+        for parts in _unpack(batches):
+            rows = _sorted(parts[RANKED], "rank", "doc")
+            for rows, several in _shared([_batch({**rows, "hot": _is_hot(rows["name"], hot)})]):
+                rows["bits"] = np.where(several, rows["bits"], rows["bits"] & ~3 | UNIQUE)
+                yield PLACED, rows, _named(rows["doc"], rows["row"])
+
+    return lambda batches: _pack(stream(batches), buckets)
 
 
 def _by_text(batches):
@@ -225,83 +336,126 @@ def _named(*values) -> np.ndarray:
     return A.signed(out)
 
 
-def _pair(batches):
-    """One round: (rank, distance, rank of the last position reached), and the way of each stretch so far."""
-    for rows in _by_text(batches):
-        doc, row, at, rank, cover, state = (rows[c] for c in ("doc", "row", "at", "rank", "cover", "state"))
-        cover = cover.astype(np.int64)
-        text = np.cumsum(np.r_[False, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])])
-        place = at >> 12
-        place = place + text * (place.max() + cover.max() + 2 * LENGTH)
-        before, after = (at >> 6) & 63, at & 63
-        # the last position at or before a stretch stands for all of it
-        base = np.searchsorted(place, place - before, "right") - 1
-        own = (after > 0) & (base >= 0) & (text[base] == text)
-        reach = place + after - place[base]
-        need = np.full(len(at), LENGTH)
-        np.maximum.at(need, base[own], reach[own])
-
-        next_ = np.searchsorted(place, place + cover, "right") - 1
-        distance = place[next_] - place
-        grown = distance + cover[next_]
-        todo = state == OPEN
-        unique = todo & (state[next_] == UNIQUE)
-        last = todo & ~unique & (grown <= cover)
-        longer = todo & ~unique & ~last
-        rank = np.where(longer, _named(rank, distance, rank[next_]), rank)
-        cover = np.where(longer, grown, cover)
-        state = np.select([unique, last, longer & (cover >= need)], [UNIQUE, LAST, PAST], state)
-
-        known = own & (state[base] != UNIQUE) & (cover[base] >= reach)
-        way = np.where(known, _named(rank[base], place - place[base], at & 4095), _named(doc, row, at))
-        yield _batch({**rows, "rank": rank, "cover": cover.astype(np.int32), "state": state.astype(np.int32), "way": way})
-
-
-_ROUND = "doc long, row long, at long, name long, hot boolean, rank long, cover int, state int, way long"
+def _texts(batches):
+    """Positions in rounds, in runs of whole texts."""
+    for parts in _unpack(batches):
+        rows = [parts[PLACED]] if PLACED in parts else []
+        if POSITION in parts:
+            first = parts[POSITION]
+            rows.append({**first, "name": first["rank"], "bits": np.full(len(first["rank"]), PREFIX << 2 | OPEN)})
+        yield from _by_text([_batch(_sorted(_joined([{c: x[c] for c in _STATE} for x in rows]), "doc", "row", "at"))])
+
+
+def _layout(rows: dict):
+    """Places that tell texts apart, the position that stands for each stretch, whether there is one, and how far it has to reach."""
+    doc, row, at = rows["doc"], rows["row"], rows["at"]
+    text = np.cumsum(np.r_[False, (doc[1:] != doc[:-1]) | (row[1:] != row[:-1])])
+    place = at >> 12
+    place = place + text * (place.max() + (rows["bits"] >> 2).max() + 2 * LENGTH)
+    before, after = (at >> 6) & 63, at & 63
+    # the last position at or before a stretch stands for all of it
+    base = np.searchsorted(place, place - before, "right") - 1
+    own = (after > 0) & (base >= 0) & (text[base] == text)
+    return place, base, own, place + after - place[base]
+
+
+def _pair(rows: dict) -> dict:
+    """One round: (rank, distance, rank of the last position reached)."""
+    place, base, own, reach = _layout(rows)
+    rank, cover, state = rows["rank"], rows["bits"] >> 2, rows["bits"] & 3
+    need = np.full(len(place), LENGTH)
+    np.maximum.at(need, base[own], reach[own])
+
+    next_ = np.searchsorted(place, place + cover, "right") - 1
+    distance = place[next_] - place
+    grown = distance + cover[next_]
+    todo = state == OPEN
+    unique = todo & (state[next_] == UNIQUE)
+    last = todo & ~unique & (grown <= cover)
+    longer = todo & ~unique & ~last
+    rank = np.where(longer, _named(rank, distance, rank[next_]), rank)
+    cover = np.where(longer, grown, cover)
+    state = np.select([unique, last, longer & (cover >= need)], [UNIQUE, LAST, PAST], state)
+    return {**rows, "rank": rank, "bits": cover << 2 | state}
+
+
+def _pairer(hot: np.ndarray, buckets: int):
+    def stream(batches):
+        for rows in _texts(batches):
+            rows = _pair(rows)
+            open_ = rows["bits"] & 3 == OPEN
+            done, rows = _taken(rows, ~open_), _taken(rows, open_)
+            yield PLACED, done, _named(done["doc"], done["row"])
+            yield RANKED, rows, _rank_key(rows["rank"], _is_hot(rows["name"], hot), rows["doc"])
+
+    return lambda batches: _pack(stream(batches), buckets)
+
+
+def _stretches(batches):
+    """``rank, longer, doc, row, at`` of each stretch: its prefix, and the way in which that goes on."""
+    for rows in _texts(batches):
+        place, base, own, reach = _layout(rows)
+        known = own & (rows["bits"][base] & 3 != UNIQUE) & (rows["bits"][base] >> 2 >= reach)
+        doc, row, at = rows["doc"], rows["row"], rows["at"]
+        way = np.where(known, _named(rows["rank"][base], place - place[base], at & 4095), _named(doc, row, at))
+        yield _taken({"rank": rows["name"], "longer": way, "doc": doc, "row": row, "at": at}, at & 63 > 0)
 
 
 def _parts(rows: DataFrame, expected: int) -> int:
     return max(rows.sparkSession.sparkContext.defaultParallelism, -(-expected // SORT_ROWS))
 
 
-def _by_rank(rows: DataFrame, expected: int, *order: str) -> DataFrame:
-    """Rows dealt by rank, common ranks by document too, and sorted."""
-    part = F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(SPREAD)))
-    return rows.repartition(_parts(rows, expected), "rank", part).sortWithinPartitions("rank", *order)
+def _by_bucket(blocks: DataFrame, expected: int) -> DataFrame:
+    """Blocks of one bucket, or of the same few, in each partition; a hash of the buckets would fill some many times over."""
+    parts = _parts(blocks, expected)
+    return blocks.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket")
 
 
-def doubled(rows: DataFrame, expected: int, hot: DataFrame) -> tuple[DataFrame, list[int]]:
-    """``name, way, doc, row, at, hot`` of every stretch whose prefix is in several documents.
+def _many(blocks: DataFrame, kind: int) -> int:
+    return blocks.where(F.col("kind") == kind).agg(F.sum("n")).first()[0] or 0
+
+
+def _dealer(source, kind: int, hot: np.ndarray, buckets: int):
+    """Blocks by rank of the batches that ``source`` makes."""
+
+    def stream(batches):
+        for batch in source(batches):
+            rows = _arrays(batch)
+            yield kind, rows, _rank_key(rows["rank"], _is_hot(rows["rank"], hot), rows["doc"])
+
+    return lambda batches: _pack(stream(batches), buckets)
 
-    Also the number of positions that were open after each round. A round's table
-    is emptied when the next one is written.
+
+def rounds(positions: DataFrame, expected: int, hot: np.ndarray, buckets: int) -> tuple[DataFrame, list[int]]:
+    """Positions in blocks, after the last round, and the number of those that were open after each round.
+
+    A round's table is emptied when the next one is written.
     """
-    dealt = rows.join(F.broadcast(hot), "rank", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))  # HOT rows at most
-    table = settle(
-        _by_rank(dealt.select("rank", "doc", "row", "at", "hot"), expected, "doc")
-        .mapInArrow(_opened, "rank long, doc long, row long, at long, hot boolean"), "open",
-    )
-    many = table.count()
-    done = table
-    state = table.select(
-        "doc", "row", "at", F.col("rank").alias("name"), "hot", "rank", F.lit(PREFIX).alias("cover"),
-        F.lit(OPEN).alias("state"), F.lit(0).cast("long").alias("way"),
-    )
+    state = done = settle(_by_bucket(positions, expected).mapInArrow(_opener(hot, buckets), _BLOCKS), "open")
+    many = _many(state, POSITION)
     left = []
     while True:
-        paired = settle(
-            state.repartition(_parts(state, many), "doc", "row").sortWithinPartitions("doc", "row", "at").mapInArrow(_pair, _ROUND),
-            "pairs",
-        )
+        paired = settle(_by_bucket(state, many).mapInArrow(_pairer(hot, buckets), _BLOCKS), "pairs")
         emptied(done)
-        left.append(paired.where(F.col("state") == OPEN).count())
+        left.append(_many(paired, RANKED))
         if not left[-1]:
-            return paired.where("at & 63 > 0").select(F.col("name").alias("rank"), F.col("way").alias("longer"), "doc", "row", "at", "hot"), left
-        ranked = _by_rank(paired.where(F.col("state") == OPEN), left[-1], "doc").mapInArrow(_closed, _ROUND)
-        state, done = paired.where(F.col("state") != OPEN).unionByName(ranked), paired
+            return paired, left
+        ranked = _by_bucket(paired.where(F.col("kind") == RANKED), left[-1]).mapInArrow(_closer(hot, buckets), _BLOCKS)
+        state, done = paired.where(F.col("kind") == PLACED).unionByName(ranked), paired
 
 
-REPEAT, APART, EDGE = 0, 1, 2
+def _ranks(hot: DataFrame) -> np.ndarray:
+    return np.sort(np.array([r["rank"] for r in hot.select("rank").collect()], np.int64))  # HOT rows at most
+
+
+def doubled(rows: DataFrame, expected: int, hot: DataFrame) -> tuple[DataFrame, list[int]]:
+    """``rank, longer, doc, row, at`` of every stretch whose prefix is in several documents, from a table of positions.
+
+    Also the number of positions that were open after each round.
+    """
+    ranks, buckets = _ranks(hot), _parts(rows, expected)
+    state, left = rounds(rows.mapInArrow(_dealer(iter, POSITION, ranks, buckets), _BLOCKS), expected, ranks, buckets)
+    return state.mapInArrow(lambda batches: map(_batch, _stretches(batches)), _PLAIN[STRETCH]), left
 
 
 def _rerank(batches):
@@ -350,25 +504,94 @@ def common(rows: DataFrame) -> DataFrame:
     return settle(counts.where(F.col("n") * HOT > total).select("rank", F.lit(True).alias("hot")), "common")
 
 
-def reranked(rows: DataFrame, expected: int) -> tuple[DataFrame, DataFrame]:
-    """Sort ``rank, longer, doc, hot`` and return the other columns of the repeats and of those that are apart.
+_PLAIN = {kind: ", ".join(f"{c} long" for c in _COLUMNS[kind]) for kind in (STRETCH, WINDOW)}
+
+
+def _stretch_dealer(hot: np.ndarray, buckets: int):
+    def stream(batches):
+        for rows in _stretches(batches):
+            yield STRETCH, rows, _rank_key(rows["rank"], _is_hot(rows["rank"], hot), rows["doc"])
+
+    return lambda batches: _pack(stream(batches), buckets)
+
+
+def _reranker(kind: int, hot: np.ndarray, buckets: int):
+    """Repeats and those that are apart, by text or by document; edges stay as they are, without a place to go."""
+
+    def stream(batches):
+        for parts in _unpack(batches):
+            rows = _met(parts[kind], hot)
+            rows = _sorted(rows, "rank", "longer", "doc") if kind == STRETCH else rows
+            for batch in _rerank([_batch(rows)]):
+                rows = _arrays(batch)
+                edge = _taken(rows, rows["kind"] == EDGE)
+                yield kind, edge, np.arange(len(edge["doc"]))
+                yield from _sent(kind, _taken(rows, rows["kind"] == REPEAT), _taken(rows, rows["kind"] == APART))
+
+    return lambda batches: _pack(stream(batches), buckets)
+
+
+def _sent(kind: int, repeats: dict, apart: dict):
+    if kind == WINDOW:
+        yield GONE, repeats, _named(repeats["doc"])
+        return
+    for to, rows in ((REPEAT, repeats), (APART, apart)):
+        yield to, rows, _named(rows["doc"], rows["row"])
+
+
+def _edge_dealer(kind: int, buckets: int):
+    def stream(batches):
+        for batch in batches:
+            rows = _arrays(batch)
+            yield from _sent(kind, _taken(rows, rows["repeat"]), _taken(rows, ~rows["repeat"]))
+
+    return lambda batches: _pack(stream(batches), buckets)
+
+
+def _edges(kind: int):
+    return lambda batches: (_batch(parts[kind]) for parts in _unpack(batches))
+
+
+def reranked(blocks: DataFrame, kind: int, expected: int, hot: np.ndarray, buckets: int) -> DataFrame:
+    """Sort the rows of the blocks by rank, longer rank and document: blocks of the repeats and of those that are apart.
 
     Without a longer rank the rank is all there is to compare.
     """
-    names = [c for c in ("rank", "longer") if c in rows.columns]
-    rest = [c for c in rows.columns if c not in ("hot", *names)]
-    kinds = ", ".join(["kind int", *(f"{c} long" for c in rows.columns if c != "hot")])
-    done = settle(_by_rank(rows, expected, *names[1:], "doc").mapInArrow(_rerank, kinds), "reranked")
-    edges = done.where(F.col("kind") == EDGE).drop("kind")
+    names = [c for c in ("rank", "longer") if c in _COLUMNS[kind]]
+    done = settle(_by_bucket(blocks, expected).mapInArrow(_reranker(kind, hot, buckets), _BLOCKS), "reranked")
+    edges = settle(done.where(F.col("kind") == kind).mapInArrow(_edges(kind), _PLAIN[kind]), "edge-rows")
     ways = settle(edges.groupBy(*names).agg(F.min("doc").alias("first")), "edges")
     several = ways.groupBy("rank").agg(F.count("*").alias("n")).where("n > 1").select("rank")
-    met = edges.join(ways, names)
-    back = [*rest, names[-1]]
-    repeats = done.where(F.col("kind") == REPEAT).select(*back).unionByName(met.where("doc > first").select(*back))
-    apart = done.where(F.col("kind") == APART).select(*back).unionByName(
-        met.where("doc = first").join(several, "rank", "left_semi").select(*back)
-    )
-    return repeats, apart
+    met = edges.join(ways, names).withColumn("repeat", F.expr("doc > first")).drop("first")
+    apart = met.where("NOT repeat").join(several, "rank", "left_semi").select(*met.columns)
+    sent = met.where("repeat").unionByName(apart).mapInArrow(_edge_dealer(kind, buckets), _BLOCKS)
+    return done.where(F.col("kind") != kind).unionByName(sent)
+
+
+def _changes(rows: dict, *names: str) -> np.ndarray:
+    """Where sorted rows differ from the row before in a column."""
+    return np.logical_or.reduce([np.r_[True, rows[c][1:] != rows[c][:-1]] for c in names])
+
+
+def _lister(kinds: dict[str, int], by: tuple[str, ...], value: str):
+    """``by`` and a list of the different values of each kind."""
+
+    def lists(batches):
+        for parts in _unpack(batches):
+            rows = _joined([
+                {**{c: parts[kind][c] for c in (*by, value)}, "": np.full(len(parts[kind][value]), place)}
+                for place, kind in enumerate(kinds.values()) if kind in parts
+            ])
+            rows = _sorted(rows, *by, "", value)
+            new, other = _changes(rows, *by), _changes(rows, *by, "", value)
+            kept, group, start = _taken(rows, other), (np.cumsum(new) - 1)[other], np.flatnonzero(new)
+            columns = [pa.array(rows[c][start]) for c in by]
+            for place in range(len(kinds)):
+                own = kept[""] == place
+                columns.append(A.lists(kept[value][own], np.bincount(group[own], minlength=len(start)), pa.int64()))
+            yield pa.RecordBatch.from_arrays(columns, [*by, *kinds])
+
+    return lists
 
 
 def _among(values: np.ndarray, rows: np.ndarray, lists: pa.ListArray) -> np.ndarray:
@@ -376,10 +599,9 @@ def _among(values: np.ndarray, rows: np.ndarray, lists: pa.ListArray) -> np.ndar
     out = np.zeros(len(values), bool)
     cut = np.searchsorted(rows, np.arange(len(lists) + 1))
     offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-    for i in range(len(lists)):
+    for i in np.flatnonzero(_has(lists)):
         known = flat[offsets[i] : offsets[i + 1]]
-        if len(known):
-            out[cut[i] : cut[i + 1]] = np.isin(values[cut[i] : cut[i + 1]], known)
+        out[cut[i] : cut[i + 1]] = np.isin(values[cut[i] : cut[i + 1]], known)
     return out
 
 
@@ -412,6 +634,11 @@ def _remover(text: str):
     def remove(batches):
         for batch in batches:
             for part in A.slices(batch, text):
+                some = part.column("copy").to_numpy(zero_copy_only=False) | _has(part.column("stretches")) | _has(part.column("windows"))
+                rest = part.filter(pa.array(~some))
+                data, bounds = A.raw(rest.column(text))
+                yield _left(rest, [[]] * len(rest), [data[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], bounds)
+                part = part.filter(pa.array(some))
                 data, bounds = A.raw(part.column(text))
                 step = np.zeros(len(data) + 1, np.int32)
                 for piece, inner, start in _pieces(part, text, LENGTH):
@@ -437,14 +664,18 @@ def _remover(text: str):
                     edge = np.flatnonzero(np.diff(np.r_[False, own, False].astype(np.int8)))
                     spans.append([{"start": int(a), "stop": int(b)} for a, b in zip(edge[::2], edge[1::2])])
                     kept.append(data[bounds[i] : bounds[i + 1]][~own].tobytes())
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("_key"), pa.array(np.diff(bounds), pa.int64()), pa.array(spans, pa.list_(_SPAN)), pa.array(kept, pa.binary())],
-                    ["_key", "n_bytes", "spans", "kept"],
-                )
+                yield _left(part, spans, kept, bounds)
 
     return remove
 
 
+def _left(part: pa.RecordBatch, spans: list, kept: list, bounds: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [part.column("_key"), pa.array(np.diff(bounds), pa.int64()), pa.array(spans, pa.list_(_SPAN)), pa.array(kept, pa.binary())],
+        ["_key", "n_bytes", "spans", "kept"],
+    )
+
+
 def _has(lists: pa.ListArray) -> np.ndarray:
     return np.diff(lists.offsets.to_numpy()) > 0
 
@@ -478,29 +709,35 @@ def remove_repeats(documents: DataFrame, key: str = "doc_id", text: str = "text"
         return of.select("_doc", "_h1", "_text").mapInArrow(_positions("_text"), "rank long, doc long, row long, at long")
 
     one_in = max(1, source.count() // SAMPLE)
-    hot = common(positions(source.where(F.pmod(F.xxhash64("_doc"), F.lit(one_in)) == 0)))
-    stretched, _ = doubled(positions(source), size // spread_by, hot)
-    repeats, apart = reranked(stretched, stretched.count())
-    ways = settle(apart.groupBy("doc", "row").agg(F.collect_set("at").alias("apart"), F.count("*").alias("n")), "apart")
+    hot = _ranks(common(positions(source.where(F.pmod(F.xxhash64("_doc"), F.lit(one_in)) == 0))))
+    expected = size // spread_by
+    buckets = _parts(source, expected)
+    dealt = source.select("_doc", "_h1", "_text").mapInArrow(_dealer(_positions("_text"), POSITION, hot, buckets), _BLOCKS)
+    state, _ = rounds(dealt, expected, hot, buckets)
+    many = _many(state, PLACED)
+    sent = reranked(state.mapInArrow(_stretch_dealer(hot, buckets), _BLOCKS), STRETCH, many, hot, buckets)
+    lists = _lister({"stretches": REPEAT, "apart": APART}, ("doc", "row"), "at")
+    texts = settle(
+        _by_bucket(sent, many).mapInArrow(lists, "doc long, row long, stretches array<long>, apart array<long>"), "texts"
+    )
+    emptied(state)
+    ways = texts.where("size(apart) > 0")
 
-    def windows(of: DataFrame) -> DataFrame:
+    def ranked(of: DataFrame, then, columns: str) -> DataFrame:
         return (
-            source.select("_doc", "_h1", "_text").join(of, (F.col("_doc") == F.col("doc")) & (F.col("_h1") == F.col("row")))
-            .select("_doc", "_text", "apart").mapInArrow(_window_ranker("_text"), "rank long, doc long")
+            source.select("_doc", "_h1", "_text")
+            .join(of.select("doc", "row", "apart"), (F.col("_doc") == F.col("doc")) & (F.col("_h1") == F.col("row")))
+            .select("_doc", "_text", "apart").mapInArrow(then, columns)
         )
 
     one_in = max(1, ways.count() // SAMPLE)
-    hot = common(windows(ways.where(F.pmod(F.xxhash64("doc"), F.lit(one_in)) == 0)))
-    again, _ = reranked(
-        windows(ways).join(F.broadcast(hot), "rank", "left").withColumn("hot", F.coalesce("hot", F.lit(False))),  # HOT rows at most
-        (ways.agg(F.sum("n")).first()[0] or 0) * spread_by,
-    )
-    whole = settle(repeats.groupBy("doc", "row").agg(F.collect_set("at").alias("stretches")), "whole")
-    emptied(stretched)
-    single = again.groupBy("doc").agg(F.collect_set("rank").alias("windows"))
-    found = settle(
-        whole.join(ways.select("doc", "row", "apart"), ["doc", "row"], "full").join(single, "doc", "left"), "found"
-    )
+    windows = _window_ranker("_text")
+    hot = _ranks(common(ranked(ways.where(F.pmod(F.xxhash64("doc"), F.lit(one_in)) == 0), windows, _PLAIN[WINDOW])))
+    expected = (ways.agg(F.sum(F.size("apart"))).first()[0] or 0) * spread_by
+    buckets = _parts(source, expected)
+    again = reranked(ranked(ways, _dealer(windows, WINDOW, hot, buckets), _BLOCKS), WINDOW, expected, hot, buckets)
+    single = _by_bucket(again, expected).mapInArrow(_lister({"windows": GONE}, ("doc",), "rank"), "doc long, windows array<long>")
+    found = settle(texts.join(single, "doc", "left"), "found")
     none = F.array().cast("array<bigint>")
     joined = every.join(found, (F.col("_doc") == F.col("doc")) & (F.col("_h1") == F.col("row")), "left").select(
         "_key", "_text", F.coalesce("stretches", none).alias("stretches"), F.coalesce("windows", none).alias("windows"),
