@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +118,26 @@ def test_leaves_and_score_without_a_written_table(rows, terms, monkeypatch):
     monkeypatch.setattr(ranker, "vector_table", None)
     told = model.transform(rows)
     assert told.columns == [*rows.columns, "score"] and told.where("score > 0 AND score < 1").count() == rows.count()
+
+
+@pytest.mark.parametrize("valued", [False, True])
+def test_packed_rows_are_small_and_hold_everything(valued):
+    """Readers hold thousands of packed rows at once, so one is some kilobytes; empty rows and slices of batches stay."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    places = [sorted(rng.choice(400, n, replace=False).tolist()) for n in rng.integers(0, 60, 5000)] + [[]] * 3000 + [list(range(300))]
+    values = [[p / 2 + i for p in row] for i, row in enumerate(places)]
+    label = np.arange(len(places)) % 3.0
+    batch = pa.RecordBatch.from_arrays([pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64())), pa.array(label)], ["p", "v", "label"])
+    pack = machine._packed("p", "v" if valued else None, "label")
+    packed = list(pack([batch.slice(0, 0), batch.slice(0, 700), batch.slice(700)]))
+    assert max(sum(len(x) for x in row.values()) for b in packed for row in b.to_pylist()) < 8000
+    found = [], [], []
+    for b in packed:
+        for part in (b.slice(0, 3), b.slice(3)):
+            for ends, where, held, told in machine._pieces(part, valued):
+                found[0].extend(where[x:y].tolist() for x, y in zip(ends, ends[1:]))
+                found[1].extend(held[x:y].tolist() for x, y in zip(ends, ends[1:])) if valued else None
+                found[2].extend(told)
+    assert found[0] == places and found[1] == (values if valued else []) and found[2] == label.tolist()

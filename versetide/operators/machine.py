@@ -24,8 +24,10 @@ from versetide.session import emptied, spread
 UNIT = 2.0**30
 # Values of a block of rows, at most.
 CELLS = 1 << 17
-# Places of the rows that are packed together, about.
-PACKED = 1 << 18
+# Places, and rows at most, that are packed together, about: readers hold thousands of packed rows at once.
+PACKED = 1 << 7
+# Places of the rows that a task looks at together, about.
+PIECE = 1 << 18
 BETA1, BETA2, EPSILON, TOLERANCE = 0.9, 0.999, 1e-8, 1e-6  # fixed values of the estimator
 
 
@@ -64,22 +66,50 @@ def _packed(places: str, values: str | None, label: str):
 
     def pack(batches):
         for batch in batches:
+            if not batch.num_rows:
+                continue
             ends, where, held = _flat(batch.column(places), None if values is None else batch.column(values))
             told = batch.column(label).to_numpy(zero_copy_only=False).astype(np.float64)
-            start = 0
-            while start < batch.num_rows:
-                stop = max(start + 1, int(np.searchsorted(ends, ends[start] + PACKED, "right")) - 1)
-                cells = slice(ends[start], ends[stop])
-                parts = (
-                    (ends[start : stop + 1] - ends[start]).astype(np.int64), where[cells].astype(np.int32),
-                    np.empty(0) if held is None else held[cells].astype(np.float64), told[start:stop],
-                )
-                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in parts], ["ends", "places", "held", "told"])
-                start = stop
+            number = ends[:-1] // PACKED + np.arange(batch.num_rows) // PACKED
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(number)) + 1, [batch.num_rows]])
+            parts = (
+                (np.diff(ends).astype(np.int32), cuts), (where.astype(np.int32), ends[cuts]),
+                (np.empty(0), 0 * cuts) if held is None else (held.astype(np.float64), ends[cuts]), (told, cuts),
+            )
+            yield pa.RecordBatch.from_arrays([_bytes(x, at) for x, at in parts], ["lengths", "places", "held", "told"])
 
     return pack
 
 
+def _bytes(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Binary column of the bytes of ``values`` between each two ``cuts``."""
+    offsets = (cuts * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def _values(column: pa.Array, kind) -> np.ndarray:
+    """The numbers of a column of ``_bytes``, those of all rows one after the other."""
+    _, offsets, data = column.buffers()
+    if data is None or not len(column):
+        return np.empty(0, kind)
+    width = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    at = np.frombuffer(offsets, width, len(column) + 1, column.offset * np.dtype(width).itemsize)
+    return np.frombuffer(data, kind, (at[-1] - at[0]) // np.dtype(kind).itemsize, at[0])
+
+
+def _pieces(batch: pa.RecordBatch, valued: bool):
+    """(ends, places, values, labels) of packed rows, about PIECE places in each."""
+    lengths, where, told = _values(batch.column("lengths"), np.int32), _values(batch.column("places"), np.int32), _values(batch.column("told"), np.float64)
+    held = _values(batch.column("held"), np.float64) if valued else None
+    ends = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
+    start = 0
+    while start < len(lengths):
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + PIECE, "right")) - 1)
+        cells = slice(ends[start], ends[stop])
+        yield ends[start : stop + 1] - ends[start], where[cells], None if held is None else held[cells], told[start:stop]
+        start = stop
+
+
 def _margin(rows: np.ndarray, squares: np.ndarray, w: np.ndarray, intercept: float) -> tuple[np.ndarray, np.ndarray]:
     """Margins of ``rows``, and their sums of the columns of ``w``: linear weight, then factors."""
     sums = rows @ w
@@ -173,18 +203,15 @@ def fit_machine(
     w = _start(df.sparkSession, size, factors, seed)
     scales = np.ones(size) if values is None else _scales(df, places, values, size)
     columns = [places, label] if values is None else [places, values, label]
-    rows = spread(df.select(*columns).mapInArrow(_packed(places, values, label), "ends binary, places binary, held binary, told binary"), "packed")
+    rows = spread(df.select(*columns).mapInArrow(_packed(places, values, label), "lengths binary, places binary, held binary, told binary"), "packed")
     total = int(rows.agg(F.sum(F.octet_length("told"))).first()[0] or 0) // 8
     first, second = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, steps + 1):
         def partial(batches, w=w):
             found = np.zeros_like(w)
             for batch in batches:
-                for ends, where, held, told in zip(*(batch.column(c) for c in ("ends", "places", "held", "told"))):
-                    found += gradient(
-                        np.frombuffer(ends.as_buffer(), np.int64), np.frombuffer(where.as_buffer(), np.int32),
-                        None if values is None else np.frombuffer(held.as_buffer(), np.float64), np.frombuffer(told.as_buffer(), np.float64), w, scales,
-                    )
+                for piece in _pieces(batch, values is not None):
+                    found += gradient(*piece, w, scales)
             units = np.rint(found.ravel() * UNIT).astype(np.int64)
             there = np.flatnonzero(units)
             yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(units[there])], ["at", "units"])
